@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quill.llm import decontaminate, language, packing, token_counts, toxicity
+from quill.llm import decontaminate, html_extract, language, licenses, line_dedup, packing, simhash, token_counts, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +20,10 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(_table(spark, sf_dir, "documents"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
@@ -35,17 +40,34 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines_removed")
+
+
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_decontaminate, op3_packing, op4_language_id, op5_toxicity, op10_token_counts)
+    f.__name__: f for f in (op1_license_scan, op2_decontaminate, op3_packing, op4_language_id, op5_toxicity, op6_line_dedup, op7_html_extract, op8_simhash, op9_topk, op10_token_counts)
 }
 
 _ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES: dict[str, str] = {
+    "op1_license_scan": licenses.oracle(),
     "op2_decontaminate": rf"""
         WITH dw AS (SELECT doc_id, regexp_extract_all({_ASCII_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
         bw AS (SELECT item_id::VARCHAR AS item, regexp_extract_all({_ASCII_LOWER.format("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
@@ -60,4 +82,24 @@ ORACLES: dict[str, str] = {
         SELECT dw.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
                sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM dw LEFT JOIN hit ON dw.doc_id = hit.doc_id LEFT JOIN items ON dw.doc_id = items.doc_id""",
+    "op9_topk": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
+                   WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score FROM v q, v c WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    # A chunk begins after a line that ends one, and on either side of a long line.
+    "op6_line_dedup": r"""
+        WITH l AS (SELECT doc_id, text, i, ls[i] AS line, len(regexp_extract_all(ls[i], '[^ \t\n\r\f\v]+')) AS n
+                   FROM (SELECT doc_id, text, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents WHERE text <> ''))),
+        h AS (SELECT *, n >= 25 AS long, CASE WHEN n >= 25 THEN 0 ELSE ('0x' || substr(md5(line), 1, 8))::BIGINT END AS own FROM l),
+        e AS (SELECT *, long OR (own + 31 * coalesce(lag(own) OVER w, 0)) % 2 = 0 AS ends FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+        s AS (SELECT *, (long OR coalesce(lag(ends) OVER w, true))::INT AS starts FROM e WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+        c AS (SELECT *, sum(starts) OVER (PARTITION BY doc_id ORDER BY i) AS chunk FROM s),
+        k AS (SELECT doc_id, chunk, count(*) AS lines, sum(n) AS words, string_agg(line, chr(10) ORDER BY i) AS body FROM c GROUP BY doc_id, chunk),
+        g AS (SELECT doc_id, chunk, row_number() OVER (PARTITION BY body ORDER BY doc_id, chunk) > 1 AS gone FROM k WHERE words >= 25 OR lines > 1 AND words >= 8),
+        r AS (SELECT c.doc_id, count(*) FILTER (WHERE gone) AS removed, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE gone IS NOT TRUE) AS body
+              FROM c LEFT JOIN g ON c.doc_id = g.doc_id AND c.chunk = g.chunk GROUP BY c.doc_id)
+        SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(r.body, '') END AS text, coalesce(r.removed, 0)::BIGINT AS n_lines_removed
+        FROM documents d LEFT JOIN r ON d.doc_id = r.doc_id""",
 }

@@ -31,6 +31,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of a side that is broadcast, at most, where a row is a few numbers.
+BROADCAST_ROWS = 200_000
+
+
+def side(df: DataFrame) -> DataFrame:
+    """A checkpointed side of a join by a key that may be hot: broadcast if it is counted to be small, else left so that Spark can split both sides' skewed partitions."""
+    df = checkpoint(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[dict] | None], schema: str) -> DataFrame:
     """mapInArrow with fn from a batch to dicts of columns (numpy arrays, lists or Arrow arrays)."""
     tune(df.sparkSession)
