@@ -99,9 +99,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from, config: Ftrl = Ftrl(), t
             yield {"h": batch.column("h").slice(a, b - a), "y": batch.column("_y").slice(a, b - a), "at": [x.astype(np.int32) for x in feature_sets(Words(texts[a:b]), b - a, bits)]}
 
     def learn(batches):
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
+        table = pa.Table.from_batches(held)
         first = table.column("at").combine_chunks()
         flat, ends = first.values.to_numpy(), first.offsets.to_numpy()
         rows = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
