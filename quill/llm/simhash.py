@@ -250,4 +250,4 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     labelled = distinct.join(labels, distinct["fp"] == labels["node"], "left").select("fp", "least_id", F.coalesce("least", "fp").alias("class"))
     roots = labelled.groupBy("class").agg(F.min("least_id").alias("component_id"))
     named = labelled.join(side(roots), "class").select("fp", "component_id")
-    return prints.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(side(named), "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
