@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quill.llm.runtime import map_arrow, pieces, remainder, texts_of
+from quill.llm.runtime import checkpoint, map_arrow, pieces, remainder, texts_of
 from quill.llm.words import Words, run_weights
 
 BITS = 18
@@ -86,11 +86,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from, config: Ftrl = Ftrl(), t
     """
     known = labels.where(learn_from & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
     known = known.groupBy("_id").agg(F.max("_y").alias("_y"))
-    rows = docs.where(learn_from & F.col(text_col).isNotNull() & (F.octet_length(text_col) <= train_bytes))
-    rows = rows.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(known, "_id")
-    # The sample is drawn by id alone, so that only its texts travel.
+    # The sample is drawn by id alone and broadcast: train_rows ids at most, so that only its texts travel.
     few = known.orderBy(F.xxhash64("_id"), "_id").limit(train_rows)
-    rows = rows.join(F.broadcast(few.select("_id")), "_id", "left_semi").withColumn("h", F.xxhash64("_id", "text"))
+    rows = docs.where(learn_from & F.col(text_col).isNotNull() & (F.octet_length(text_col) <= train_bytes))
+    rows = rows.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(few), "_id").withColumn("h", F.xxhash64("_id", "text"))
     bits = config.bits
 
     def sets(batch):
@@ -112,7 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from, config: Ftrl = Ftrl(), t
         yield pa.RecordBatch.from_pydict({"at": pa.array([at.tolist()], pa.list_(pa.int64())), "w": pa.array([w[at].tolist()], pa.list_(pa.float64())), "bias": [bias]})
 
     # The bounded sample meets in one task, which gives back the weights that are not zero.
-    hashed = map_arrow(rows, sets, "h long, y int, at array<int>")
+    hashed = checkpoint(map_arrow(rows, sets, "h long, y int, at array<int>"))
     model = hashed.coalesce(1).mapInArrow(learn, "at array<long>, w array<double>, bias double").collect()
     if not model:
         return np.zeros(0, dtype=np.int64), np.zeros(0), -2.0
