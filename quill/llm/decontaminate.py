@@ -23,8 +23,8 @@ from quill.llm.runtime import map_arrow, pieces, texts_of
 from quill.llm.words import Words, run_hashes
 
 SPAN, GRAM = 10, 5
-#: Text of the benchmark in one broadcast, at most (or one longer item).
-BLOCK_BYTES = 32 << 20
+#: Text of the benchmark in one broadcast, at most (or one longer item); its index is about five times that.
+BLOCK_BYTES = 16 << 20
 
 
 def fingerprints(words: Words, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
@@ -42,31 +42,63 @@ def fingerprints(words: Words, span: int = SPAN, gram: int = GRAM) -> tuple[np.n
 
 
 class Index:
-    """Fingerprints and windows of one block of the benchmark."""
+    """Fingerprints and windows of one block of the benchmark.
+
+    A window is a row of four arrays sorted by its hash (about 24 bytes), and its bytes are a
+    slice of the items' words, joined by spaces; items are taken in pieces, so that what
+    hashing needs for the moment stays small too.
+    """
+
+    #: Windows whose items a worker remembers, at most.
+    KEPT = 1 << 14
 
     def __init__(self, items: list[tuple[str, str]], span: int = SPAN, gram: int = GRAM):
         self.span, self.gram = span, gram
-        words = Words([t.encode() for _, t in items])
         self.items: list[str] = [i for i, _ in items]
-        self.fingerprints = np.unique(fingerprints(words, span, gram)[1])
-        self.windows: dict[bytes, tuple[int, ...]] = {}
-        by_length: dict[int, list[np.ndarray]] = {}
-        for k, (a, n) in enumerate(zip(words.bounds[:-1].tolist(), words.counts.tolist(), strict=True)):
-            if n:
-                size = min(n, span)
-                starts = np.arange(a, a + n - size + 1)
-                by_length.setdefault(size, []).append(run_hashes(words.hashes, size, starts))
-                for s in starts.tolist():
-                    text = words.joined(s, size)
-                    if k not in (had := self.windows.get(text, ())):
-                        self.windows[text] = (*had, k)
-        self.hashes = {n: np.unique(np.concatenate(x)) for n, x in by_length.items()}
+        texts = [t.encode() for _, t in items]
+        prints: list[np.ndarray] = []
+        joined: list[bytes] = []
+        rows: dict[int, list[tuple[np.ndarray, ...]]] = {}
+        base = 0
+        for first, last in pieces(texts):
+            words = Words(texts[first:last])
+            prints.append(np.unique(fingerprints(words, span, gram)[1]))
+            joined.append(words.joined(0, len(words)) + b" ")
+            stop = base + np.cumsum(words.ends - words.starts + 1) - 1
+            begin = stop - (words.ends - words.starts)
+            base += len(joined[-1])
+            # Items of span words or more have windows of span words; the others are one window each.
+            sizes = np.minimum(words.counts, span)
+            of_word = sizes[words.text]
+            for size in np.unique(sizes[sizes > 0]).tolist():
+                at = np.flatnonzero(words.same_text(size) & (of_word[: len(words) - size + 1] == size))
+                rows.setdefault(size, []).append((run_hashes(words.hashes, size, at), begin[at], (stop[at + size - 1] - begin[at]).astype(np.int32), (words.text[at] + first).astype(np.int32)))
+        self.joined = b"".join(joined)
+        self.fingerprints = np.unique(np.concatenate(prints)) if prints else np.zeros(0, dtype=np.uint64)
+        self.windows: dict[int, tuple[np.ndarray, ...]] = {}
+        for size, parts in rows.items():
+            columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+            order = np.argsort(columns[0], kind="stable")
+            self.windows[size] = tuple(c[order] for c in columns)
+        self.known: dict[bytes, tuple[int, ...]] = {}
+
+    def items_of(self, size: int, hash_: np.uint64, text: bytes) -> tuple[int, ...]:
+        """Numbers of the items that have this window, compared byte for byte."""
+        if (found := self.known.get(text)) is None:
+            hashes, begin, length, item = self.windows[size]
+            a, b = np.searchsorted(hashes, hash_, "left"), np.searchsorted(hashes, hash_, "right")
+            same = {k for x, n, k in zip(begin[a:b].tolist(), length[a:b].tolist(), item[a:b].tolist(), strict=True) if self.joined[x : x + n] == text}
+            found = tuple(sorted(same))
+            if len(self.known) >= self.KEPT:
+                self.known.clear()
+            self.known[text] = found
+        return found
 
     def hits(self, words: Words) -> tuple[np.ndarray, list[tuple[int, tuple[int, ...]]]]:
         """Which words lie in an occurrence of a window, and (text, items) of the windows found."""
         hit = np.zeros(len(words) + 1, dtype=np.int64)
         found: list[tuple[int, tuple[int, ...]]] = []
-        for n, table in self.hashes.items():
+        for n, (table, *_) in self.windows.items():
             if n == self.span:
                 at, prints = fingerprints(words, self.span, self.gram)
                 at = at[_among(prints, self.fingerprints)]
@@ -74,11 +106,12 @@ class Index:
                 starts = np.unique((at[:, None] - np.arange(back + 1)).ravel())
                 starts = starts[(starts >= 0) & (starts + n <= len(words))]
                 starts = starts[words.text[starts] == words.text[starts + n - 1]]
-                starts = starts[_among(run_hashes(words.hashes, n, starts), table)]
             else:
-                starts = np.flatnonzero(_among(run_hashes(words.hashes, n), table) & words.same_text(n))
-            for s in starts.tolist():
-                items = self.windows.get(words.joined(s, n))
+                starts = np.flatnonzero(words.same_text(n))
+            hashes = run_hashes(words.hashes, n, starts)
+            among = _among(hashes, table)
+            for s, v in zip(starts[among].tolist(), hashes[among], strict=True):
+                items = self.items_of(n, v, words.joined(s, n))
                 if items:
                     hit[s] += 1
                     hit[s + n] -= 1
