@@ -118,6 +118,21 @@ def test_decontaminate(spark, block_bytes):
         assert (r.n_words, set(r.hits), sorted(r["items"])) == (n, hit, ids)
 
 
+def test_index_of_several_pieces():
+    rng = random.Random(8)
+    items = [(str(k), " ".join(word(rng.randint(0, 10**6)) for _ in range(80_000))) for k in range(4)]  # over half a piece each
+    items += [("4", "one two three"), ("5", items[3][1][-200:]), ("6", "")]
+    index = decontaminate.Index(items)
+    assert sum(len(t) for _, t in items) > 2 << 20
+    for k in range(4):
+        w = items[k][1].split()
+        text = " ".join(["x", *w[40_000:40_012], "y", *w[-10:], "one two three"])
+        hit, found = index.hits(decontaminate.Words([b"", text.encode()]))
+        assert {t for t, _ in found} == {1}
+        assert sorted({index.items[i] for _, s in found for i in s}) == sorted({str(k), "4", *(["5"] if k == 3 else [])})
+        assert np.flatnonzero(~hit).tolist() == [0, 13]
+
+
 def test_decontaminate_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     out = decontaminate.digest(decontaminate.decontaminate(table(spark, [(1, "a b"), (2, None)]), bench)).collect()
