@@ -16,10 +16,10 @@ source or passage burdens no single task.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quill.llm.runtime import map_arrow, pieces, texts_of
+from quill.llm.runtime import map_arrow, pieces, side, texts_of
 from quill.llm.words import Words, run_hashes
 
 SPAN, GRAM = 10, 5
@@ -127,6 +127,11 @@ def _among(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[at] == values
 
 
+def row_key(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """What tells rows of one id, or of none, apart."""
+    return F.xxhash64(docs[id_col], docs[text_col])
+
+
 def blocks(benchmark: DataFrame, most: int, item_col: str, text_col: str) -> list[DataFrame]:
     """The benchmark in blocks of about most bytes; one block if all of it is smaller. The split is by item and text."""
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("item is not null and text is not null").distinct()
@@ -138,19 +143,16 @@ def blocks(benchmark: DataFrame, most: int, item_col: str, text_col: str) -> lis
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
 ) -> DataFrame:
-    """One row per row of docs: the id, n_words, hits (positions of words inside an occurring window), items (ids of items with occurring windows, as sorted strings).
+    """One row per row of docs: the id, key (see row_key), n_words, hits (positions of words inside an occurring window), items (ids of items with occurring windows, as sorted strings).
 
     Null text has no words. Items without words, id or text take no part; equal items count
     as one. Rows that repeat are each judged (with more than one block of benchmark: rows
     of equal id and text are one row). Extra columns are not carried.
     """
     spark, kind = docs.sparkSession, dict(docs.dtypes)[id_col]
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), row_key(docs, id_col, text_col).alias("key"))
     parts = blocks(benchmark, block_bytes, item_col, item_text_col)
-    if len(parts) > 1:
-        rows = rows.distinct().withColumn("key", F.xxhash64("text"))
-    else:
-        rows = rows.withColumn("key", F.lit(0).cast("long"))
+    rows = rows.distinct() if len(parts) > 1 else rows
     out = None
     for part in parts:
         index = spark.sparkContext.broadcast(Index(sorted((r.item, r.text) for r in part.collect()), span, gram))
@@ -175,7 +177,17 @@ def decontaminate(
     if len(parts) > 1:
         union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))  # noqa: E731  at most one list for each block
         out = out.groupBy("id", "key").agg(F.first("n_words").alias("n_words"), union("hits").alias("hits"), union("items").alias("items"))
-    return out.select(F.col("id").alias(id_col), "n_words", "hits", F.array_distinct("items").alias("items"))
+    return out.select(F.col("id").alias(id_col), "key", "n_words", "hits", F.array_distinct("items").alias("items"))
+
+
+def without_hits(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, in which decontaminate() found nothing.
+
+    Rows are told apart by id and text, so that rows which share an id, or have none, are
+    each judged by their own text.
+    """
+    bad = side(found.where(F.size("hits") > 0).select(F.col(id_col).alias("_id"), F.col("key").alias("_key")).distinct())
+    return docs.join(bad, (row_key(docs, id_col, text_col) == bad["_key"]) & docs[id_col].eqNullSafe(bad["_id"]), "left_anti")
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -61,12 +61,12 @@ def chunk_hash(text: str) -> int:
     return int.from_bytes(hashlib.md5(text.encode()).digest()[:8], "little", signed=True)
 
 
-def line_dedup(docs: DataFrame, long: int = LONG, least: int = LEAST, divisor: int = DIVISOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of docs with text_col replaced, and n_lines_removed (long).
+def line_dedup(docs: DataFrame, long: int = LONG, least: int = LEAST, divisor: int = DIVISOR, id_col: str = "doc_id", text_col: str = "text", removed_col: str = "n_lines_removed") -> DataFrame:
+    """All columns of docs with text_col replaced, and removed_col (long).
 
     Null text stays null, a text of which all goes becomes empty. Rows of equal id and text
     are one document: what one keeps, all keep. Null ids come before all others. Columns that
-    docs has stay as they are; if it has n_lines_removed itself, the new one replaces it.
+    docs has stay as they are; if it has removed_col itself, the new one replaces it.
     """
     tune(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
@@ -115,7 +115,7 @@ def line_dedup(docs: DataFrame, long: int = LONG, least: int = LEAST, divisor: i
     firsts = bodies.where("is_first").groupBy("h").agg(F.min("text").alias("first_text"))
     equal = bodies.where("not is_first").join(checkpoint(firsts), "h").where("text = first_text").select("id", "th", "line", "n")
     gone = checkpoint(equal.groupBy("id", "th").agg(F.collect_set(F.struct("line", "n")).alias("gone")))
-    names = [c for c in docs.columns if c != "n_lines_removed"]
+    names = [c for c in docs.columns if c != removed_col]
     left = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
     joined = of(left, gone, "left", F.size("gone").cast("long") * 16 + 64).select("row", "gone")
     flat = joined.select(*[F.col(f"row.`{c}`").alias(c if c == text_col else f"_{i}") for i, c in enumerate(names)], F.col("gone").alias("_gone"))
@@ -137,4 +137,4 @@ def line_dedup(docs: DataFrame, long: int = LONG, least: int = LEAST, divisor: i
             yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, pa.int64())], names=[f.name for f in batch.schema if f.name != "_gone"] + ["_removed"])
 
     out = flat.mapInArrow(run, schema)
-    return out.select(*[(F.col(text_col) if c == text_col else F.col(f"_{i}")).alias(c) for i, c in enumerate(names)], F.col("_removed").alias("n_lines_removed"))
+    return out.select(*[(F.col(text_col) if c == text_col else F.col(f"_{i}")).alias(c) for i, c in enumerate(names)], F.col("_removed").alias(removed_col))

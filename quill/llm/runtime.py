@@ -6,7 +6,7 @@ import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes in one Arrow batch sent to a Python worker, at most.
@@ -78,6 +78,24 @@ def pieces(texts: list[bytes | None], most: int = 1 << 20) -> Iterator[tuple[int
         yield start, len(texts)
 
 
+def columns_of(df: DataFrame) -> list[Column]:
+    """Every column of df, whatever it is called."""
+    return [df[f"`{c.replace('`', '``')}`"] for c in df.columns]
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of a whole row, which tells null from empty and from other columns' nulls; maps, which can't be hashed, are left out."""
+    return F.xxhash64(*[x for c, (_, kind) in zip(columns_of(df), df.dtypes, strict=True) if "map<" not in kind for x in (c.isNull(), c)])
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with underscores added until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def remainder(column: str, n: int):
     """crc32 of the column as text, modulo n: how rows are held out."""
     return F.crc32(F.col(column).cast("string")) % n

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quill.llm.runtime import checkpoint, map_arrow, side, texts_of
+from quill.llm.runtime import checkpoint, fresh, map_arrow, row_hash, side, texts_of
 
 SHINGLE, RADIUS = 3, 3
 #: Fingerprints under one key that one task compares, at most.
@@ -65,15 +65,17 @@ def shingle_hashes(text: bytes | None, size: int = SHINGLE, seed: int = 42) -> n
     return np.array([digest(whole[s:e], seed) for s, e in zip(starts[: 1 - size].tolist(), ends[size - 1 :].tolist(), strict=True)], dtype=np.uint64)
 
 
-def fingerprints(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and fp (the fingerprint's bits as a signed long) of every row; null and empty texts have 0."""
-    kind = dict(docs.dtypes)[id_col]
+def fingerprints(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """id and fp (the fingerprint's bits as a signed long) of every row, and row (of row_col, a long) if that is given; null and empty texts have 0."""
+    more = [F.col(f"`{row_col}`").alias("row")] if row_col else []
+    rows = docs.select(F.col(id_col).alias("id"), *more, F.col(text_col).alias("text"))
+    names = rows.columns[:-1]
 
     def run(batch):
         out = np.array([fingerprint(shingle_hashes(t, size)) for t in texts_of(batch)], dtype=np.uint64)
-        yield {"id": batch.column("id"), "fp": out.view(np.int64)}
+        yield {c: batch.column(c) for c in names} | {"fp": out.view(np.int64)}
 
-    return map_arrow(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, f"id {kind}, fp long")
+    return map_arrow(rows, run, "".join(f"{c} {k}, " for c, k in rows.dtypes[:-1]) + "fp long")
 
 
 def block_masks(blocks: int) -> list[int]:
@@ -238,6 +240,13 @@ def classes(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     return nodes.union(edges.select(F.col("u").alias("node"), F.col("u").alias("least")).distinct())
 
 
+def fingerprint_classes(prints: DataFrame, radius: int = RADIUS, cell: int = CELL) -> DataFrame:
+    """fp, least_id (of the rows that have it) and class (the least fingerprint of its class) for every distinct fp of rows (id, fp)."""
+    distinct = checkpoint(prints.groupBy("fp").agg(F.min("id").alias("least_id")))
+    labels = classes(near_links(distinct.select("fp"), distinct.count(), radius, cell))
+    return distinct.join(labels, distinct["fp"] == labels["node"], "left").select("fp", "least_id", F.coalesce("least", "fp").alias("class"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, cell: int = CELL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, fingerprint (16 hex digits), component_id (the least id reachable by links).
 
@@ -245,9 +254,25 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     class, or null. Rows that repeat are each returned. An empty table gives no rows.
     """
     prints = checkpoint(fingerprints(docs, shingle, id_col, text_col))
-    distinct = checkpoint(prints.groupBy("fp").agg(F.min("id").alias("least_id")))
-    labels = classes(near_links(distinct.select("fp"), distinct.count(), radius, cell))
-    labelled = distinct.join(labels, distinct["fp"] == labels["node"], "left").select("fp", "least_id", F.coalesce("least", "fp").alias("class"))
+    labelled = fingerprint_classes(prints, radius, cell)
     roots = labelled.groupBy("class").agg(F.min("least_id").alias("component_id"))
     named = labelled.join(side(roots), "class").select("fp", "component_id")
     return prints.join(side(named), "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, cell: int = CELL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs, with all its columns, for each class of near-duplicates: that of the least id.
+
+    Null ids come after all others; rows of one id go by a hash of the whole row, and of rows
+    that are equal throughout one stays. So rows without an id, or with one that other texts
+    share, stay unless they are near-duplicates of what stays.
+    """
+    key, row = fresh(docs, "_row"), row_hash(docs)
+    prints = checkpoint(fingerprints(docs.withColumn(key, row), shingle, id_col, text_col, key))
+    named = fingerprint_classes(prints, radius, cell).select("fp", "class")
+    # Each key comes with its own id, so that one hash shared by two rows of different ids loses neither.
+    least = F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "row")).alias("least")
+    heads = prints.join(side(named), "fp").groupBy("class").agg(least).select(F.col("least.id").alias("_id"), F.col("least.row").alias("_head")).distinct()
+    keyed = docs.withColumn(key, row)
+    kept = keyed.join(heads, (keyed[key] == heads["_head"]) & keyed[id_col].eqNullSafe(heads["_id"]), "left_semi")
+    return kept.dropDuplicates([key, id_col]).drop(key)

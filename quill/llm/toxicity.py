@@ -118,14 +118,15 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from, config: Ftrl = Ftrl(), t
     return np.array(model[0].at, dtype=np.int64), np.array(model[0].w), model[0].bias
 
 
-def score(docs: DataFrame, model, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Adds score (0 to 1) to the id, or to the columns named by keep; null and empty texts have the intercept's score."""
+def score(docs: DataFrame, model, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, score_col: str = "score") -> DataFrame:
+    """Adds score_col (0 to 1) to the id, or to the columns named by keep; null and empty texts have the intercept's score."""
     at, w, bias = model
     dense = np.zeros(1 << bits, dtype=np.float32)
     dense[at] = w
     shared = docs.sparkSession.sparkContext.broadcast(dense)  # 2**bits numbers, whatever the corpus
     names = keep or [id_col]
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.col(text_col).alias("text"))
+    sent = ["text" if c == text_col else f"c{i}" for i, c in enumerate(names)]  # the text travels once
+    rows = docs.select(*[F.col(f"`{c}`").alias(s) for c, s in zip(names, sent, strict=True) if s != "text"], F.col(text_col).alias("text"))
     kinds = dict(docs.dtypes)
 
     def run(batch):
@@ -138,10 +139,10 @@ def score(docs: DataFrame, model, bits: int = BITS, id_col: str = "doc_id", text
                 places.append((text[used].astype(np.int64) << bits) | place[used])
             key = np.unique(np.concatenate(places))
             np.add.at(total, key >> bits, weights[key & ((1 << bits) - 1)])
-            yield {f"c{i}": batch.column(f"c{i}").slice(a, b - a) for i in range(len(names))} | {"score": 1 / (1 + np.exp(-np.clip(total, -35, 35)))}
+            yield {f"c{i}": batch.column(s).slice(a, b - a) for i, s in enumerate(sent)} | {"score": 1 / (1 + np.exp(-np.clip(total, -35, 35)))}
 
     out = map_arrow(rows, run, "".join(f"c{i} {kinds[c]}, " for i, c in enumerate(names)) + "score double")
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], "score")
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], F.col("score").alias(score_col))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, config: Ftrl = Ftrl(), threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
