@@ -10,39 +10,36 @@ from pyspark.sql import functions as F
 
 from quill.llm import decontaminate, line_dedup, packing, simhash, toxicity
 from quill.llm.queries import tokenizer_path
-from quill.llm.runtime import remainder
+from quill.llm.runtime import fresh, remainder
 
 #: FTRL and SimHash can't be said in DuckDB's SQL.
 ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the threshold; the model learns from labelled rows of the corpus."""
+    """Documents that score below the threshold; the model learns from labelled rows of the corpus. Null and empty texts stay unless the intercept alone rejects."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs, labels, F.coalesce(remainder("doc_id", 4) != 2, F.lit(False)))
-    scored = toxicity.score(docs, model, keep=[c for c in docs.columns if c != "text"] + ["text"])
-    return scored.where(F.col("score") < toxicity.THRESHOLD).select(docs.columns)
+    name = fresh(docs, "score")
+    scored = toxicity.score(docs, model, keep=docs.columns, score_col=name)
+    return scored.where(F.col(name) < toxicity.THRESHOLD).drop(name)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the repeated chunks of lines; n_chars follows the text."""
-    out = line_dedup.line_dedup(docs)
-    return out.withColumn("n_chars", F.when(F.col("n_lines_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    """Every document, its text without the repeated chunks of lines; n_chars follows the text where lines went."""
+    name = fresh(docs, "n_lines_removed")
+    out = line_dedup.line_dedup(docs, removed_col=name)
+    return out.withColumn("n_chars", F.when(F.col(name) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop(name)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id of each class of near copies; one row of those that share it."""
-    classes = simhash.near_duplicates(docs)
-    heads = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.conv("fingerprint", 16, -10).cast("long").alias("_fp")).distinct()
-    kept = docs.join(heads, docs["doc_id"].eqNullSafe(heads["_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """The document of the least id of each class of near copies. Rows without an id, or with one that other texts share, are judged by their own text."""
+    return simhash.representatives(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item occurs."""
-    found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = found.where(F.size("hits") > 0).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]), "left_anti")
+    """Documents in which no window of a benchmark item occurs; a row's own text decides, whoever shares its id."""
+    return decontaminate.without_hits(docs, decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
