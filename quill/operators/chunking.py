@@ -52,6 +52,10 @@ def _cuts(total: Column, tokens: Column, budget: Column, overlap: Column) -> Col
     return F.aggregate(F.sequence(F.lit(0), last), zero, step, lambda acc: F.array_append(acc["cuts"], F.struct(acc["first"].alias("first"), last.cast("int").alias("last"))))
 
 
+def _joined(own: Column) -> Column:
+    return F.struct(F.array_join(F.transform(own, lambda s: s["text"]), " ").alias("content"), F.element_at(own, 1)["start"].alias("start"), F.element_at(own, -1)["end"].alias("end"))
+
+
 def chunk_sections(sections: DataFrame, chunk_tokens: int, overlap_pct: float, headers: bool = True, model: str = "", drop_references: bool = True) -> DataFrame:
     """Chunks of sections (paper_id, title, ordinal, path, text, char_start, is_references): one row a chunk, ordinals from 0 across the paper.
 
@@ -61,19 +65,20 @@ def chunk_sections(sections: DataFrame, chunk_tokens: int, overlap_pct: float, h
     """
     rows = sections.where(~F.col("is_references")) if drop_references else sections
     head = T.header(F.coalesce("title", F.lit("")), F.col("path")) if headers else F.lit("")
-    rows = rows.select("paper_id", F.col("ordinal").alias("section"), "path", F.col("char_start").alias("base"), head.alias("head"), "text")
+    # The one shuffle, of texts as they are: ordinals across a paper need its sections together, and chunks are longer than texts.
+    rows = rows.select("paper_id", F.col("ordinal").alias("section"), "path", F.col("char_start").alias("base"), head.alias("head"), "text").repartition("paper_id")
     rows = rows.withColumn("budget", T.content_budget(model, chunk_tokens, T.count_words(F.col("head"))))
     rows = rows.withColumn("ss", placed_sentences(F.col("text"), F.col("budget")))
     rows = rows.withColumn("cuts", pack(F.transform("ss", lambda s: T.count_words(s["text"])), F.col("budget"), F.floor(F.col("budget") * F.lit(overlap_pct)).cast("long")))
-    parts = rows.select("paper_id", "section", "path", "base", "head", "ss", F.posexplode("cuts").alias("k", "cut"))
-    own = F.slice("ss", F.col("cut.first") + 1, F.col("cut.last") - F.col("cut.first") + 1)
-    parts = parts.select("paper_id", "section", "path", "base", "head", "k", own.alias("own"))
-    content = F.array_join(F.transform("own", lambda s: s["text"]), " ")
-    out = parts.select("paper_id", "section", "k", F.col("path").alias("section_path"), content.alias("content"), F.concat("head", content).alias("embed_input"), (F.col("base") + F.element_at("own", 1)["start"]).cast("long").alias("char_start"), (F.col("base") + F.element_at("own", -1)["end"]).cast("long").alias("char_end"))
+    # Chunks are put together before they become rows, so that no row carries all sentences of its section.
+    made = F.transform("cuts", lambda c: T.let(F.slice("ss", c["first"] + 1, c["last"] - c["first"] + 1), _joined))
+    parts = rows.select("paper_id", "section", "path", "base", "head", F.posexplode(made).alias("k", "chunk"))
+    out = parts.select("paper_id", "section", "k", F.col("path").alias("section_path"), "head", "chunk.content", (F.col("base") + F.col("chunk.start")).cast("long").alias("char_start"), (F.col("base") + F.col("chunk.end")).cast("long").alias("char_end"))
     from pyspark.sql import Window
 
     ordinal = F.row_number().over(Window.partitionBy("paper_id").orderBy("section", "k")).cast("long") - 1
+    out = out.withColumn("ordinal", ordinal).withColumn("embed_input", F.concat("head", "content"))
     return out.select(
-        "paper_id", ordinal.alias("ordinal"), "section_path", "content", "embed_input", T.count_words(F.col("embed_input")).alias("token_count"), "char_start", "char_end",
+        "paper_id", "ordinal", "section_path", "content", "embed_input", T.count_words(F.col("embed_input")).alias("token_count"), "char_start", "char_end",
         F.sha2("content", 256).alias("content_sha256"), F.sha2("embed_input", 256).alias("embed_input_sha256"),
     )

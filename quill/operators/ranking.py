@@ -63,7 +63,9 @@ def rerank(fused: DataFrame, queries: DataFrame, chunks: DataFrame, scorer, top_
     base = fused.withColumn("fused_rank", F.col("rank"))
     if not enabled:
         return base.withColumn("rerank_score", F.lit(None).cast("double")).where(F.col("rank") <= final_k)
-    cut = base.where(F.col("rank") <= top_n)
+    # Few small rows, each of them much work: dealt out before their texts join, and not put together again.
+    tasks = int(fused.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = base.where(F.col("rank") <= top_n).repartition(tasks, "query_id", "chunk_id")
     texts = chunks.select("chunk_id", "content")
     pairs = cut.join(texts, "chunk_id").join(F.broadcast(queries.select("query_id", "query")), "query_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), "chunk_id")
