@@ -267,12 +267,13 @@ def representatives(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     that are equal throughout one stays. So rows without an id, or with one that other texts
     share, stay unless they are near-duplicates of what stays.
     """
-    key, row = fresh(docs, "_row"), row_hash(docs)
-    prints = checkpoint(fingerprints(docs.withColumn(key, row), shingle, id_col, text_col, key))
+    key = fresh(docs, "_row")
+    prints = checkpoint(fingerprints(docs.withColumn(key, row_hash(docs)), shingle, id_col, text_col, key))
     named = fingerprint_classes(prints, radius, cell).select("fp", "class")
-    # Each key comes with its own id, so that one hash shared by two rows of different ids loses neither.
+    # A row's key is its hash with its id, so that one hash shared by two rows of different ids loses neither. As one
+    # struct it takes null ids as equal, and the join and what follows need one shuffle by it.
     least = F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "row")).alias("least")
-    heads = prints.join(side(named), "fp").groupBy("class").agg(least).select(F.col("least.id").alias("_id"), F.col("least.row").alias("_head")).distinct()
-    keyed = docs.withColumn(key, row)
-    kept = keyed.join(heads, (keyed[key] == heads["_head"]) & keyed[id_col].eqNullSafe(heads["_id"]), "left_semi")
-    return kept.dropDuplicates([key, id_col]).drop(key)
+    heads = prints.join(side(named), "fp").groupBy("class").agg(least).select(F.struct("least.row", "least.id").alias("_head"))
+    # Cast to the heads' type, nullable throughout: else the join casts it, and its partitioning serves nobody after it.
+    keyed = docs.withColumn(key, F.struct(row_hash(docs).alias("row"), docs[id_col].alias("id")).cast(heads.schema["_head"].dataType))
+    return keyed.join(heads, keyed[key] == heads["_head"], "left_semi").dropDuplicates([key]).drop(key)
