@@ -26,9 +26,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, its text without the repeated chunks of lines; n_chars follows the text where lines went."""
+    """Every document, its text without the repeated chunks and runs of lines; n_chars follows the text where lines went."""
     name = fresh(docs, "n_lines_removed")
-    out = line_dedup.line_dedup(docs, removed_col=name)
+    out = line_dedup.line_dedup(docs, removed_col=name, with_runs=True)
     return out.withColumn("n_chars", F.when(F.col(name) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop(name)
 
 

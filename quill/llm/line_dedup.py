@@ -6,6 +6,12 @@ more) is a chunk by itself. Chunks of several lines, or of one long line, that s
 than one place are found by their hash; the bytes of each are compared with those of the
 first place (by id, text, line), and equal ones are removed everywhere but there.
 
+With runs, every least run of whole lines that comes to LONG words is taken as well, from each
+line on and back from each line. What stands in such a run depends on its own lines only, so a
+repeated passage of LONG words or more goes whole, wherever it begins and however short its
+lines are. Runs overlap: a line goes if an equal line at an earlier place stands for it, so the
+first copy of each line stays. Runs are compared by SHA-256 of their lines' SHA-256.
+
 Only hashes and places are shuffled; chunks' texts travel only for hashes that repeat. Lists
 of places by document join the documents by a broadcast while they are measured to be under
 BROADCAST_BYTES, by a shuffle beyond it.
@@ -57,16 +63,50 @@ def chunks(text: str | None, long: int = LONG, least: int = LEAST, divisor: int
     return out
 
 
+def runs(text: str | None, long: int = LONG) -> list[tuple[int, int]]:
+    """(first line, lines) of the least runs of lines that come to long words, from each line that has words on and back from each."""
+    if not text:
+        return []
+    counts = [len(line.encode().split()) for line in text.split("\n")]
+    out = set()
+    stop, words = 0, 0  # words: of the lines from i up to stop
+    for i, n in enumerate(counts):
+        while words < long and stop < len(counts):
+            words += counts[stop]
+            stop += 1
+        if words < long:
+            break
+        if n:
+            out.add((i, stop - i))
+        words -= n
+    start, words = 0, 0  # words: of the lines from start up to i
+    for i, n in enumerate(counts):
+        words += n
+        while words - counts[start] >= long:
+            words -= counts[start]
+            start += 1
+        if n and words >= long:
+            out.add((start, i + 1 - start))
+    return sorted(out)
+
+
+def run_digests(text: str, spans: list[tuple[int, int]]) -> list[bytes]:
+    """SHA-256 of the SHA-256 of the lines of each span (first line, lines)."""
+    lines = [hashlib.sha256(line.encode()).digest() for line in text.split("\n")]
+    return [hashlib.sha256(b"".join(lines[a : a + n])).digest() for a, n in spans]
+
+
 def chunk_hash(text: str) -> int:
     return int.from_bytes(hashlib.md5(text.encode()).digest()[:8], "little", signed=True)
 
 
-def line_dedup(docs: DataFrame, long: int = LONG, least: int = LEAST, divisor: int = DIVISOR, id_col: str = "doc_id", text_col: str = "text", removed_col: str = "n_lines_removed") -> DataFrame:
+def line_dedup(docs: DataFrame, long: int = LONG, least: int = LEAST, divisor: int = DIVISOR, id_col: str = "doc_id", text_col: str = "text", removed_col: str = "n_lines_removed", with_runs: bool = False) -> DataFrame:
     """All columns of docs with text_col replaced, and removed_col (long).
 
     Null text stays null, a text of which all goes becomes empty. Rows of equal id and text
     are one document: what one keeps, all keep. Null ids come before all others. Columns that
     docs has stay as they are; if it has removed_col itself, the new one replaces it.
+    with_runs: runs of long words are taken beside the chunks, whatever lines they are made of.
     """
     tune(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
@@ -75,11 +115,16 @@ def line_dedup(docs: DataFrame, long: int = LONG, least: int = LEAST, divisor: i
     def places(batch):
         at, first, count, hashes = [], [], [], []
         for i, t in enumerate(batch.column("text").to_pylist()):
-            for a, n, text in chunks(t, long, least, divisor):
-                at.append(i)
-                first.append(a)
-                count.append(n)
-                hashes.append(chunk_hash(text))
+            found = chunks(t, long, least, divisor)
+            spans = [(a, n) for a, n, _ in found]
+            if with_runs:
+                spans = sorted({*spans, *runs(t, long)})
+                hashes += [int.from_bytes(d[:8], "little", signed=True) for d in run_digests(t or "", spans)]
+            else:
+                hashes += [chunk_hash(text) for *_, text in found]
+            at += [i] * len(spans)
+            first += [a for a, _ in spans]
+            count += [n for _, n in spans]
         yield {"id": batch.column("id").take(pa.array(at, pa.int64())), "th": batch.column("th").take(pa.array(at, pa.int64())), "line": first, "n": count, "h": hashes}
 
     found = checkpoint(map_arrow(rows, places, f"id {kind}, th long, line int, n int, h long"))
@@ -107,13 +152,23 @@ def line_dedup(docs: DataFrame, long: int = LONG, least: int = LEAST, divisor: i
                 out["at"].append(i)
                 for c in ("line", "n", "h", "is_first"):
                     out[c].append(m[c])
-                out["text"].append("\n".join(lines[m["line"] : m["line"] + m["n"]]))
+                if not with_runs:
+                    out["text"].append("\n".join(lines[m["line"] : m["line"] + m["n"]]))
+            if with_runs:  # runs overlap, so their digests travel
+                out["text"] += [d.hex() for d in run_digests(t, [(m["line"], m["n"]) for m in met])]
         at = pa.array(out.pop("at"), pa.int64())
         yield out | {"id": batch.column("id").take(at), "th": batch.column("th").take(at)}
 
     bodies = checkpoint(map_arrow(held, texts, f"id {kind}, th long, line int, n int, h long, is_first boolean, text string"))
-    firsts = bodies.where("is_first").groupBy("h").agg(F.min("text").alias("first_text"))
-    equal = bodies.where("not is_first").join(checkpoint(firsts), "h").where("text = first_text").select("id", "th", "line", "n")
+    more = [F.min(place).alias("first")] if with_runs else []
+    firsts = bodies.where("is_first").groupBy("h").agg(F.min("text").alias("first_text"), *more)
+    equal = bodies.where("not is_first").join(checkpoint(firsts), "h").where("text = first_text")
+    if with_runs:  # a run that overlaps its own first place goes only beyond it
+        beyond = F.col("first.line") + F.col("n")
+        over = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th")) & (F.col("line") < beyond)
+        equal = equal.select("id", "th", F.when(over, beyond).otherwise(F.col("line")).alias("line"), F.when(over, F.col("line") - F.col("first.line")).otherwise(F.col("n")).alias("n"))
+    else:
+        equal = equal.select("id", "th", "line", "n")
     gone = checkpoint(equal.groupBy("id", "th").agg(F.collect_set(F.struct("line", "n")).alias("gone")))
     names = [c for c in docs.columns if c != removed_col]
     left = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))

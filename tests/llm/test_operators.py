@@ -213,6 +213,28 @@ def test_chunks_resist_shifts():
     assert len(a & b) >= 0.8 * len(a)
 
 
+@pytest.mark.parametrize(("n", "words"), [(3, 18), (3, 24), (5, 12), (6, 10), (11, 5), (20, 10), (40, 10), (60, 1)])
+def test_runs_of_short_lines_go_whole(spark, n, words):
+    """A passage of over 50 words goes from every later copy, whatever stands around it; the first copy and what is around stay."""
+    rng = random.Random(n * words)
+    line = lambda k: " ".join(word(rng.randint(0, 10**9)) for _ in range(k))
+    passage = [line(words) for _ in range(n)]
+    around = [([line(rng.randint(1, 9)) for _ in range(rng.randint(1, 4))], [line(rng.randint(1, 9)) for _ in range(rng.randint(1, 4))]) for _ in range(30)]
+    texts = [(i, "\n".join([*a, *passage, *b])) for i, (a, b) in enumerate(around)]
+    got = {r.doc_id: (r.text, r.n_lines_removed) for r in line_dedup.line_dedup(table(spark, texts), with_runs=True).collect()}
+    assert got == {i: (t, 0) if i == 0 else ("\n".join([*around[i][0], *around[i][1]]), n) for i, t in texts}
+
+
+def test_runs_that_overlap_keep_a_copy(spark):
+    rng = random.Random(3)
+    pool = [word(i) + " a b c d e" for i in range(12)] + ["", " "]
+    texts = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(0, 60)))) for i in range(40)] + [(50, "\n".join(["x y z u v w"] * 30)), (51, None)]
+    got = {r.doc_id: r for r in line_dedup.line_dedup(table(spark, texts), with_runs=True).collect()}
+    lines = lambda ts: {x for t in ts if t for x in t.split("\n")}
+    assert lines(r.text for r in got.values()) == lines(t for _, t in texts)
+    assert 5 <= got[50].text.count("x y z") < 30 and got[51].text is None
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(size=6).round(1).tolist(), 0) for i in range(300)]
