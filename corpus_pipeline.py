@@ -14,6 +14,8 @@ from quill.llm.runtime import fresh, remainder
 
 #: FTRL and SimHash can't be said in DuckDB's SQL.
 ORACLE_SQL = None
+#: Jaccard similarity of sets of five-word shingles that makes near copies, beside near fingerprints.
+SIMILARITY = 0.8
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +36,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the least id of each class of near copies. Rows without an id, or with one that other texts share, are judged by their own text."""
-    return simhash.representatives(docs)
+    return simhash.representatives(docs, similarity=SIMILARITY)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,6 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quill.llm import jaccard
 from quill.llm.runtime import checkpoint, fresh, map_arrow, row_hash, side, texts_of
 
 SHINGLE, RADIUS = 3, 3
@@ -65,17 +66,25 @@ def shingle_hashes(text: bytes | None, size: int = SHINGLE, seed: int = 42) -> n
     return np.array([digest(whole[s:e], seed) for s, e in zip(starts[: 1 - size].tolist(), ends[size - 1 :].tolist(), strict=True)], dtype=np.uint64)
 
 
-def fingerprints(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
-    """id and fp (the fingerprint's bits as a signed long) of every row, and row (of row_col, a long) if that is given; null and empty texts have 0."""
+def fingerprints(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, set_size: int | None = None) -> DataFrame:
+    """id and fp (the fingerprint's bits as a signed long) of every row, and row (of row_col, a long) if that is given; null and empty texts have 0.
+
+    With set_size also, of the set of shingles of that many words, its hash m, its size n and its keys (see jaccard); n is 0 without words.
+    """
     more = [F.col(f"`{row_col}`").alias("row")] if row_col else []
     rows = docs.select(F.col(id_col).alias("id"), *more, F.col(text_col).alias("text"))
     names = rows.columns[:-1]
 
     def run(batch):
-        out = np.array([fingerprint(shingle_hashes(t, size)) for t in texts_of(batch)], dtype=np.uint64)
-        yield {c: batch.column(c) for c in names} | {"fp": out.view(np.int64)}
+        texts = texts_of(batch)
+        out = np.array([fingerprint(shingle_hashes(t, size)) for t in texts], dtype=np.uint64)
+        more = {}
+        if set_size:
+            sets = [np.unique(shingle_hashes(t, set_size)) for t in texts]
+            more = {"m": [jaccard.set_hash(s, f) for s, f in zip(sets, out.tolist(), strict=True)], "n": [len(s) for s in sets], "keys": [jaccard.band_keys(s) if len(s) else [] for s in sets]}
+        yield {c: batch.column(c) for c in names} | {"fp": out.view(np.int64)} | more
 
-    return map_arrow(rows, run, "".join(f"{c} {k}, " for c, k in rows.dtypes[:-1]) + "fp long")
+    return map_arrow(rows, run, "".join(f"{c} {k}, " for c, k in rows.dtypes[:-1]) + "fp long" + (", m long, n long, keys array<long>" if set_size else ""))
 
 
 def block_masks(blocks: int) -> list[int]:
@@ -260,16 +269,22 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     return prints.join(side(named), "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, cell: int = CELL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def representatives(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, cell: int = CELL, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, set_size: int = 5) -> DataFrame:
     """One row of docs, with all its columns, for each class of near-duplicates: that of the least id.
 
+    With similarity, texts whose sets of shingles of set_size words have that Jaccard similarity
+    or more are near-duplicates too, however far apart their fingerprints are.
+
     Null ids come after all others; rows of one id go by a hash of the whole row, and of rows
     that are equal throughout one stays. So rows without an id, or with one that other texts
     share, stay unless they are near-duplicates of what stays.
     """
     key = fresh(docs, "_row")
-    prints = checkpoint(fingerprints(docs.withColumn(key, row_hash(docs)), shingle, id_col, text_col, key))
+    prints = checkpoint(fingerprints(docs.withColumn(key, row_hash(docs)), shingle, id_col, text_col, key, set_size if similarity else None))
     named = fingerprint_classes(prints, radius, cell).select("fp", "class")
+    if similarity:
+        set_of = lambda t: (fingerprint(shingle_hashes(t, shingle)), np.unique(shingle_hashes(t, set_size)))
+        named = jaccard.merged_classes(docs, prints, checkpoint(named), similarity, set_of, classes, text_col)
     # A row's key is its hash with its id, so that one hash shared by two rows of different ids loses neither. As one
     # struct it takes null ids as equal, and the join and what follows need one shuffle by it.
     least = F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "row")).alias("least")

@@ -187,6 +187,30 @@ def test_near_duplicates_edges(spark):
     assert simhash.near_duplicates(table(spark, [])).count() == 0
 
 
+def test_representatives_by_similarity(spark):
+    """No two rows that stay have a Jaccard similarity of 0.8, and every row that goes beside near fingerprints has a near copy."""
+    rng = random.Random(11)
+    texts = []
+    for family in range(12):
+        base = [word(rng.randint(0, 10**6)) for _ in range(rng.choice([6, 60, 200, 900]))]
+        for _ in range(rng.choice([1, 2, 3, 25])):
+            own = list(base)
+            for _ in range(rng.randint(0, max(1, len(own) // 40))):
+                own[rng.randrange(len(own))] = word(rng.randint(0, 10**6))
+            texts.append((len(texts), " ".join(own)))
+    texts += [(None, texts[0][1] + " more"), (500, None), (501, ""), (502, "few words")]
+    sets = [frozenset(" ".join((t or "").split()[i : i + 5]) for i in range(max(1, len((t or "").split()) - 4))) if t else frozenset() for _, t in texts]
+    near = lambda i, j: bool(sets[i]) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    far = [(i, j) for j in range(len(texts)) for i in range(j) if near(i, j) and (simhash.fingerprint(simhash.shingle_hashes(texts[i][1].encode())) ^ simhash.fingerprint(simhash.shingle_hashes(texts[j][1].encode()))).bit_count() > 3]
+    assert len(far) > 20
+    kept = {(r.doc_id, r.text) for r in simhash.representatives(table(spark, texts), similarity=0.8).collect()}
+    stay = [i for i, t in enumerate(texts) if t in kept]
+    assert not [1 for j in stay for i in stay if i < j and near(i, j)]
+    radius = {(r.doc_id, r.text) for r in simhash.representatives(table(spark, texts)).collect()}
+    assert kept < radius
+    assert all(any(near(i, j) for j in range(len(texts)) if j != i) for i, t in enumerate(texts) if t in radius - kept)
+
+
 def test_line_dedup(spark):
     long = " ".join(word(i) for i in range(30))
     short = "one two three four\nfive six seven eight"
