@@ -67,23 +67,28 @@ class Node:
     __slots__ = ("tag", "kids", "text", "linked", "number", "drop", "whole")
 
     def __init__(self, tag: str, text: str = ""):
-        self.tag, self.kids, self.text, self.linked, self.number, self.drop, self.whole = tag, [], text, 0, -1, False, None
+        self.tag, self.kids, self.text, self.linked, self.number, self.drop, self.whole = tag, [], text, 0, -1, 0, None
 
 
-def _says(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether an element says that it is no main text. A header inside an article is the article's."""
+#: How an element says that it is no main text: by its tag, role or being hidden, by a class word of READERS, or by another.
+SURE, READER, HINT = 3, 2, 1
+
+
+def _says(tag: str, attributes: str, inside: bool) -> int:
+    """Whether an element says that it is no main text (SURE, READER, HINT, or 0). A header inside an article is the article's."""
     if tag in DROPPED or tag == "header" and not inside:
-        return True
+        return SURE
+    hint = 0
     if attributes and tag not in ("html", "body"):
         for m in _ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if name == "role" and value.strip().lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-                return True
+                return SURE
             if name in ("class", "id"):
                 for word in value.split():
                     if (READERS if tag in ("article", "main") else MARKED).search(word) and not LAYOUT.match(word):
-                        return True
-    return False
+                        hint = max(hint, READER if READERS.search(word) else HINT)
+    return hint
 
 
 def parse(page: str) -> Node:
@@ -176,15 +181,47 @@ def parse(page: str) -> Node:
 
 
 def cleaned(root: Node) -> Node:
-    """The tree without elements that say they are no main text, cut to the article or main elements if there are any."""
+    """The tree without elements that say they are no main text, cut to the article or main elements if there are any.
+
+    Class words are a hint only: an element named by them stays if it holds half of the text
+    of all articles and mains, or most of the page's text; words of comments, adverts and
+    teasers (READERS) say more. If nothing were left, only tags, roles and hidden ones go.
+    """
+    sizes: dict[int, tuple[int, int]] = {}
+
+    def measure(node: Node) -> tuple[int, int]:
+        """Characters, and those in articles and mains, without what tags, roles and words of readers name."""
+        total, within = len(node.text), 0
+        node.kids = [k for k in node.kids if k.drop != SURE]
+        for k in node.kids:
+            n, articles = measure(k)
+            if k.drop != READER:
+                total += n
+                within += n if k.tag in ("article", "main") and not k.drop else articles
+        sizes[id(node)] = total, within
+        return total, within
+
+    whole, articles = measure(root)
+
+    def stays(node: Node) -> bool:
+        if node.drop == HINT:
+            total, within = sizes[id(node)]
+            return 2 * within >= articles > 0 or 2 * total > whole
+        return not node.drop
+
+    before: list[tuple[Node, list[Node]]] = []
 
     def prune(node: Node) -> None:
-        node.kids = [k for k in node.kids if not k.drop]
+        before.append((node, node.kids))
+        node.kids = [k for k in node.kids if stays(k)]
         for k in node.kids:
             if k.kids:
                 prune(k)
 
     prune(root)
+    if not texts(root):
+        for node, kids in before:
+            node.kids = kids
     found: list[Node] = []
 
     def tops(node: Node, tag: str) -> None:

@@ -382,6 +382,19 @@ def test_extraction(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("name", ["content-sidebar-wrap", "right-sidebar", "site header", "tags", "search-page"])
+def test_class_words_do_not_empty_pages(spark, name):
+    wrapped = f"<body><div class='{name}'><article><p>Main text {{0}}</article><div class='sidebar'>Side words</div></div><div class='comments'>Said</div></body>"
+    plain = f"<body><div id='{name}'><p>The long main text of page {{0}}</div><div class='sidebar'>Side</div><div class='menu'>Go</div></body>"
+    pages = [(i, f"http://h.example/{i}", wrapped.replace("{0}", f"w{i}")) for i in range(4)] + [(9, "http://o.example/", plain.replace("{0}", "nine"))]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {**{i: f"Main text w{i}" for i in range(4)}, 9: "The long main text of page nine"}
+    bare = lambda html: html_extract.main_text(html_extract.cleaned(html_extract.parse(html)))
+    assert bare("<div class=related><p>All there is</div>") == "All there is"
+    assert bare("<article>The main text</article><div class=related><article>Teaser</article></div><div class=sidebar><article>Card</article></div>") == "The main text"
+    assert bare("<div>Short post</div><div class=comments>A much longer talk of its readers</div>") == "Short post"
+
+
 def test_parsing_deep_and_broken_pages():
     assert html_extract.main_text(html_extract.cleaned(html_extract.parse("<div>" * 5000 + "deep" + "</div>" * 5000))) == "deep"
     assert html_extract.main_text(html_extract.cleaned(html_extract.parse('<p title="a > b">x</p> 1 < 2 <a "' + '"x" ' * 5000))).startswith("x")
