@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quill.llm import decontaminate, line_dedup, packing, simhash, toxicity
 from quill.llm.queries import tokenizer_path
-from quill.llm.runtime import fresh, remainder
+from quill.llm.runtime import fresh, remainder, remove_folder, shared_folder
 
 #: FTRL and SimHash can't be said in DuckDB's SQL.
 ORACLE_SQL = None
@@ -59,11 +59,16 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet in the shared folder and read again."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quill-pipeline-")
-    base = f"{base}/pipeline-{uuid.uuid4().hex}"
+    """All stages over documents, each written as Parquet in the shared folder and read again.
+
+    A stage's folder goes as soon as the next one's is whole; the last one's, which the result reads, with the session.
+    """
+    base = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
         docs = spark.read.parquet(f"{base}/{k}")
+        if k:
+            remove_folder(spark, f"{base}/{k - 1}")
+    atexit.register(remove_folder, spark, base)
     return docs

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,23 +26,63 @@ def tune(spark: SparkSession) -> None:
             spark.conf.set(name, str(most))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or where none is set and all runs in one process, one of our own."""
+    sc = spark.sparkContext
+    if folder := sc.getConf().get("spark.checkpoint.dir"):
+        return folder
+    if not (sc.master == "local" or sc.master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if sc.applicationId not in _OWN:
+        _OWN[sc.applicationId] = folder = tempfile.mkdtemp(prefix="quill-shared-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return _OWN[sc.applicationId]
+
+
+_OWN: dict[str, str] = {}
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in spark.checkpoint.dir; a folder of our own only where none is set."""
+    """Cut lineage with a table written in the shared folder, which goes with the session.
+
+    Read back, it has the sizes of its files and columns that can be pruned. DataFrame.checkpoint()
+    keeps the estimates of the plan that it cuts, and those of joins are products: after some rounds of
+    an iteration the optimizer multiplies numbers of millions of digits.
+    """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quill-checkpoint-"))
-    return df.checkpoint()
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(remove_folder, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-#: Rows of a side that is broadcast, at most, where a row is a few numbers.
-BROADCAST_ROWS = 200_000
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Take away a folder of any file system that Spark knows; nothing once the session has ended."""
+    jvm, context = spark.sparkContext._jvm, spark.sparkContext._jsc
+    if jvm is not None and context is not None and not context.sc().isStopped():
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(context.hadoopConfiguration()).delete(where, True)
+
+
+#: Bytes of a side that is broadcast, at most, by its values' sizes, with 16 bytes a row and column besides.
+BROADCAST_BYTES = 8 << 20
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes: fixed for numbers, by their length for strings, binaries and arrays."""
+    total = F.lit(16 * len(df.columns)).cast("long")
+    for c, (_, kind) in zip(columns_of(df), df.dtypes, strict=True):
+        if kind in ("string", "binary"):
+            total += F.coalesce(F.octet_length(c), F.lit(0))
+        elif kind.startswith(("array", "map", "struct")):
+            total += F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+    return total
 
 
 def side(df: DataFrame) -> DataFrame:
-    """A checkpointed side of a join by a key that may be hot: broadcast if it is counted to be small, else left so that Spark can split both sides' skewed partitions."""
+    """A checkpointed side of a join by a key that may be hot: broadcast if its bytes are summed to be few, else left so that Spark can split both sides' skewed partitions."""
     df = checkpoint(df)
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if (df.agg(F.sum(row_bytes(df))).first()[0] or 0) <= BROADCAST_BYTES else df
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[dict] | None], schema: str) -> DataFrame:
@@ -60,6 +104,29 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[dict] | Non
     return df.mapInArrow(run, fields)
 
 
+def cells_of(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows sorted by the long columns names, some at a time, with the bounds of runs of equal ones; no run is cut by a batch's end."""
+    held: list[pa.Table] = []
+
+    def bounds(table: pa.Table) -> np.ndarray:
+        key = np.stack([table.column(c).to_numpy() for c in names])
+        return np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, [table.num_rows]])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(pa.Table.from_batches([batch]))
+            # A batch of the same run throughout only adds to what is held.
+            if all(held[0].column(c)[0] == held[-1].column(c)[-1] for c in names):
+                continue
+            table = pa.concat_tables(held).combine_chunks()
+            at = bounds(table)
+            yield table.slice(0, at[-2]), at[:-1]
+            held = [table.slice(at[-2])]
+    if held:
+        table = pa.concat_tables(held).combine_chunks()
+        yield table, bounds(table)
+
+
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:
     """The UTF-8 bytes of a string column."""
     return batch.column(name).cast(pa.binary()).to_pylist()

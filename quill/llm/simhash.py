@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quill.llm import jaccard
-from quill.llm.runtime import checkpoint, fresh, map_arrow, row_hash, side, texts_of
+from quill.llm.runtime import cells_of, checkpoint, fresh, map_arrow, row_hash, side, texts_of
 
 SHINGLE, RADIUS = 3, 3
 #: Fingerprints under one key that one task compares, at most.
@@ -81,7 +81,7 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", t
         more = {}
         if set_size:
             sets = [np.unique(shingle_hashes(t, set_size)) for t in texts]
-            more = {"m": [jaccard.set_hash(s, f) for s, f in zip(sets, out.tolist(), strict=True)], "n": [len(s) for s in sets], "keys": [jaccard.band_keys(s) if len(s) else [] for s in sets]}
+            more = {"m": [jaccard.set_hash(s, f) for s, f in zip(sets, out.tolist(), strict=True)], "n": [len(s) for s in sets], "keys": [jaccard.band_keys(jaccard.minima(s)) if len(s) else [] for s in sets]}
         yield {c: batch.column(c) for c in names} | {"fp": out.view(np.int64)} | more
 
     return map_arrow(rows, run, "".join(f"{c} {k}, " for c, k in rows.dtypes[:-1]) + "fp long" + (", m long, n long, keys array<long>" if set_size else ""))
@@ -159,43 +159,24 @@ def _links_of_cells(radius: int, references: np.ndarray):
     """Over rows sorted by cell: the links within each cell."""
 
     def run(batches):
-        held: list[pa.Table] = []
-
-        def solve(table: pa.Table):
-            cell = np.stack([table.column(c).to_numpy() for c in ("k", "a", "b")])
-            fps, side = table.column("fp").to_numpy().view(np.uint64), table.column("side").to_numpy()
-            cuts = np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(axis=0)) + 1
-            x, y = [], []
-            for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), cell.shape[1]], strict=True):
-                if e - s < 2:
-                    continue
-                if e - s == 2:
-                    if side[s] <= side[s + 1] and int(np.bitwise_count(fps[s] ^ fps[s + 1])) <= radius and (cell[1, s] == cell[2, s] or side[s] != side[s + 1]):
-                        x.append(fps[s])
-                        y.append(fps[s + 1])
-                    continue
-                apart = int(np.searchsorted(side[s:e], 1)) if cell[1, s] != cell[2, s] else None
-                for p, q in links(fps[s:e], radius, references, apart):
-                    x.append(fps[s + p])
-                    y.append(fps[s + q])
-            x, y = np.array(x, dtype=np.uint64).view(np.int64), np.array(y, dtype=np.uint64).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["u", "v"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(pa.Table.from_batches([batch]))
-            table = pa.concat_tables(held)
-            last = [table.column(c)[-1].as_py() for c in ("k", "a", "b")]
-            same = np.ones(table.num_rows, dtype=bool)
-            for c, v in zip(("k", "a", "b"), last, strict=True):
-                same &= table.column(c).to_numpy() == v
-            cut = int(np.argmax(same))  # rows are sorted: the last cell may go on
-            if cut:
-                yield solve(table.slice(0, cut))
-            held = [table.slice(cut)]
-        if held:
-            yield solve(pa.concat_tables(held))
+        for table, bounds in cells_of(batches, ("k", "a", "b")):
+            a, b, side_ = (table.column(c).to_numpy() for c in ("a", "b", "side"))
+            fps = table.column("fp").to_numpy().view(np.uint64)
+            # Most cells have two rows: these are discarded and verified by columns, all at once.
+            two = bounds[:-1][np.diff(bounds) == 2]
+            two = two[(a[two] == b[two]) | (side_[two] != side_[two + 1])]
+            two = two[np.abs(distances(fps[two], references) - distances(fps[two + 1], references)).max(axis=1, initial=0) <= radius]
+            two = two[np.bitwise_count(fps[two] ^ fps[two + 1]) <= radius]
+            x, y = [fps[two]], [fps[two + 1]]
+            for i in np.flatnonzero(np.diff(bounds) > 2).tolist():
+                s, e = int(bounds[i]), int(bounds[i + 1])
+                found = links(fps[s:e], radius, references, int(np.searchsorted(side_[s:e], 1)) if a[s] != b[s] else None)
+                if found:
+                    p, q = np.array(found).T + s
+                    x.append(fps[p])
+                    y.append(fps[q])
+            x, y = np.concatenate(x).view(np.int64), np.concatenate(y).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["u", "v"])
 
     return run
 
@@ -269,7 +250,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     return prints.join(side(named), "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, cell: int = CELL, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, set_size: int = 5) -> DataFrame:
+def representatives(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, cell: int = CELL, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, set_size: int = 5, set_cell: int = jaccard.CELL) -> DataFrame:
     """One row of docs, with all its columns, for each class of near-duplicates: that of the least id.
 
     With similarity, texts whose sets of shingles of set_size words have that Jaccard similarity
@@ -284,7 +265,7 @@ def representatives(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     named = fingerprint_classes(prints, radius, cell).select("fp", "class")
     if similarity:
         set_of = lambda t: (fingerprint(shingle_hashes(t, shingle)), np.unique(shingle_hashes(t, set_size)))
-        named = jaccard.merged_classes(docs, prints, checkpoint(named), similarity, set_of, classes, text_col)
+        named = jaccard.merged_classes(docs, prints, checkpoint(named), similarity, set_of, classes, text_col, set_cell)
     # A row's key is its hash with its id, so that one hash shared by two rows of different ids loses neither. As one
     # struct it takes null ids as equal, and the join and what follows need one shuffle by it.
     least = F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "row")).alias("least")
