@@ -1,60 +1,77 @@
 """Main text of web pages by wrapper induction.
 
-A page becomes a tree of blocks with their text. Of each host two pivot pages (the first
-and the last by a hash) are aligned with all the host's pages by simple tree matching; a
-pivot's text node that at least SHARE of the host's different pages have unchanged at the
-aligned place, and MIN_PAGES pages at least, is template. What a page has at the place of a
-template node, unchanged, is left out; what varies from page to page is content.
-
-Slots that vary are not always content: menus, notices, adverts and comments vary too. So
-elements that say what they are (by tag, role, class or id) go first, and lists of links as
-well. If a page has an article or main element, the text is taken from there. A page of which the template
-would leave nothing keeps its text.
-
-Pages are read in two passes (counts, then text), each a map; counts are of each page's
-place in its host and pre-aggregated. Pivots and templates join pages by host through a
-broadcast while measured to be under BROADCAST_BYTES, by a shuffle that Spark can split
-beyond it.
+A page becomes a tree of blocks with their text. Of each host two pivot pages are aligned with
+all the host's pages by simple tree matching, over the whole of both trees; a pivot's text
+node that at least SHARE of the host's different pages have unchanged at the aligned place, and
+MIN_PAGES pages at least, is template. What a page has at the place of a template node,
+unchanged, is left out; what varies from page to page is content.
+
+Slots that vary are not always content: menus, adverts and comments vary too. So elements that
+say what they are by tag, role or an unmistakable class word go as well. Other class words are
+votes: outside of articles they count unless most of the text stands there; inside of one they
+count only if alignment confirms them, that is if SHARE of the host's pages have an article
+with an element of that tag and word. If articles (else main elements) hold half of what
+is left, the text is taken from there.
+
+A page is parsed and aligned once; its texts are written with the numbers of the pivots' nodes
+that they repeat. Counts of these by host are pre-aggregated, and a second pass over the written
+texts leaves out what the counts call template. Pivots and templates join pages by host through
+a broadcast while measured to be small, by a shuffle that Spark can split beyond it. Neither
+the size of a page nor its depth or the number of its blocks changes how it is read.
 """
 
 from __future__ import annotations
 
 import html as html_
 import re
+import sys
+import zlib
+from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quill.llm.runtime import checkpoint, map_arrow
+from quill.llm.runtime import checkpoint, map_arrow, side
 
 SHARE, MIN_PAGES = 0.5, 3
-#: Bytes of a page that can be a pivot, at most.
+#: Pages up to this size are pivots rather than larger ones of their host.
 PIVOT_BYTES = 1 << 17
-BROADCAST_BYTES = 16 << 20
-#: Cells of one alignment of two nodes' children; larger ones are aligned by equal beginnings and ends.
+#: Cells of an alignment that are held at once; a larger one is halved (and gives the same).
 CELLS = 1 << 22
 
 # Element names of HTML by their part in a page.
-RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "audio", "video", "canvas", "xmp"}
+RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "object", "audio", "video", "canvas", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form",
     "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
-DROPPED = {"head", "nav", "footer", "aside", "form", "menu", "dialog", "button", "select", "option", "fieldset", "search", "label"}
+DROPPED = {"head", "nav", "footer", "aside", "form", "menu", "dialog", "fieldset", "search"}
+#: Inline elements whose text is none of the page's.
+DROPPED_INLINE = {"button", "select", "option", "label", "annotation", "annotation-xml"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 ROLES = {"navigation", "banner", "contentinfo", "search", "complementary", "dialog", "alertdialog", "alert", "menu", "menubar", "form", "toolbar"}
-MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert(?:s|isement|ising)?|adsense|banner|sponsor(?:ed|s)?|promo(?:s|tion)?|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|"
-    r"nav|navbar|navigation|menu|sidebar|side|rail|footer|header|masthead|topbar|breadcrumbs?|comments?|commentlist|disqus|repl(?:y|ies)|respond|share|sharing|social|related|recommended|widgets?|toolbar|pagination|pager|tags?|search)(?:$|[\s_-]|\d)",
+#: Class words that are no main text anywhere: adverts and what readers say.
+STRONG = re.compile(
+    r"(?:(?:reader|user|page|post|article|google)s?[_-])?(?:ads?|adverts?|advertis(?:ing|ements?)|adsense|sponsor(?:ed|s)?|promos?|comments?|commentlist|disqus|repl(?:y|ies)|respond)"
+    r"(?:[_-](?:\d+|area|banner|block|box|container|form|list|section|slot|thread|unit|wrap|wrapper))?",
     re.I,
 )
-#: What makes even an article none, and words that tell of a layout with such parts.
-READERS = re.compile(r"(?:^|[_-])(?:comments?|repl(?:y|ies)|ads?|advert|sponsor(?:ed)?|promo|related|teaser)(?:$|[_-]|\d)", re.I)
+#: The same for an article, which may be a teaser of another page.
+NO_ARTICLE = re.compile(r"(?:.*[_-])?(?:related|teaser|card|promo)s?(?:[_-].*)?", re.I)
+#: Whole class words of menus and notices; and words, whole or as a part, that are votes.
+MENUS = {
+    "breadcrumb", "breadcrumbs", "consent", "cookie", "cookies", "footer", "gdpr", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "pager", "pagination", "popup", "signup", "subscribe", "toolbar", "topbar",
+}
+VOTES = re.compile(
+    r"(?:^|[_-])(?:ads?|advert(?:s|isement|ising)?|adsense|banner|sponsor(?:ed|s)?|promo(?:s|tion)?|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|"
+    r"nav|navbar|navigation|menu|sidebar|side|rail|footer|header|masthead|topbar|breadcrumbs?|comments?|commentlist|disqus|repl(?:y|ies)|respond|share|sharing|social|related|recommended|widgets?|toolbar|pagination|pager|tags?|search)(?:$|[_-]|\d)",
+    re.I,
+)
+#: Beginnings of words that tell of a layout with such parts.
 LAYOUT = re.compile(r"(?:no|with|has|without|is|show|hide)[_-]", re.I)
-#: Blocks open at once, at most; blocks nested deeper only part the text.
-DEPTH = 200
 #: Open elements that a start tag ends: its own kind in lists and tables, paragraphs by any block.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "option": {"option"}}
 SCOPE = {"ul", "ol", "dl", "table", "div", "section", "article", "main", "nav", "body", "td", "th"}
@@ -62,60 +79,69 @@ SCOPE = {"ul", "ol", "dl", "table", "div", "section", "article", "main", "nav",
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"<]*"|'[^'<]*'|["'])*+)>""", re.S)
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 
+#: What an element says of itself: no main text for sure (by tag, role, being hidden), by a STRONG word, by one of MENUS, by a vote; a slot is a vote inside an article.
+SURE, READER, MENU, VOTE, SLOT = 5, 4, 3, 2, 1
 
-class Node:
-    __slots__ = ("tag", "kids", "text", "linked", "number", "drop", "whole")
 
-    def __init__(self, tag: str, text: str = ""):
-        self.tag, self.kids, self.text, self.linked, self.number, self.drop, self.whole = tag, [], text, 0, -1, 0, None
+class Node:
+    """A block, or a text (tag #). shape: a hash of the tags below, n: how many nodes they are; first, last: its texts among the page's."""
 
+    __slots__ = ("tag", "kids", "text", "mark", "slot", "shape", "n", "first", "last")
 
-#: How an element says that it is no main text: by its tag, role or being hidden, by a class word of READERS, or by another.
-SURE, READER, HINT = 3, 2, 1
+    def __init__(self, tag: str, text: str = ""):
+        self.tag, self.kids, self.text, self.mark, self.slot, self.shape, self.n, self.first, self.last = tag, [], text, 0, 0, 0, 1, 0, 0
 
 
-def _says(tag: str, attributes: str, inside: bool) -> int:
-    """Whether an element says that it is no main text (SURE, READER, HINT, or 0). A header inside an article is the article's."""
-    if tag in DROPPED or tag == "header" and not inside:
-        return SURE
-    hint = 0
+def _says(tag: str, attributes: str, inside: bool) -> tuple[int, int]:
+    """The mark of an element, and the code of its slot (negative) if it is a vote inside an article. A header inside an article is the article's."""
+    if tag in DROPPED or tag in DROPPED_INLINE or tag == "header" and not inside:
+        return SURE, 0
+    mark = slot = 0
     if attributes and tag not in ("html", "body"):
         for m in _ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if name == "role" and value.strip().lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-                return SURE
-            if name in ("class", "id"):
-                for word in value.split():
-                    if (READERS if tag in ("article", "main") else MARKED).search(word) and not LAYOUT.match(word):
-                        hint = max(hint, READER if READERS.search(word) else HINT)
-    return hint
+                return SURE, 0
+            if name not in ("class", "id") or tag in HEADINGS:
+                continue
+            for word in value.lower().split():
+                if LAYOUT.match(word):
+                    continue
+                if STRONG.fullmatch(word) or tag == "article" and NO_ARTICLE.fullmatch(word):
+                    mark = max(mark, READER)
+                elif tag in ("article", "main"):
+                    continue
+                elif inside:
+                    if VOTES.fullmatch(word) and not mark:
+                        mark, slot = SLOT, -2 - (zlib.crc32(f"{tag} {word}".encode()) & 0x3FFFFFFF)
+                elif word in MENUS:
+                    mark = max(mark, MENU)
+                elif VOTES.search(word):
+                    mark = max(mark, VOTE)
+    return mark, slot if mark == SLOT else 0
 
 
 def parse(page: str) -> Node:
     """The tree of blocks; text nodes (#) hold the inline text of a block between its child blocks, white space collapsed."""
     root = Node("#root")
-    stack, tags = [root], ["#root"]  # open block elements; inline elements only count for links
+    stack, open_ = [root], {}  # open block elements, and how many of each tag
     parts: list[str] = []
-    linked, link_depth, inside, inline_drop = 0, 0, 0, []
+    inside, inline_drop = 0, []
     at, n = 0, len(page)
 
     def flush() -> None:
-        nonlocal linked
         if parts:
             text = " ".join(html_.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                node = Node("#", text)
-                node.linked = min(linked, len(text))
-                stack[-1].kids.append(node)
-        linked = 0
+                stack[-1].kids.append(Node("#", text))
 
     def pop(to: int) -> None:
         nonlocal inside
         flush()
         while len(stack) > to:
             gone = stack.pop()
-            tags.pop()
+            open_[gone.tag] -= 1
             inside -= gone.tag in ("article", "main")
 
     while at < n:
@@ -123,8 +149,6 @@ def parse(page: str) -> Node:
         text = page[at : m.start()] if m else page[at:]
         if text and not inline_drop:
             parts.append(text)
-            if link_depth:
-                linked += len(text)
         if not m:
             break
         at = m.end()
@@ -137,218 +161,247 @@ def parse(page: str) -> Node:
                 at = end.end() if end else n
             continue
         if tag in BLOCK:
-            inline_drop, link_depth = [], 0
+            inline_drop = []
             if closing:
-                if tag in tags:
-                    pop(len(tags) - 1 - tags[::-1].index(tag))
+                if open_.get(tag):
+                    k = len(stack) - 1
+                    while stack[k].tag != tag:
+                        k -= 1
+                    pop(k)
                 else:
                     flush()
                 continue
             flush()
-            if tags[-1] == "p":
-                pop(len(tags) - 1)
+            if stack[-1].tag == "p":
+                pop(len(stack) - 1)
             if tag in ENDS:
-                for k in range(len(tags) - 1, 0, -1):
-                    if tags[k] in ENDS[tag]:
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].tag in ENDS[tag]:
                         pop(k)
-                    elif tags[k] in SCOPE - ENDS[tag]:
+                    elif stack[k].tag in SCOPE - ENDS[tag]:
                         break
-            if len(stack) >= DEPTH:
-                continue
             node = Node(tag)
-            node.drop = _says(tag, attributes, inside > 0)
-            inside += tag in ("article", "main")
+            node.mark, node.slot = _says(tag, attributes, inside > 0)
             stack[-1].kids.append(node)
             if tag not in VOID:
                 stack.append(node)
-                tags.append(tag)
-            else:
-                inside -= tag in ("article", "main")
+                open_[tag] = open_.get(tag, 0) + 1
+                inside += tag in ("article", "main")
             continue
-        if tag == "br" or tag in VOID:
+        if tag in VOID:
             parts.append(" ")
-        elif tag == "a":
-            link_depth = max(0, link_depth + (-1 if closing else 1))
         if inline_drop:
             if closing and tag == inline_drop[-1]:
                 inline_drop.pop()
             elif not closing and tag == inline_drop[-1] and tag not in VOID:
                 inline_drop.append(tag)
-        elif not closing and tag not in VOID and not attributes.endswith("/") and (tag in ("button", "select", "label", "option") or attributes and _says(tag, attributes, True)):
+        elif not closing and tag not in VOID and not attributes.endswith("/") and (tag in DROPPED_INLINE or attributes and _says(tag, attributes, True)[0] >= READER):
             inline_drop.append(tag)
     pop(1)
+    flush()
     return root
 
 
-def cleaned(root: Node) -> Node:
-    """The tree without elements that say they are no main text, cut to the article or main elements if there are any.
+@dataclass
+class Page:
+    """A parsed page: its tree, its texts in page order, which of them are main text as far as the page itself tells, and their slots."""
 
-    Class words are a hint only: an element named by them stays if it holds half of the text
-    of all articles and mains, or most of the page's text; words of comments, adverts and
-    teasers (READERS) say more. If nothing were left, only tags, roles and hidden ones go.
-    """
-    sizes: dict[int, tuple[int, int]] = {}
-
-    def measure(node: Node) -> tuple[int, int]:
-        """Characters, and those in articles and mains, without what tags, roles and words of readers name."""
-        total, within = len(node.text), 0
-        node.kids = [k for k in node.kids if k.drop != SURE]
-        for k in node.kids:
-            n, articles = measure(k)
-            if k.drop != READER:
-                total += n
-                within += n if k.tag in ("article", "main") and not k.drop else articles
-        sizes[id(node)] = total, within
-        return total, within
-
-    whole, articles = measure(root)
-
-    def stays(node: Node) -> bool:
-        if node.drop == HINT:
-            total, within = sizes[id(node)]
-            return 2 * within >= articles > 0 or 2 * total > whole
-        return not node.drop
-
-    before: list[tuple[Node, list[Node]]] = []
-
-    def prune(node: Node) -> None:
-        before.append((node, node.kids))
-        node.kids = [k for k in node.kids if stays(k)]
-        for k in node.kids:
-            if k.kids:
-                prune(k)
-
-    prune(root)
-    if not texts(root):
-        for node, kids in before:
-            node.kids = kids
-    found: list[Node] = []
-
-    def tops(node: Node, tag: str) -> None:
-        for k in node.kids:
-            if k.tag == tag and texts(k):
-                found.append(k)
-            elif k.kids:
-                tops(k, tag)
-
-    for tag in ("article", "main"):
-        tops(root, tag)
-        if found:
-            out = Node("#root")
-            out.kids = found
-            return out
-    link_lists(root)
-    return root
-
-
-def link_lists(node: Node) -> tuple[int, int]:
-    """Drop lists whose text is mostly links; (characters, those in links)."""
-    total, linked, keep = 0, 0, []
-    for k in node.kids:
-        a, b = (len(k.text), k.linked) if k.tag == "#" else link_lists(k)
-        if k.tag in ("ul", "ol", "table", "div", "dl", "section") and a and b > 0.6 * a:
-            continue
-        keep.append(k)
-        total, linked = total + a, linked + b
-    node.kids = keep
-    return total, linked
+    tree: Node
+    texts: list[str]
+    kept: list[bool]
+    slots: list[tuple[int, ...]]
 
 
-def texts(node: Node) -> list[Node]:
-    """Text nodes in page order."""
-    out, todo = [], [node]
+def read(html: str) -> Page:
+    """Parse a page and judge its texts by what elements say of themselves."""
+    root = parse(html)
+    nodes, parents, texts = [], [], []
+    todo = [(root, -1)]
     while todo:
-        x = todo.pop()
-        if x.tag == "#":
-            out.append(x)
-        todo.extend(reversed(x.kids))
-    return out
-
-
-def _shape(node: Node):
-    """(code of the tag, hash of the text) of a leaf block; the tag alone of one with child blocks."""
-    if node.whole is None:
+        node, parent = todo.pop()
+        at = len(nodes)
+        nodes.append(node)
+        parents.append(parent)
+        node.first = len(texts)
         if node.tag == "#":
-            node.whole = (hash("#") & 0x7FFFFFFF, hash(node.text), True)
-        elif len(node.kids) == 1 and node.kids[0].tag == "#":
-            node.whole = (hash(node.tag) & 0x7FFFFFFF, hash(node.kids[0].text), True)
-        else:
-            node.whole = (hash(node.tag) & 0x7FFFFFFF, 0, False)
-    return node.whole
-
-
-def match(a: Node, b: Node, pairs: list[tuple[Node, Node]] | None = None) -> float:
-    """Simple tree matching of two nodes of one tag: the largest number of aligned nodes in order, equal texts counting a half more; pairs gets the text nodes aligned."""
-    if a.tag == "#":
-        if pairs is not None:
-            pairs.append((a, b))
-        return 1.5 if a.text == b.text else 1.0
-    x, y = a.kids, b.kids
-    if not x or not y:
-        return 1.0
-    n, m = len(x), len(y)
-    if n * m > CELLS:
-        return 1.0 + _ends(x, y, pairs)
-    sx, sy = [_shape(k) for k in x], [_shape(k) for k in y]
-    tx, ty = np.array([s[0] for s in sx]), np.array([s[0] for s in sy])
-    same = tx[:, None] == ty[None, :]
-    lx, ly = np.array([s[2] for s in sx]), np.array([s[2] for s in sy])
-    leaf = lx[:, None] & ly[None, :]
-    equal = np.array([s[1] for s in sx])[:, None] == np.array([s[1] for s in sy])[None, :]
-    depth = np.array([2.0 if k.kids else 1.0 for k in x])
-    weight = np.where(same & leaf, depth[:, None] + 0.5 * equal, 0.0)
-    for i, j in zip(*np.nonzero(same & ~leaf), strict=True):
-        weight[i, j] = match(x[i], y[j])
-    best = np.zeros((n + 1, m + 1))
-    for i in range(n):
-        best[i + 1, 1:] = np.maximum(best[i, 1:], best[i, :-1] + weight[i])
-        np.maximum.accumulate(best[i + 1], out=best[i + 1])
-    if pairs is not None:
-        i, j = n, m
+            texts.append(node)
+        todo.extend((k, at) for k in reversed(node.kids))
+    total, within = [0] * len(nodes), [0] * len(nodes)  # characters below, and those in articles and mains, as far as nothing sure is said of them
+    for i in range(len(nodes) - 1, -1, -1):
+        node = nodes[i]
+        node.last = node.first + 1 if node.tag == "#" else max((k.last for k in node.kids), default=node.first)
+        node.shape = xxhash.xxh64_intdigest(np.array([k.shape for k in node.kids], dtype=np.uint64).tobytes() + node.tag.encode())
+        node.n = 1 + sum(k.n for k in node.kids)
+        total[i] += len(node.text)
+        if i and node.mark < READER:
+            total[parents[i]] += total[i]
+            within[parents[i]] += total[i] if node.tag in ("article", "main") and not node.mark else within[i]
+    # A page that is made of nothing but READER elements is judged as if those were votes.
+    bare = not total[0]
+    gone, slots = [False] * len(nodes), [()] * len(nodes)
+    area = {"article": [], "main": []}
+    left = {"article": 0, "main": 0, "#": 0}  # characters left in articles, in mains, and in all
+    for i, (node, parent) in enumerate(zip(nodes, parents, strict=True)):
+        if parent >= 0:
+            gone[i], slots[i] = gone[parent], slots[parent]
+        holds = 2 * within[i] >= within[0] > 0
+        most = 2 * total[i] > total[0]
+        if node.mark == SURE or node.mark == READER and not bare or node.mark == MENU and not holds or node.mark == VOTE and not (holds or most):
+            gone[i] = True
+        elif node.mark == SLOT:
+            slots[i] = (*slots[i], node.slot)
+        if node.tag == "#" and not gone[i]:
+            left["#"] += len(node.text)
+    kept = [False] * len(texts)
+    live = [False] * len(texts)
+    for i, node in enumerate(nodes):
+        if node.tag == "#":
+            live[node.first] = not gone[i]
+    for i, node in enumerate(nodes):
+        if node.tag in area and not gone[i] and not any(a.first <= node.first and node.last <= a.last for a in area[node.tag][-1:]):
+            size = sum(len(texts[k].text) for k in range(node.first, node.last) if live[k])
+            if size:
+                area[node.tag].append(node)
+                left[node.tag] += size
+    if left["article"] and 2 * left["article"] >= (left["main"] or left["#"]):
+        where = area["article"]
+    else:
+        where = area["main"] if left["main"] else [root]
+    for node in where:
+        for k in range(node.first, node.last):
+            kept[k] = live[k]
+    text_slots = [slots[i] for i, node in enumerate(nodes) if node.tag == "#"]
+    return Page(root, [t.text for t in texts], kept, text_slots)
+
+
+class Matcher:
+    """Simple tree matching: the largest number of nodes of two trees that can be paired, tag by tag, in order and below paired parents.
+
+    Two nodes of one shape are paired throughout, and each text that is equal at its place
+    counts a half more; the number for two shapes does not depend on texts, and is kept.
+    """
+
+    KEPT = 1 << 16
+
+    def __init__(self):
+        self.known: dict[tuple[int, int], float] = {}
+
+    def structure(self, a: Node, b: Node) -> float:
+        """Nodes that can be paired, for two nodes of one tag."""
+        if a.shape == b.shape:
+            return float(a.n)
+        key = (a.shape, b.shape)
+        if (found := self.known.get(key)) is None:
+            found = 1.0 + (self._align(a.kids, b.kids, None, None)[0] if a.kids and b.kids else 0.0)
+            if len(self.known) >= self.KEPT:
+                self.known.clear()
+            self.known[key] = found
+        return found
+
+    def pairs(self, a: Node, b: Node, x: list[str], y: list[str]) -> list[tuple[int, int]]:
+        """Numbers of the texts that are paired when a and b are."""
+        out, todo = [], [(a, b)]
+        while todo:
+            a, b = todo.pop()
+            if a.shape == b.shape:
+                out.extend(zip(range(a.first, a.last), range(b.first, b.last), strict=True))
+            elif a.kids and b.kids:
+                todo.extend((a.kids[i], b.kids[j]) for i, j in self._align(a.kids, b.kids, x, y)[1])
+        return out
+
+    def _align(self, xs: list[Node], ys: list[Node], x: list[str] | None, y: list[str] | None) -> tuple[float, list[tuple[int, int]]]:
+        """The best alignment of two lists of siblings: its weight and, with texts, its pairs."""
+        same = lambda a, b: a.shape == b.shape and (x is None or x[a.first : a.last] == y[b.first : b.last])
+        weight = lambda a: a.n + (0.5 * (a.last - a.first) if x is not None else 0.0)
+        # Equal siblings at either end are paired in some best alignment.
+        total, pairs, start, n, m = 0.0, [], 0, len(xs), len(ys)
+        while start < min(n, m) and same(xs[start], ys[start]):
+            total += weight(xs[start])
+            pairs.append((start, start))
+            start += 1
+        while min(n, m) > start and same(xs[n - 1], ys[m - 1]):
+            n, m = n - 1, m - 1
+            total += weight(xs[n])
+            pairs.append((n, m))
+        if start < n and start < m:
+            rows = _Rows(self, xs[start:n], ys[start:m], x, y)
+            total += rows.best(range(n - start), range(m - start))[-1]
+            if x is not None:
+                pairs.extend((start + i, start + j) for i, j in rows.pairs(0, n - start, 0, m - start))
+        return total, pairs
+
+
+class _Rows:
+    """The weights of pairing siblings, a row for each of xs."""
+
+    def __init__(self, matcher: Matcher, xs: list[Node], ys: list[Node], x: list[str] | None, y: list[str] | None):
+        self.matcher, self.xs, self.ys, self.x, self.m = matcher, xs, ys, x, len(ys)
+        by_shape: dict[int, list[int]] = {}
+        for j, b in enumerate(ys):
+            by_shape.setdefault(b.shape, []).append(j)
+        self.groups = {s: np.array(js) for s, js in by_shape.items()}
+        if x is not None:
+            self.texts = {s: np.array([[hash(t) for t in y[ys[j].first : ys[j].last]] for j in js], dtype=np.int64) for s, js in by_shape.items()}
+        self.plain: dict[int, np.ndarray] = {}
+
+    def row(self, i: int) -> np.ndarray:
+        a = self.xs[i]
+        if (plain := self.plain.get(a.shape)) is None:
+            plain = np.zeros(self.m)
+            for js in self.groups.values():
+                if self.ys[js[0]].tag == a.tag:
+                    plain[js] = self.matcher.structure(a, self.ys[js[0]])
+            self.plain[a.shape] = plain
+        if self.x is None or a.shape not in self.groups or a.first == a.last:
+            return plain
+        out = plain.copy()
+        own = np.array([hash(t) for t in self.x[a.first : a.last]], dtype=np.int64)
+        out[self.groups[a.shape]] += 0.5 * (self.texts[a.shape] == own).sum(axis=1)
+        return out
+
+    def best(self, is_: range, js: range, back: bool = False, table: np.ndarray | None = None) -> np.ndarray:
+        """The best weights of aligning is_ with each beginning (back: each end) of js; table gets all rows."""
+        last = np.zeros(len(js) + 1)
+        for k, i in enumerate(reversed(is_) if back else is_, 1):
+            row = self.row(i)[js.start : js.stop]
+            row = row[::-1] if back else row
+            new = last.copy()
+            np.maximum(last[1:], last[:-1] + row, out=new[1:])
+            last = np.maximum.accumulate(new, out=new)
+            if table is not None:
+                table[k] = last
+        return last
+
+    def pairs(self, a: int, b: int, c: int, d: int) -> list[tuple[int, int]]:
+        """The pairs of a best alignment of xs[a:b] with ys[c:d]."""
+        if a >= b or c >= d:
+            return []
+        if (b - a) * (d - c) > CELLS and b - a > 1:
+            middle = (a + b) // 2
+            cut = c + int(np.argmax(self.best(range(a, middle), range(c, d)) + self.best(range(middle, b), range(c, d), back=True)[::-1]))
+            return self.pairs(a, middle, c, cut) + self.pairs(middle, b, cut, d)
+        table = np.zeros((b - a + 1, d - c + 1))
+        self.best(range(a, b), range(c, d), table=table)
+        out, i, j = [], b - a, d - c
         while i and j:
-            if weight[i - 1, j - 1] > 0 and best[i, j] == best[i - 1, j - 1] + weight[i - 1, j - 1]:
-                match(x[i - 1], y[j - 1], pairs)
-                i, j = i - 1, j - 1
-            elif best[i, j] == best[i - 1, j]:
+            if table[i, j] == table[i - 1, j]:
                 i -= 1
-            else:
+            elif table[i, j] == table[i, j - 1]:
                 j -= 1
-    return 1.0 + float(best[n, m])
-
-
-def _ends(x: list[Node], y: list[Node], pairs) -> float:
-    total, i = 0.0, 0
-    n = min(len(x), len(y))
-    while i < n and x[i].tag == y[i].tag:
-        total += match(x[i], y[i], pairs)
-        i += 1
-    j = 1
-    while j <= n - i and x[-j].tag == y[-j].tag:
-        total += match(x[-j], y[-j], pairs)
-        j += 1
-    return total
-
-
-class Pivot:
-    """A pivot page with its text nodes numbered."""
+            else:
+                i, j = i - 1, j - 1
+                out.append((a + i, c + j))
+        return out[::-1]
 
-    def __init__(self, page: str):
-        self.tree = cleaned(parse(page))
-        for i, t in enumerate(texts(self.tree)):
-            t.number = i
 
-    def unchanged(self, tree: Node) -> list[tuple[int, Node]]:
-        """Numbers of the pivot's text nodes that tree has unchanged at the aligned place, with tree's nodes."""
-        pairs: list[tuple[Node, Node]] = []
-        match(self.tree, tree, pairs)
-        return [(p.number, t) for p, t in pairs if p.text == t.text]
+def unchanged(matcher: Matcher, pivot: Page, page: Page) -> list[tuple[int, int]]:
+    """(number of the pivot's text, number of the page's) where the page has it unchanged at the aligned place."""
+    return [(i, j) for i, j in matcher.pairs(pivot.tree, page.tree, pivot.texts, page.texts) if pivot.texts[i] == page.texts[j]]
 
 
-def main_text(tree: Node, template: set[int] | frozenset = frozenset()) -> str:
-    """Texts of the tree, a block a paragraph, without the nodes (by id) in template; all of it if nothing else is left."""
-    all_ = texts(tree)
-    kept = [t.text for t in all_ if id(t) not in template] or [t.text for t in all_]
-    return "\n\n".join(kept)
+def main_text(page: Page, template: set[int] | frozenset = frozenset()) -> str:
+    """The page's main text, a block a paragraph, without the texts (by number) in template."""
+    return "\n\n".join(t for i, (t, k) in enumerate(zip(page.texts, page.kept, strict=True)) if k and i not in template)
 
 
 def _host(url: str):
@@ -356,66 +409,59 @@ def _host(url: str):
 
 
 def extract(pages: DataFrame, share: float = SHARE, min_pages: int = MIN_PAGES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per row of pages: the id, url, text, n_chars.
-
-    Null and empty pages have an empty text. Pages without a host (null urls among them)
-    are no one's template. Rows that repeat are each extracted, but count once in a host's
-    counts. Other columns are not carried.
+    """One row per row of pages: the id, url, text, n_chars, and n_blocks, n_marked, n_template.
+
+    n_blocks counts all the page's texts, n_marked those that go for what elements say of
+    themselves, n_template those that the host's template has at that place (marked or not) and
+    confirmed slots. Null and empty pages have an empty text, and so have pages of which all is
+    template or marked. Pages without a host (null urls among them) are no one's template. Rows
+    that repeat are each extracted, but count once in a host's counts; pivots of one hash are
+    equal pages, so ties don't matter. Other columns are not carried, whatever they are called.
     """
     kind = dict(pages.dtypes)[id_col]
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), _host(url_col).alias("host"))
-    whole = rows.where((F.col("host") != "") & F.col("html").isNotNull() & (F.length("html") > 0))
-    small = whole.where(F.octet_length("html") <= PIVOT_BYTES).withColumn("hx", F.xxhash64("html"))
-    pivots = small.groupBy("host").agg(F.min_by("html", F.struct("hx", "html")).alias("p0"), F.max_by("html", F.struct("hx", "html")).alias("p1"))
-    pivots = checkpoint(pivots)
-    size = pivots.agg(F.sum(F.octet_length("p0") + F.octet_length("p1") + 64)).first()[0] or 0
-    near = F.broadcast if size <= BROADCAST_BYTES else (lambda df: df)
-
-    def of(known: dict, host: str, *sources: str):
-        if host not in known:
-            if len(known) > 256:
-                known.clear()
-            known[host] = [Pivot(p) for p in dict.fromkeys(s for s in sources if s)]
-        return known[host]
-
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).alias("html"), _host(url_col).alias("host")).withColumn("hx", F.xxhash64("html"))
+    whole = rows.where((F.col("host") != "") & (F.col("html") != "")).withColumn("large", F.octet_length("html") > PIVOT_BYTES)
+    # A host's pivots: the first pages by two hashes, of the small ones if there are any.
+    pivots = whole.groupBy("host").agg(F.min_by("html", F.struct("large", "hx")).alias("p0"), F.min_by("html", F.struct("large", F.bitwise_not("hx"))).alias("p1"))
     known: dict = {}
+    matcher = Matcher()
 
     def compare(batch):
-        out = {"host": [], "hx": [], "same": []}
-        columns = [batch.column(c).to_pylist() for c in ("host", "html", "hx", "p0", "p1")]
-        for host, page, hx, p0, p1 in zip(*columns, strict=True):
-            tree = cleaned(parse(page))
-            same = [k << 24 | number for k, p in enumerate(of(known, host, p0, p1)) for number, _ in p.unchanged(tree)]
-            out["host"].append(host)
-            out["hx"].append(hx)
-            out["same"].append(same)
-        yield out
-
-    compared = whole.withColumn("hx", F.xxhash64("html")).join(near(pivots), "host")
-    seen = map_arrow(compared.select("host", "html", "hx", "p0", "p1"), compare, "host string, hx long, same array<int>")
-    seen = seen.groupBy("host", "hx").agg(F.min("same").alias("same"))  # equal pages count once
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), 1 << 20))  # pages may be as deep as they are long
+        out = {"texts": [], "codes": []}  # a marked text is null, and has its codes still
+        for page, p0, p1 in zip(*(batch.column(c).to_pylist() for c in ("html", "p0", "p1")), strict=True):
+            own = read(page)
+            codes: list[list[int]] = [list(s) for s in own.slots]
+            if p0 is not None:
+                if (p0, p1) not in known:
+                    if len(known) > 64:
+                        known.clear()
+                    known[p0, p1] = [read(p) for p in dict.fromkeys((p0, p1))]
+                for k, pivot in enumerate(known[p0, p1]):
+                    for i, j in unchanged(matcher, pivot, own):
+                        codes[j].append(k << 40 | i)
+            out["texts"].append([t if kept else None for t, kept in zip(own.texts, own.kept, strict=True)])
+            out["codes"].append(codes)
+        yield {c: batch.column(c) for c in ("id", "url", "host", "hx")} | out
+
+    joined = rows.join(side(pivots), "host", "left").select("id", "url", "host", "hx", "html", "p0", "p1")
+    read_ = map_arrow(joined, compare, f"id {kind}, url string, host string, hx long, texts array<string>, codes array<array<long>>")
+    read_ = checkpoint(read_)
+    seen = read_.where("host <> ''").groupBy("host", "hx").agg(F.min(F.array_distinct(F.flatten("codes"))).alias("same"))  # equal pages count once
     # -1 stands for the page itself, so that one count has the host's pages too.
-    counts = seen.select("host", F.explode(F.concat(F.array(F.lit(-1)), "same")).alias("node")).groupBy("host", "node").agg(F.count(F.lit(1)).alias("n"))
-    table = counts.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("node", "n"))).alias("counts"))
-    pages_of = F.col("counts")[-1]
-    constant = F.map_keys(F.map_filter("counts", lambda k, n: (k >= 0) & (n >= min_pages) & (n >= share * pages_of)))
-    template = checkpoint(pivots.join(table, "host", "left").select("host", "p0", "p1", F.coalesce(constant, F.array().cast("array<int>")).alias("constant")))
-    fixed: dict = {}
+    counts = seen.select("host", F.explode(F.concat(F.array(F.lit(-1).cast("long")), "same")).alias("code")).groupBy("host", "code").agg(F.count(F.lit(1)).alias("n"))
+    table = counts.groupBy("host").agg(F.max(F.when(F.col("code") == -1, F.col("n"))).alias("pages"), F.collect_list(F.when((F.col("code") != -1) & (F.col("n") >= min_pages), F.struct("code", "n"))).alias("often"))
+    template = table.select("host", F.transform(F.filter("often", lambda x: x["n"] >= share * F.col("pages")), lambda x: x["code"]).alias("constant"))
 
     def take(batch):
-        out: list[str] = []
-        columns = [batch.column(c).to_pylist() for c in ("host", "html", "p0", "p1", "constant")]
-        for host, page, p0, p1, constant in zip(*columns, strict=True):
-            tree = cleaned(parse(page or ""))
-            gone = set()
-            if constant:
-                numbers = set(constant)
-                for k, p in enumerate(of(fixed, host, p0, p1)):
-                    if any(c >> 24 == k for c in constant):
-                        gone.update(id(t) for number, t in p.unchanged(tree) if k << 24 | number in numbers)
-            out.append(main_text(tree, gone))
-        yield {"id": batch.column("id"), "url": batch.column("url"), "text": out, "n_chars": [len(t) for t in out]}
-
-    joined = rows.join(near(template), "host", "left").select("id", "url", "html", "host", "p0", "p1", "constant")
-    done = map_arrow(joined, take, f"id {kind}, url string, text string, n_chars long")
+        out = {"text": [], "n_chars": [], "n_blocks": [], "n_marked": [], "n_template": []}
+        for texts, codes, constant in zip(*(batch.column(c).to_pylist() for c in ("texts", "codes", "constant")), strict=True):
+            fixed = set(constant or ())
+            free = [fixed.isdisjoint(c) for c in codes]
+            text = "\n\n".join(t for t, ok in zip(texts, free, strict=True) if ok and t is not None)
+            for c, v in (("text", text), ("n_chars", len(text)), ("n_blocks", len(texts)), ("n_marked", texts.count(None)), ("n_template", free.count(False))):
+                out[c].append(v)
+        yield {c: batch.column(c) for c in ("id", "url")} | out
+
+    done = map_arrow(read_.join(side(template), "host", "left").select("id", "url", "texts", "codes", "constant"), take, f"id {kind}, url string, text string, n_chars long, n_blocks int, n_marked int, n_template int")
     return done.withColumnsRenamed({"id": id_col, "url": url_col})

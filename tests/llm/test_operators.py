@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quill.llm import decontaminate, html_extract, language, licenses, line_dedup, packing, simhash, token_counts, topk, toxicity
+from quill.llm import decontaminate, language, licenses, line_dedup, packing, simhash, token_counts, topk, toxicity
 from quill.llm.bpe import merger
 from quill.llm.queries import tokenizer_path
 
@@ -362,44 +362,6 @@ def test_toxicity(spark):
     assert toxicity.toxicity(df, marks.limit(0)).count() == 603 and toxicity.toxicity(df.limit(0), marks).count() == 0
 
 
-PAGE = (
-    "<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t='</p>';</script></head><body class='has-sidebar'><header><h1>Site</h1></header><nav><ul><li><a href='/x'>Menu</a></li></ul></nav>"
-    "<div class=\"cookie-notice\">Cookies!</div><article><h1>{0} &amp; more</h1><p>First   <b>{0}</b>\n line<br>two<p>Second &lt;x&gt; {0}<p>Follow our channel for daily updates</article>"
-    "<form><input name=q>Find</form><section id='comments'><p>Reader says</p></section><aside>Side</aside><footer>&copy; 2020</footer></body></html>"
-)
-
-
-def test_extraction(spark):
-    pages = [(i, f"http://h.example/{i}", PAGE.replace("{0}", f"topic{i}")) for i in range(6)]
-    pages += [(10, "http://other.example/", PAGE.replace("{0}", "solo")), (11, None, "<p>a<p>b &eacute;"), (12, "http://h.example/n", None), (13, "x", ""), (14, "http://h.example/0", pages[0][2]), (15, "http://u.example", "<div><p>open <script>never closed")]
-    df = spark.createDataFrame([(*p, "z") for p in pages], "page_id long, url string, html string, text string")
-    got = {r.page_id: r for r in html_extract.extract(df).collect()}
-    want = lambda w: f"{w} & more\n\nFirst {w} line two\n\nSecond <x> {w}"
-    assert all(got[i].text == want(f"topic{i}") for i in range(6)) and got[14].text == want("topic0")  # the constant paragraph is template
-    assert got[10].text == want("solo") + "\n\nFollow our channel for daily updates"
-    assert got[11].text == "a\n\nb é" and got[12].text == "" and got[13].text == "" and got[15].text == "open"
-    assert all(r.n_chars == len(r.text) for r in got.values()) and len(got) == len(pages)
-    assert html_extract.extract(df.limit(0)).count() == 0
-
-
-@pytest.mark.parametrize("name", ["content-sidebar-wrap", "right-sidebar", "site header", "tags", "search-page"])
-def test_class_words_do_not_empty_pages(spark, name):
-    wrapped = f"<body><div class='{name}'><article><p>Main text {{0}}</article><div class='sidebar'>Side words</div></div><div class='comments'>Said</div></body>"
-    plain = f"<body><div id='{name}'><p>The long main text of page {{0}}</div><div class='sidebar'>Side</div><div class='menu'>Go</div></body>"
-    pages = [(i, f"http://h.example/{i}", wrapped.replace("{0}", f"w{i}")) for i in range(4)] + [(9, "http://o.example/", plain.replace("{0}", "nine"))]
-    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
-    assert got == {**{i: f"Main text w{i}" for i in range(4)}, 9: "The long main text of page nine"}
-    bare = lambda html: html_extract.main_text(html_extract.cleaned(html_extract.parse(html)))
-    assert bare("<div class=related><p>All there is</div>") == "All there is"
-    assert bare("<article>The main text</article><div class=related><article>Teaser</article></div><div class=sidebar><article>Card</article></div>") == "The main text"
-    assert bare("<div>Short post</div><div class=comments>A much longer talk of its readers</div>") == "Short post"
-
-
-def test_parsing_deep_and_broken_pages():
-    assert html_extract.main_text(html_extract.cleaned(html_extract.parse("<div>" * 5000 + "deep" + "</div>" * 5000))) == "deep"
-    assert html_extract.main_text(html_extract.cleaned(html_extract.parse('<p title="a > b">x</p> 1 < 2 <a "' + '"x" ' * 5000))).startswith("x")
-
-
 def test_licenses(spark):
     mit = "The MIT License (MIT)\n\nCopyright (c) 2020 Someone\n\n" + licenses.TEXTS["MIT"][0].replace("Permission", "PERMISSION").replace(", free", " ,  free")
     rows = [(1, mit), (2, "Prose.\nLicensed under the Apache Licence, version 2.0\nReleased under the MIT License."), (3, None), (4, ""), (5, "Licensed under the Apache License, Version 2.0 or not"), (None, "All rights reserved"), (2, "x"), (6, "y" * 200_000)]
