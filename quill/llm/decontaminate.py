@@ -9,17 +9,20 @@ winnowing can't promise to find; those lengths (at most SPAN - 1 of them) are lo
 every word.
 
 The benchmark is a stated query set: it is taken in blocks of at most BLOCK_BYTES of text,
-each broadcast by itself, and documents pass by in a map without any shuffle. So a hot
-source or passage burdens no single task.
+each broadcast by itself, one after the other, and documents pass by in a map without any
+shuffle (beyond one block, the rows with hits join the others by their key). So a hot source or
+passage burdens no single task, and the driver holds one block at a time.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quill.llm.runtime import map_arrow, pieces, side, texts_of
+from quill.llm.runtime import checkpoint, map_arrow, pieces, side, texts_of
 from quill.llm.words import Words, run_hashes
 
 SPAN, GRAM = 10, 5
@@ -146,18 +149,17 @@ def decontaminate(
     """One row per row of docs: the id, key (see row_key), n_words, hits (positions of words inside an occurring window), items (ids of items with occurring windows, as sorted strings).
 
     Null text has no words. Items without words, id or text take no part; equal items count
-    as one. Rows that repeat are each judged (with more than one block of benchmark: rows
-    of equal id and text are one row). Extra columns are not carried.
+    as one. Rows that repeat, and rows without an id or with one that others have, are each
+    judged, in however many blocks the benchmark comes. Extra columns are not carried.
     """
     spark, kind = docs.sparkSession, dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), row_key(docs, id_col, text_col).alias("key"))
     parts = blocks(benchmark, block_bytes, item_col, item_text_col)
-    rows = rows.distinct() if len(parts) > 1 else rows
-    out = None
-    for part in parts:
+
+    def found_in(part: DataFrame):
         index = spark.sparkContext.broadcast(Index(sorted((r.item, r.text) for r in part.collect()), span, gram))
 
-        def judge(batch, index=index):
+        def judge(batch):
             texts = texts_of(batch)
             for a, b in pieces(texts):
                 words = Words(texts[a:b])
@@ -172,11 +174,23 @@ def decontaminate(
                     "items": [sorted(index.value.items[i] for i in s) for s in items],
                 }
 
-        one = map_arrow(rows, judge, f"id {kind}, key long, n_words long, hits array<int>, items array<string>")
-        out = one if out is None else out.unionByName(one)
+        return map_arrow(rows, judge, f"id {kind}, key long, n_words long, hits array<int>, items array<string>"), index
+
+    out, index = found_in(parts[0])
     if len(parts) > 1:
+        # One block is broadcast at a time; of each only the rows with hits are kept, once each, and join all rows at the end.
+        out = checkpoint(out)
+        index.destroy()
+        held = [out.where(F.size("items") > 0)]
+        for part in parts[1:]:
+            more, index = found_in(part)
+            held.append(checkpoint(more.where(F.size("items") > 0)))
+            index.destroy()
         union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))  # noqa: E731  at most one list for each block
-        out = out.groupBy("id", "key").agg(F.first("n_words").alias("n_words"), union("hits").alias("hits"), union("items").alias("items"))
+        both = reduce(DataFrame.unionByName, (x.withColumn("block", F.lit(i)) for i, x in enumerate(held))).dropDuplicates(["block", "id", "key"])
+        both = side(both.groupBy(F.col("id").alias("_id"), F.col("key").alias("_key")).agg(union("hits").alias("_hits"), union("items").alias("_items")))
+        out = out.join(both, (F.col("key") == F.col("_key")) & F.col("id").eqNullSafe(F.col("_id")), "left")
+        out = out.select("id", "key", "n_words", F.coalesce("_hits", "hits").alias("hits"), F.coalesce("_items", "items").alias("items"))
     return out.select(F.col("id").alias(id_col), "key", "n_words", "hits", F.array_distinct("items").alias("items"))
 
 
