@@ -1,8 +1,8 @@
 """Packing token sequences: first-fit decreasing over a tournament tree of bin capacities.
 
 Documents become pieces of at most `capacity` tokens: whole sequences first, then a rest.
-Pieces are dealt out at random (by a hash, evenly whatever the keys are) to partitions and
-there taken in groups of `group` pieces; each group packs itself. A full piece fills a
+Pieces are written, counted, dealt out evenly to partitions (round robin, whatever their keys
+are), ordered there at random by a hash, and taken in groups of `group` pieces; each group packs itself. A full piece fills a
 sequence alone; the rests of a group go, longest first, each into the first bin that still
 has room. A tournament tree over the bins' free room finds that bin in log(bins) steps.
 Groups have a fixed size, so memory is bounded however many pieces there are, and the loss
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quill.llm.bpe import merger
-from quill.llm.runtime import map_arrow, pieces, tune
+from quill.llm.runtime import checkpoint, columns_of, map_arrow, pieces, tune
 
 #: Pieces that are packed together.
 GROUP = 8192
@@ -70,7 +70,11 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The pieces of each document: id, start, length, ids_crc32, doc_tokens. Null text has its end token 0 alone."""
+    """The pieces of each document: id, start, length, ids_crc32, doc_tokens.
+
+    Null text has its end token 0 alone. Null ids and ids that repeat are kept as they are, each
+    row cut by itself. A text of any length is encoded whole. Other columns are not carried.
+    """
 
     def cut(batch):
         texts = batch.column("text").to_pylist()
@@ -99,12 +103,15 @@ def pack(items: DataFrame, n_rows: int, capacity: int = 1024, group: int = GROUP
     """Adds sequence_id and offset to rows that have a length of 1 to capacity.
 
     n_rows (an estimate will do) fixes how many partitions there are: about group rows each,
-    at least. Rows that repeat are packed each; any other column is carried as it is.
-    Sequence ids are unique over all groups; offsets within a sequence are gapless from 0.
+    at least. Rows that repeat are packed each; any other column is carried as it is, but
+    columns that are called sequence_id or offset are replaced. Sequence ids are unique over
+    all groups; offsets within a sequence are gapless from 0.
     """
     tune(items.sparkSession)
-    names = items.columns
-    order = [F.xxhash64(F.lit(seed), *names), *[F.col(f"`{n}`") for n in names]]
+    names = [c for c in items.columns if c.lower() not in ("sequence_id", "offset")]
+    own = [c for c, name in zip(columns_of(items), items.columns, strict=True) if name in names]
+    items = items.select(*[c.alias("n" if name == length_col else f"c{i}") for i, (c, name) in enumerate(zip(own, names, strict=True))])
+    order = [F.xxhash64(F.lit(seed), *items.columns), *items.columns]
     # Round robin deals evenly whatever keys repeat; Spark sorts the rows before it, so a rerun deals alike.
     dealt = items.repartition(max(1, -(-n_rows // group))).sortWithinPartitions(*order)
     schema = dealt.withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long")).schema
@@ -115,7 +122,7 @@ def pack(items: DataFrame, n_rows: int, capacity: int = 1024, group: int = GROUP
         part, groups, held, count = TaskContext.get().partitionId(), 0, [], 0
 
         def packed(table):
-            lengths = table.column(length_col).to_numpy()
+            lengths = table.column("n").to_numpy()
             bins, offsets = first_fit_decreasing(lengths, capacity)
             base = (part << 40) + (groups << 20)
             out = table.append_column("sequence_id", pa.array(bins + base)).append_column("offset", pa.array(offsets))
@@ -135,9 +142,10 @@ def pack(items: DataFrame, n_rows: int, capacity: int = 1024, group: int = GROUP
         if count:
             yield from packed(pa.Table.from_batches(held))
 
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(run, schema).toDF(*names, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All documents as pieces in sequences of at most capacity tokens. An empty table gives no rows."""
-    return pack(token_pieces(docs, tokenizer, capacity, id_col, text_col), docs.count(), capacity)
+    """All documents as pieces (see token_pieces) in sequences of at most capacity tokens. An empty table gives no rows."""
+    cut = checkpoint(token_pieces(docs, tokenizer, capacity, id_col, text_col))
+    return pack(cut, cut.count(), capacity)
