@@ -21,6 +21,8 @@ from quill.llm.words import Words, run_weights
 
 BITS = 18
 TRAIN_ROWS, TRAIN_BYTES = 16_000, 1 << 16
+#: Labelled ids drawn for each row of the sample, since some have no text or too long a one.
+DRAWN = 4
 THRESHOLD = 0.3
 
 
@@ -80,14 +82,16 @@ class Ftrl:
 def fit(docs: DataFrame, labels: DataFrame, learn_from, config: Ftrl = Ftrl(), train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"):
     """Sparse weights (places, values) and intercept, from labelled rows for which learn_from holds.
 
-    The sample is the rows that come first by a hash of id and text; rows without text or
-    label, or of more than train_bytes bytes, are not sampled. Without any row the model is
-    constant.
+    Ids that have a label and a document are drawn by a hash, DRAWN times train_rows at most;
+    of their rows, rows without text and of more than train_bytes bytes are left out, and of the
+    others train_rows at most, by a hash of id and text, are learned, equal rows as one. An id with
+    several labels has the largest. Without any row the model is constant.
     """
     known = labels.where(learn_from & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
     known = known.groupBy("_id").agg(F.max("_y").alias("_y"))
-    # The sample is drawn by id alone and broadcast: train_rows ids at most, so that only its texts travel.
-    few = known.orderBy(F.xxhash64("_id"), "_id").limit(train_rows)
+    # Only ids travel until some are drawn; those are a broadcast of bounded size, and only their rows are hashed.
+    there = known.join(docs.where(learn_from).select(F.col(id_col).alias("_id")), "_id", "left_semi")
+    few = there.orderBy(F.xxhash64("_id"), "_id").limit(DRAWN * train_rows)
     rows = docs.where(learn_from & F.col(text_col).isNotNull() & (F.octet_length(text_col) <= train_bytes))
     rows = rows.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(few), "_id").withColumn("h", F.xxhash64("_id", "text"))
     bits = config.bits
@@ -112,7 +116,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from, config: Ftrl = Ftrl(), t
 
     # The bounded sample meets in one task, which gives back the weights that are not zero.
     hashed = checkpoint(map_arrow(rows, sets, "h long, y int, at array<int>"))
-    model = hashed.coalesce(1).mapInArrow(learn, "at array<long>, w array<double>, bias double").collect()
+    chosen = hashed.select("h", "y").distinct().orderBy("h", "y").limit(train_rows)
+    sample = hashed.join(F.broadcast(chosen), ["h", "y"]).dropDuplicates(["h", "y"])
+    model = sample.coalesce(1).mapInArrow(learn, "at array<long>, w array<double>, bias double").collect()
     if not model:
         return np.zeros(0, dtype=np.int64), np.zeros(0), -2.0
     return np.array(model[0].at, dtype=np.int64), np.array(model[0].w), model[0].bias
@@ -146,7 +152,12 @@ def score(docs: DataFrame, model, bits: int = BITS, id_col: str = "doc_id", text
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, config: Ftrl = Ftrl(), threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id, held_out, score, predicted. Labels are learned only from rows that are not held out."""
+    """One row per row of docs: id, held_out, score, predicted. Labels are learned only from rows that are not held out.
+
+    Null and empty texts have the intercept's score. Rows that repeat have a result each; rows
+    without an id are not held out, and none is learned. Texts are scored whole, however long.
+    Other columns are not carried.
+    """
     learn = F.coalesce(remainder(id_col, 4) != 2, F.lit(False))
     model = fit(docs, labels, learn, config, id_col=id_col, text_col=text_col)
     out = score(docs, model, config.bits, id_col, text_col)
