@@ -15,7 +15,7 @@ batch of texts is scored by lookups of all its bytes at once.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quill.llm.runtime import map_arrow, pieces, remainder
@@ -150,20 +150,31 @@ def fit(docs: DataFrame, learn_from, train_rows: int = TRAIN_ROWS, train_bytes:
     """Trees of all languages, from up to about train_rows texts of each.
 
     Rows are counted by language first; then about twice train_rows a language are drawn by a
-    hash of the id and the first train_rows of them in its order are learned. Rows without
-    text or language, with empty text, or of more than train_bytes bytes, are not drawn.
+    hash of the id, and the first train_rows of them in its order are learned. Rows without
+    text or language and empty texts are not drawn; if too few others were among the drawn, eight
+    times as many are, and so on. Of a text of more than train_bytes characters as many from its
+    beginning are learned.
     """
     rows = docs.where(learn_from & F.col(lang_col).isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}  # a row a language
-    if not counts:
-        return Model({})
     spread = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30))
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1 << 30, int((1 << 30) * 2.0 * train_rows / n) + 1))])
-    drawn = rows.where((spread < share[F.col(lang_col)]) & (F.octet_length(text_col) <= train_bytes) & (F.octet_length(text_col) > 0))
-    samples: dict[str, list[tuple[int, bytes]]] = {}
-    for r in drawn.select(F.col(lang_col).alias("lang"), F.encode(text_col, "UTF-8").alias("raw"), spread.alias("at")).toLocalIterator():
-        samples.setdefault(r["lang"], []).append((r["at"], bytes(r["raw"])))
-    return Model({k: [t for _, t in sorted(x)[:train_rows]] for k, x in samples.items()})
+    learned = F.encode(F.substring(F.col(text_col), 1, train_bytes), "UTF-8")
+    texts: dict[str, list[bytes]] = {}
+    times, wanted = 2.0, dict(counts)
+    while wanted:
+        most = {k: min(1 << 30, int((1 << 30) * times * train_rows / n) + 1) for k, n in wanted.items()}
+        share = F.create_map(*[F.lit(x) for kv in most.items() for x in kv])
+        drawn = rows.where((spread < share[F.col(lang_col)]) & (F.octet_length(text_col) > 0))
+        samples: dict[str, list[tuple[int, bytes]]] = {k: [] for k in wanted}
+        # The rows that come first in each language's order: a bounded sample.
+        first = drawn.select(F.col(lang_col).alias("lang"), learned.alias("raw"), spread.alias("at"))
+        first = first.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("at", F.xxhash64("raw")))).where(F.col("n") <= train_rows)
+        for r in first.toLocalIterator():
+            samples[r["lang"]].append((r["at"], bytes(r["raw"])))
+        texts |= {k: [t for _, t in sorted(x)[:train_rows]] for k, x in samples.items()}
+        wanted = {k: n for k, n in wanted.items() if len(texts[k]) < train_rows and most[k] < 1 << 30}
+        times *= 8
+    return Model({k: x for k, x in texts.items() if x})
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -195,7 +206,11 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """id, held_out, lang_pred, score; learned only from rows that are not held out."""
+    """One row per row of docs: id, held_out, lang_pred, score (see identify); learned only from rows that are not held out.
+
+    Rows that repeat have a result each; rows without an id are not held out, and none is
+    learned. Texts are read whole, however long. Other columns are not carried.
+    """
     held = F.coalesce(remainder(id_col, 3) == 1, F.lit(False))
     model = fit(docs, F.coalesce(remainder(id_col, 3) != 1, F.lit(False)), text_col=text_col, lang_col=lang_col, id_col=id_col)
     return identify(docs, model, id_col, text_col).select(id_col, held.alias("held_out"), "lang_pred", "score")
