@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quill.llm import decontaminate, line_dedup, packing, simhash, toxicity
 from quill.llm.queries import tokenizer_path
-from quill.llm.runtime import fresh, remainder, remove_folder, shared_folder
+from quill.llm.runtime import TABLES, fresh, remainder, remove_folder, remove_tables, shared_folder
 
 #: FTRL and SimHash can't be said in DuckDB's SQL.
 ORACLE_SQL = None
@@ -61,12 +61,15 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written as Parquet in the shared folder and read again.
 
-    A stage's folder goes as soon as the next one's is whole; the last one's, which the result reads, with the session.
+    A stage's folder goes as soon as the next one's is whole, and what the stage itself wrote in
+    between as soon as its own is; the last folder, which the result reads, goes with the session.
     """
     base = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
+        before = len(TABLES)
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
+        remove_tables(spark, before)
         docs = spark.read.parquet(f"{base}/{k}")
         if k:
             remove_folder(spark, f"{base}/{k - 1}")

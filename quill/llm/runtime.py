@@ -52,10 +52,22 @@ def checkpoint(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    TABLES.append(path)
     atexit.register(remove_folder, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Folders of the tables that checkpoint() has written and that are there still.
+TABLES: list[str] = []
+
+
+def remove_tables(spark: SparkSession, since: int) -> None:
+    """Take away the tables written after the first since ones: for whoever has written out all that reads them."""
+    for path in TABLES[since:]:
+        remove_folder(spark, path)
+    del TABLES[since:]
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     """Take away a folder of any file system that Spark knows; nothing once the session has ended."""
     jvm, context = spark.sparkContext._jvm, spark.sparkContext._jsc
