@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -102,10 +103,16 @@ def stem(word: str) -> str:
 
 
 def stem_all(words: Column) -> Column:
-    """Stems of an array of words; each distinct word of a worker is stemmed once."""
-
-    @F.pandas_udf("array<string>")
-    def run(column: pd.Series) -> pd.Series:
-        return column.map(lambda ws: [stem(w) for w in ws] if ws is not None else None)
+    """Stems of an array of words; each distinct word of a batch is stemmed once."""
+
+    @F.arrow_udf("array<string>")
+    def run(column: pa.Array) -> pa.Array:
+        flat = column.flatten().dictionary_encode()
+        stems = pa.array([stem(w) if w is not None else None for w in flat.dictionary.to_pylist()], pa.string())
+        sizes = np.diff(column.offsets.to_numpy())
+        if column.null_count:
+            sizes[column.is_null().to_numpy(zero_copy_only=False)] = 0
+        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+        return pa.ListArray.from_arrays(offsets, stems.take(flat.indices), mask=column.is_null() if column.null_count else None)
 
     return run(words)

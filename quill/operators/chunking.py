@@ -1,84 +1,84 @@
 """Greedy packing of sentences into overlapping, token-budgeted chunks.
 
-A chunk's end and the next one's start depend only on running token sums, so a fold over
-the sentences keeps the chunk's first sentence and the cuts so far, and no buffer.
+A paper is a row with its sections, and its pages if they are known; its chunks are made in one
+pass over an Arrow batch, so ordinals across a paper need no shuffle of chunks and no text is
+copied more than a chunk needs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from collections.abc import Callable
 
-from quill.functions import text as T
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from quill.functions import sentences as S
+from quill.functions.text import budget_for
+from quill.functions.tokens import TokenCounter, WhitespaceCounter
 
-def placed_sentences(text: Column, budget: Column | int) -> Column:
-    """Sentences (text, start, end), those with more words than the budget cut into pieces."""
-    n = F.lit(budget) if isinstance(budget, int) else budget
-    long = lambda s: T.count_words(s["text"]) > n
-    return F.flatten(F.transform(T.sentences(text), lambda s: F.when(long(s), T.hard_split(s, n)).otherwise(F.array(F.struct(s["text"].alias("text"), s["start"].alias("start"), s["end"].alias("end"))))))
+SECTIONS = "array<struct<ordinal:int,path:string,char_start:int,text:string>>"
+PAGES = "array<struct<page:int,char_start:int,char_end:int>>"
+_COLUMNS = ("ordinal", "section_path", "content", "embed_input", "token_count", "page_start", "page_end", "char_start", "char_end")
+#: Papers in one Arrow batch: texts are long.
+BATCH = "500"
 
 
-def pack(tokens: Column, budget: Column | int, overlap: Column | int) -> Column:
-    """array<struct<first, last>> of sentence numbers (from 0) of each chunk; tokens: an array of longs.
+def chunk_papers(papers: DataFrame, chunk_tokens: int, overlap_pct: float, headers: bool = True, model: str = "", counter: Callable[[], TokenCounter] = WhitespaceCounter) -> DataFrame:
+    """Chunks of papers (paper_id, title, sections, pages, figure_only): one row a chunk, ordinals from 0 across the paper.
 
-    A chunk is closed when the next sentence would not fit. The next one begins with the
-    longest run of sentences at its end that has at most overlap tokens and isn't all of it, unless
-    that run and the next sentence together don't fit.
+    sections: their texts, and where in the paper they begin. pages (may be null): where each page
+    begins and ends in the paper's text. figure_only (may be null): pages without prose, whose
+    sentences are left out (one that reaches onto another page stays). Columns: paper_id, ordinal,
+    section_path, content, embed_input, token_count (of embed_input), page_start, page_end (1, 1 of
+    unknown pages), char_start, char_end, content_sha256, embed_input_sha256. Chunks never cross
+    sections. Null text gives no chunk.
     """
-    budget = F.lit(budget) if isinstance(budget, int) else budget
-    overlap = F.lit(overlap) if isinstance(overlap, int) else overlap
-    total = F.aggregate(tokens, F.array(F.lit(0).cast("long")), lambda a, t: F.array_append(a, F.element_at(a, -1) + t))
-    bound = F.struct(total.alias("sum"), tokens.alias("t"), budget.cast("long").alias("budget"), overlap.cast("long").alias("overlap"))
-    cuts = T.let(bound, lambda x: _cuts(x["sum"], x["t"], x["budget"], x["overlap"]))
-    return F.when(F.size(tokens) > 0, cuts).otherwise(F.array().cast("array<struct<first:int,last:int>>"))
-
-
-def _cuts(total: Column, tokens: Column, budget: Column, overlap: Column) -> Column:
-    between = lambda a, b: F.get(total, b) - F.get(total, a)  # noqa: E731  tokens of sentences a to b - 1
-    kind = "struct<first:int,cuts:array<struct<first:int,last:int>>>"
-
-    def step(acc: Column, i: Column) -> Column:
-        # The longest suffix of first + 1 .. i - 1 within the overlap begins at the first j that fits.
-        inner = F.filter(F.sequence(F.least(acc["first"] + 1, i), i), lambda j: (j < i) & (j > acc["first"]) & (between(j, i) <= overlap))
-        start = F.coalesce(F.array_min(inner), i)
-        start = F.when(between(start, i) + F.get(tokens, i) > budget, i).otherwise(start)
-        full = (i > acc["first"]) & (between(acc["first"], i) + F.get(tokens, i) > budget)
-        flushed = F.struct(start.cast("int").alias("first"), F.array_append(acc["cuts"], F.struct(acc["first"].alias("first"), (i - 1).cast("int").alias("last"))).alias("cuts"))
-        return F.when(full, flushed.cast(kind)).otherwise(acc)
-
-    zero = F.struct(F.lit(0).alias("first"), F.array().cast("array<struct<first:int,last:int>>").alias("cuts")).cast(kind)
-    last = F.size(tokens) - 1
-    return F.aggregate(F.sequence(F.lit(0), last), zero, step, lambda acc: F.array_append(acc["cuts"], F.struct(acc["first"].alias("first"), last.cast("int").alias("last"))))
-
-
-def _joined(own: Column) -> Column:
-    return F.struct(F.array_join(F.transform(own, lambda s: s["text"]), " ").alias("content"), F.element_at(own, 1)["start"].alias("start"), F.element_at(own, -1)["end"].alias("end"))
-
+    papers.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+    kind = dict(papers.dtypes)["paper_id"]
+    rows = papers.select("paper_id", "title", F.col("sections").cast(SECTIONS).alias("sections"), F.col("pages").cast(PAGES).alias("pages"), F.col("figure_only").cast("array<int>").alias("figure_only"))
+    made: dict = {}
+
+    def chunks_of(title: str | None, sections: list[dict], where: S.Pages):
+        count = made["counter"].counts
+        n = 0
+        for s in sorted(sections, key=lambda s: s["ordinal"]):
+            head = f"{title or ''} — {s['path']}\n\n" if headers else ""
+            budget = budget_for(model, chunk_tokens, count([head])[0] if head else 0)
+            text, base = s["text"] or "", s["char_start"]
+            spans = [(a, b) for a, b in S.split(text) if not where.only_figures(base + a, base + b)]
+            own = S.fitted(text, spans, budget, made["counter"])
+            for first, last in S.pack([t for *_, t in own], budget, int(budget * overlap_pct)):
+                content = " ".join(text[a:b] for a, b, _ in own[first : last + 1])
+                start, end = base + own[first][0], base + own[last][1]
+                yield (n, s["path"], content, head + content, 0, *where.range(start, end), start, end)
+                n += 1
+
+    def run(batches):
+        made.setdefault("counter", counter())
+        for batch in batches:
+            at, out = [], []
+            for i, (title, sections, pages, figures) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("title", "sections", "pages", "figure_only")), strict=True)):
+                own = list(chunks_of(title, sections or [], S.Pages(pages, figures)))
+                at += [i] * len(own)
+                out += own
+            columns = dict(zip(_COLUMNS, zip(*out, strict=True), strict=True)) if out else {c: () for c in _COLUMNS}
+            columns["token_count"] = made["counter"].counts(list(columns["embed_input"]))
+            kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([batch.column("paper_id").take(pa.array(at, pa.int64())), *(pa.array(columns[c], k) for c, k in zip(_COLUMNS, kinds, strict=True))], names=["paper_id", *_COLUMNS])
+
+    out = rows.mapInArrow(run, f"paper_id {kind}, ordinal long, section_path string, content string, embed_input string, token_count long, page_start int, page_end int, char_start long, char_end long")
+    return out.withColumns({"content_sha256": F.sha2("content", 256), "embed_input_sha256": F.sha2("embed_input", 256)})
+
+
+def chunk_sections(sections: DataFrame, chunk_tokens: int, overlap_pct: float, headers: bool = True, model: str = "", drop_references: bool = True, counter: Callable[[], TokenCounter] = WhitespaceCounter) -> DataFrame:
+    """chunk_papers() of sections as rows (paper_id, title, ordinal, path, text, char_start, is_references); a paper's sections meet in a row."""
+    rows = sections.where(~F.col("is_references")) if drop_references else sections
+    papers = rows.groupBy("paper_id").agg(F.max("title").alias("title"), F.collect_list(F.struct(F.col("ordinal").cast("int").alias("ordinal"), "path", F.col("char_start").cast("int").alias("char_start"), "text")).alias("sections"))
+    return chunk_papers(papers.withColumns({"pages": F.lit(None).cast(PAGES), "figure_only": F.lit(None).cast("array<int>")}), chunk_tokens, overlap_pct, headers, model, counter)
 
-def chunk_sections(sections: DataFrame, chunk_tokens: int, overlap_pct: float, headers: bool = True, model: str = "", drop_references: bool = True) -> DataFrame:
-    """Chunks of sections (paper_id, title, ordinal, path, text, char_start, is_references): one row a chunk, ordinals from 0 across the paper.
 
-    Columns: paper_id, ordinal, section_path, content, embed_input, token_count, char_start,
-    char_end, content_sha256, embed_input_sha256. Chunks never cross sections; words are
-    counted by white space. Null text gives no chunk.
-    """
-    rows = sections.where(~F.col("is_references")) if drop_references else sections
-    head = T.header(F.coalesce("title", F.lit("")), F.col("path")) if headers else F.lit("")
-    # The one shuffle, of texts as they are: ordinals across a paper need its sections together, and chunks are longer than texts.
-    rows = rows.select("paper_id", F.col("ordinal").alias("section"), "path", F.col("char_start").alias("base"), head.alias("head"), "text").repartition("paper_id")
-    rows = rows.withColumn("budget", T.content_budget(model, chunk_tokens, T.count_words(F.col("head"))))
-    rows = rows.withColumn("ss", placed_sentences(F.col("text"), F.col("budget")))
-    rows = rows.withColumn("cuts", pack(F.transform("ss", lambda s: T.count_words(s["text"])), F.col("budget"), F.floor(F.col("budget") * F.lit(overlap_pct)).cast("long")))
-    # Chunks are put together before they become rows, so that no row carries all sentences of its section.
-    made = F.transform("cuts", lambda c: T.let(F.slice("ss", c["first"] + 1, c["last"] - c["first"] + 1), _joined))
-    parts = rows.select("paper_id", "section", "path", "base", "head", F.posexplode(made).alias("k", "chunk"))
-    out = parts.select("paper_id", "section", "k", F.col("path").alias("section_path"), "head", "chunk.content", (F.col("base") + F.col("chunk.start")).cast("long").alias("char_start"), (F.col("base") + F.col("chunk.end")).cast("long").alias("char_end"))
-    from pyspark.sql import Window
-
-    ordinal = F.row_number().over(Window.partitionBy("paper_id").orderBy("section", "k")).cast("long") - 1
-    out = out.withColumn("ordinal", ordinal).withColumn("embed_input", F.concat("head", "content"))
-    return out.select(
-        "paper_id", "ordinal", "section_path", "content", "embed_input", T.count_words(F.col("embed_input")).alias("token_count"), "char_start", "char_end",
-        F.sha2("content", 256).alias("content_sha256"), F.sha2("embed_input", 256).alias("embed_input_sha256"),
-    )
+def one_section(docs: DataFrame, text_col: str = "text", path: str = "Body") -> DataFrame:
+    """docs (paper_id, title, text) as papers of one section, without pages."""
+    body = F.array(F.struct(F.lit(0).alias("ordinal"), F.lit(path).alias("path"), F.lit(0).alias("char_start"), F.col(text_col).alias("text"))).cast(SECTIONS)
+    return docs.select("paper_id", "title", body.alias("sections"), F.lit(None).cast(PAGES).alias("pages"), F.lit(None).cast("array<int>").alias("figure_only"))

@@ -2,62 +2,97 @@
 
 The score of a chunk is n / (n + 10), n being how often the query's lexemes occur in it:
 what cover density ranking comes to for a pure OR query. It is no BM25: neither rarity nor
-length counts.
+length counts. Lexemes are stems on both sides, unless both sides say otherwise.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quill.functions.stem import stem
 from quill.functions.text import lexeme_set, lexemes
+from quill.sources.shared import BROADCAST_BYTES, row_bytes
 
-#: Bytes of a query side that is broadcast, at most.
-BROADCAST_BYTES = 16 << 20
+#: Parts of a stored index that a lexeme's hash picks.
+BUCKETS = 64
+#: Decimal places to which scores are compared: sums of floats that should be equal are ties.
+TIE = 12
 
 
-def broadcast_if_small(df: DataFrame, size) -> DataFrame:
-    """The side with a broadcast hint if the sum of size is under BROADCAST_BYTES."""
-    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES else df
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """The side with a broadcast hint if its bytes sum to BROADCAST_BYTES at most."""
+    return F.broadcast(df) if (df.agg(F.sum(row_bytes(df))).first()[0] or 0) <= BROADCAST_BYTES else df
 
 
-def query_lexemes(queries: DataFrame, stem=None, id_col: str = "query_id", text_col: str = "query") -> DataFrame:
+def query_lexemes(queries: DataFrame, stemmed: bool = True, id_col: str = "query_id", text_col: str = "query") -> DataFrame:
     """(query_id, lexeme): the distinct lexemes of each query. Queries without lexemes give no row, and so match nothing."""
-    return queries.select(F.col(id_col).alias("query_id"), F.explode(lexeme_set(F.col(text_col), stem)).alias("lexeme"))
+    return queries.select(F.col(id_col).alias("query_id"), F.explode(lexeme_set(F.col(text_col), stemmed)).alias("lexeme"))
 
 
-def postings(chunks: DataFrame, stem=None, id_col: str = "chunk_id", text_col: str = "content", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(keep…, lexeme, chunk_id, tf): the inverted index."""
-    words = chunks.select(*keep, F.col(id_col).alias("chunk_id"), F.explode(lexemes(F.col(text_col), stem)).alias("lexeme"))
-    return words.groupBy(*keep, "lexeme", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
+def postings(chunks: DataFrame, stemmed: bool = True, id_col: str = "chunk_id", text_col: str = "content", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(keep…, lexeme, chunk_id, tf): the inverted index. A chunk is a row, so it is counted where it is read, without a shuffle."""
+    words = chunks.select(*keep, F.col(id_col).alias("chunk_id"), lexemes(F.col(text_col), stemmed=False).alias("words"))
+    kinds = dict(words.dtypes)
+
+    def run(batches):
+        for batch in batches:
+            own = batch.column("words")
+            flat = own.flatten().dictionary_encode()
+            names = flat.dictionary.to_pylist()
+            stems = pa.array([stem(w) for w in names] if stemmed else names, pa.string()).dictionary_encode()
+            code = stems.indices.to_numpy()[flat.indices.to_numpy()].astype(np.int64) if len(flat) else np.zeros(0, np.int64)
+            row = np.repeat(np.arange(len(own), dtype=np.int64), np.diff(own.offsets.to_numpy()))
+            key, tf = np.unique(row << 32 | code, return_counts=True)
+            at = pa.array(key >> 32)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c).take(at) for c in keep), stems.dictionary.take(pa.array(key & 0xFFFFFFFF)), batch.column("chunk_id").take(at), pa.array(tf.astype(np.int64))], names=[*keep, "lexeme", "chunk_id", "tf"]
+            )
+
+    return words.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in keep) + (", " if keep else "") + f"lexeme string, chunk_id {kinds['chunk_id']}, tf long")
+
+
+def bucket(lexeme: str = "lexeme"):
+    return F.pmod(F.xxhash64(lexeme), F.lit(BUCKETS)).cast("int")
+
+
+def write_index(chunks: DataFrame, path: str, stemmed: bool = True, key: str = "chunk_config_sha256", spread: int = 4) -> None:
+    """Store the postings of chunks, by chunking and bucket, ordered by lexeme: a query reads its lexemes' buckets, and in them the row groups that have them.
+
+    spread: over how many tasks a bucket is dealt, so that a lexeme of every chunk fills no single one.
+    """
+    rows = postings(chunks, stemmed, keep=(key,)).withColumn("bucket", bucket())
+    dealt = rows.repartition(F.col(key), F.col("bucket"), F.pmod(F.xxhash64("chunk_id"), F.lit(spread)))
+    dealt.sortWithinPartitions(key, "bucket", "lexeme", "chunk_id").write.mode("overwrite").partitionBy(key, "bucket").parquet(path)
 
 
 def score(n):
     return n / (n + F.lit(10.0))
 
 
-def matches(queries: DataFrame, chunks: DataFrame, stem=None) -> DataFrame:
+def matches(queries: DataFrame, chunks: DataFrame, stemmed: bool = True) -> DataFrame:
     """(query_id, chunk_id, n): chunks that hold a lexeme of a query, and how many occurrences."""
-    wanted = query_lexemes(queries, stem)
-    wanted = broadcast_if_small(wanted, F.length("lexeme") + 40)
-    words = chunks.select("chunk_id", F.explode(lexemes(F.col("content"), stem)).alias("lexeme"))
-    return words.join(wanted, "lexeme").groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("n"))
+    return matches_by_postings(queries, postings(chunks, stemmed), stemmed)
 
 
-def matches_by_postings(queries: DataFrame, index: DataFrame, stem=None) -> DataFrame:
-    """The same from stored postings."""
-    wanted = broadcast_if_small(query_lexemes(queries, stem), F.length("lexeme") + 40)
-    return index.join(wanted, "lexeme").groupBy("query_id", "chunk_id").agg(F.sum("tf").alias("n"))
+def matches_by_postings(queries: DataFrame, index: DataFrame, stemmed: bool = True) -> DataFrame:
+    """The same from postings; of a stored index only the wanted buckets are read."""
+    wanted, on = query_lexemes(queries, stemmed), ["lexeme"]
+    if "bucket" in index.columns:
+        wanted, on = wanted.withColumn("bucket", bucket()), ["bucket", "lexeme"]
+    return index.join(broadcast_if_small(wanted), on).groupBy("query_id", "chunk_id").agg(F.sum("tf").alias("n"))
 
 
 def top(scored: DataFrame, k: int, digits: int = 6) -> DataFrame:
-    """The k best chunks of each query by score, ties to the smaller chunk_id, with their rank from 1."""
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    rows = scored.select("query_id", "chunk_id", F.round("score", digits).alias("score"))
-    return rows.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k)
+    """The k best chunks of each query by score, ties to the smaller chunk_id, with their rank from 1. Scores are ranked to TIE places and returned to digits."""
+    best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", TIE)), "chunk_id")
+    rows = scored.select("query_id", "chunk_id", "score").withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k)
+    return rows.select("query_id", "chunk_id", F.round("score", digits).alias("score"), "rank")
 
 
-def search(queries: DataFrame, chunks: DataFrame, k: int, stem=None, index: DataFrame | None = None) -> DataFrame:
-    """(query_id, chunk_id, score, rank) of the lexical arm. chunks are filtered to one chunking before."""
-    found = matches(queries, chunks, stem) if index is None else matches_by_postings(queries, index, stem)
+def search(queries: DataFrame, chunks: DataFrame, k: int, stemmed: bool = True, index: DataFrame | None = None) -> DataFrame:
+    """(query_id, chunk_id, score, rank) of the lexical arm. chunks, or the index, are filtered to one chunking before."""
+    found = matches(queries, chunks, stemmed) if index is None else matches_by_postings(queries, index, stemmed)
     return top(found.select("query_id", "chunk_id", score(F.col("n")).alias("score")), k)

@@ -8,23 +8,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quill.functions.text import overlap_terms, word_overlap
+from quill.operators.lexical import TIE, broadcast_if_small
 
 
-def reciprocal_rank_fusion(arms: list[DataFrame], k: int = 60, limit: int | None = None, digits: int | None = 9) -> DataFrame:
-    """(query_id, chunk_id, score, rank): summed 1 / (k + rank) over arms of (query_id, chunk_id, rank, …).
+def reciprocal_rank_fusion(arms: list[DataFrame], k: int = 60, limit: int | None = None, digits: int | None = 9) -> DataFrame | None:
+    """(query_id, chunk_id, score, rank): summed 1 / (k + rank) over arms of (query_id, chunk_id, rank, …); None of no arms.
 
     Other columns that all arms have are taken from the arm where the chunk ranks best, the
-    earlier arm if they rank alike. Ties go to the smaller chunk_id.
+    earlier arm if they rank alike. Ties (to TIE decimal places) go to the smaller chunk_id;
+    scores are returned to digits.
     """
     if not arms:
-        raise ValueError("no arm to fuse")
+        return None
     more = [c for c in arms[0].columns if c not in ("query_id", "chunk_id", "rank", "score", "rerank_score") and all(c in a.columns for a in arms)]
     parts = [a.select("query_id", "chunk_id", "rank", F.lit(i).alias("arm"), *more) for i, a in enumerate(arms)]
     total = F.sum(F.lit(1.0) / (F.lit(k) + F.col("rank")))
     best = [F.min_by(c, F.struct("rank", "arm")).alias(c) for c in more]
-    fused = reduce(DataFrame.unionByName, parts).groupBy("query_id", "chunk_id").agg((F.round(total, digits) if digits else total).alias("score"), *best)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    fused = reduce(DataFrame.unionByName, parts).groupBy("query_id", "chunk_id").agg(total.alias("score"), *best)
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", TIE)), "chunk_id")
     fused = fused.withColumn("rank", F.row_number().over(order).cast("long"))
+    fused = fused.withColumn("score", F.round("score", digits)) if digits else fused
     return fused.where(F.col("rank") <= limit) if limit is not None else fused
 
 
@@ -67,7 +70,7 @@ def rerank(fused: DataFrame, queries: DataFrame, chunks: DataFrame, scorer, top_
     tasks = int(fused.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cut = base.where(F.col("rank") <= top_n).repartition(tasks, "query_id", "chunk_id")
     texts = chunks.select("chunk_id", "content")
-    pairs = cut.join(texts, "chunk_id").join(F.broadcast(queries.select("query_id", "query")), "query_id")
+    pairs = cut.join(texts, "chunk_id").join(broadcast_if_small(queries.select("query_id", "query")), "query_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), "chunk_id")
     scored = scorer(pairs).drop("content", "query")
     return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= final_k)
@@ -80,11 +83,19 @@ def apply_floor(reranked: DataFrame, floor: float) -> DataFrame:
 
 
 def rank_movement(reranked: DataFrame) -> DataFrame:
-    """(query_id, scored, mean_movement, max_movement) over the rows that survive."""
+    """(query_id, survivors, mean_movement, max_movement) over the rows that survive; see stats() for queries without any."""
     move = F.abs(F.col("fused_rank") - F.col("rank"))
     return reranked.groupBy("query_id").agg(F.count(F.lit(1)).alias("survivors"), F.avg(move).alias("mean_movement"), F.max(move).alias("max_movement"))
 
 
+def stats(queries: DataFrame, reranked: DataFrame, pairs: DataFrame | None = None, tokens=None) -> DataFrame:
+    """(query_id, survivors, mean_movement, max_movement, and scored, truncated_pairs, truncation_rate if pairs are given): a row for every query, zeros where it has none."""
+    out = queries.select("query_id").join(rank_movement(reranked), "query_id", "left")
+    if pairs is not None:
+        out = out.join(truncation_rate(pairs, tokens), "query_id", "left")
+    return out.na.fill(0)
+
+
 def truncation_rate(pairs: DataFrame, tokens, limit: int = 512) -> DataFrame:
     """(query_id, scored, truncated_pairs, truncation_rate): pairs with more tokens than the reranker reads."""
     cut = F.count_if(tokens > limit)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quill.sources.shared import checkpoint
+
 CHUNK_KEY = ("paper_id", "ordinal", "content_sha256", "chunk_config_sha256")
 VECTOR_KEY = ("chunk_id", "model")
 SHORT_CHUNK = 50
@@ -31,18 +33,40 @@ def upsert(existing: DataFrame, new: DataFrame, key: str, update: tuple[str, ...
     return a.join(b, F.col(f"a.{key}") == F.col(f"b.{key}"), "full_outer").select(*columns)
 
 
-def with_chunk_ids(chunks: DataFrame, start: int = 0) -> DataFrame:
-    """Adds chunk_id: dense from start + 1 in the order of chunking, paper and ordinal.
+def numbered(df: DataFrame, order: tuple[str, ...], name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """df with its place from 1 in the order, within the columns by (the first of the order), and no task that holds more than a part of the rows.
 
-    Counts by paper come first, so that no task numbers all rows.
+    Rows are dealt by ranges of the order and written; what comes before a range is known from
+    the ranges' counts. Rows alike in all of order may change places.
     """
-    sizes = chunks.groupBy("chunk_config_sha256", "paper_id").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("chunk_config_sha256").orderBy("paper_id").rowsBetween(Window.unboundedPreceding, -1)
-    groups = sizes.groupBy("chunk_config_sha256").agg(F.sum("_n").alias("_all"))
-    base = groups.withColumn("_base", F.coalesce(F.sum("_all").over(Window.orderBy("chunk_config_sha256").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    starts = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).join(base, "chunk_config_sha256")
-    own = F.row_number().over(Window.partitionBy("chunk_config_sha256", "paper_id").orderBy("ordinal", "content_sha256"))
-    return chunks.join(starts, ["chunk_config_sha256", "paper_id"]).withColumn("chunk_id", (F.lit(start) + F.col("_base") + F.col("_before") + own).cast("long")).drop("_n", "_all", "_base", "_before")
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    rows = checkpoint(ranged.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
+    parts = rows.groupBy("_part", *by).agg(F.count(F.lit(1)).alias("_rows"), F.min("_at").alias("_first"))
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a part, and key of it
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+    parts = parts.select(F.col("_part").alias("_p"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], "_before", "_first")
+    on = F.col("_part") == F.col("_p")
+    for i, c in enumerate(by):
+        on = on & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    out = rows.join(parts, on).withColumn(name, (F.col("_before") + F.col("_at") - F.col("_first") + 1).cast("long"))
+    return out.select(*df.columns, name)
+
+
+def with_chunk_ids(chunks: DataFrame, start: int = 0) -> DataFrame:
+    """Adds chunk_id: dense from start + 1 in the order of chunking, paper and ordinal."""
+    out = numbered(chunks, ("chunk_config_sha256", "paper_id", "ordinal", "content_sha256"), "chunk_id")
+    return out.withColumn("chunk_id", F.col("chunk_id") + F.lit(start).cast("long"))
+
+
+def nearest_rank_by(df: DataFrame, key: str, value: str, fraction: float, name: str) -> DataFrame:
+    """(key, name): of each key the value at place round(fraction * (n - 1)), halves to even; nulls are no values. A hot key's values are in many tasks."""
+    known = df.where(F.col(value).isNotNull()).select(key, value)
+    sizes = known.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    at = F.bround(F.lit(float(fraction)) * (F.col("_n") - 1)).cast("long")
+    wanted = sizes.select(F.col(key).alias("_key"), (F.least(F.greatest(at, F.lit(0).cast("long")), F.col("_n") - 1) + 1).alias("_place"))
+    placed = numbered(known, (key, value), "_rank", (key,))
+    return placed.join(wanted, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_rank") == F.col("_place"))).select(key, F.col(value).alias(name))
 
 
 def unchanged(papers: DataFrame, existing: DataFrame, chunks: DataFrame, chunking: str) -> DataFrame:
@@ -109,10 +133,15 @@ def seeded_sample(df: DataFrame, id_col: str, seed: str, n: int) -> DataFrame:
     return df.withColumn("_key", F.sha2(F.concat(F.lit(seed), F.col(id_col).cast("string")), 256)).orderBy("_key", id_col).limit(n).drop("_key")
 
 
+#: Ids in one request, at most.
+REQUEST = 100
+
+
 def fetch_by_ids(ids: DataFrame, metadata: DataFrame) -> DataFrame:
-    """metadata rows for ids (position, id) in the requested order, each row once; an id without version finds the versioned row."""
+    """metadata rows for ids (position, id) in the requested order, each row once; an id without version finds the row of the latest version, by its number."""
+    version = F.regexp_extract("id", r"v(\d+)$", 1).cast("long")
     exact = metadata.select(F.col("id").alias("_exact"), F.col("id").alias("_id1"))
-    bare = metadata.groupBy(F.regexp_replace("id", r"v\d+$", "").alias("_bare")).agg(F.max("id").alias("_id2"))
+    bare = metadata.groupBy(F.regexp_replace("id", r"v\d+$", "").alias("_bare")).agg(F.max_by("id", F.struct(F.coalesce(version, F.lit(-1)), "id")).alias("_id2"))
     found = ids.join(exact, ids["id"] == exact["_exact"], "left").join(bare, ids["id"] == bare["_bare"], "left").select("position", F.coalesce("_id1", "_id2").alias("_found"))
     first = found.where("_found is not null").groupBy("_found").agg(F.min("position").alias("position"))
     return metadata.join(first, metadata["id"] == first["_found"]).drop("_found")

@@ -7,6 +7,9 @@ with the vector of their own number, for queries.
 
 from __future__ import annotations
 
+import atexit
+import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,8 +19,10 @@ from quill.config import RetrievalConfig
 from quill.functions import text as T
 from quill.functions import vector as V
 from quill.operators import chunking, dense, layout, lexical, ranking, store
+from quill.plans import benchmark, ingest
 from quill.plans import retrieve as plans
-from quill.sources import metadata
+from quill.sources import metadata, shared, tables
+from quill.stemsql import stems
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -73,6 +78,7 @@ _WORDS_RE = r"'[\p{L}\p{N}]+'"
 
 
 def _lex(text: str) -> str:
+    """Words without stop words, not stemmed yet."""
     return f"list_filter(regexp_extract_all(lower({text}), {_WORDS_RE}), lambda w: w NOT IN ({_STOP}))"
 
 
@@ -80,23 +86,22 @@ _CHUNKS = r"""chunks AS (SELECT doc_id AS chunk_id, source AS paper_id, doc_id A
     len(regexp_extract_all(text, '\S+'))::BIGINT AS token_count, 1 AS page_start, (1 + n_chars // 3000)::INT AS page_end, lang AS chunk_config_sha256, sha256(text) AS embed_input_sha256 FROM documents)"""
 _QUESTIONS = "questions AS (SELECT item_id AS query_id, text AS query, embedding AS vec FROM benchmark JOIN embeddings ON item_id = vec_id)"
 _VECTORS = "vectors AS (SELECT vec_id AS chunk_id, embedding AS vec, label::VARCHAR AS chunk_config_sha256 FROM embeddings)"
-_RANKED = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)"
-_MATCHES = f"""dl AS (SELECT doc_id AS chunk_id, unnest({_lex("text")}) AS lexeme FROM documents),
-    ql AS (SELECT DISTINCT query_id, unnest({_lex("query")}) AS lexeme FROM questions),
+_WORDS = f"dw AS (SELECT doc_id AS chunk_id, lang, unnest({_lex('text')}) AS word FROM documents), qw AS (SELECT DISTINCT query_id, unnest({_lex('query')}) AS word FROM questions), vocabulary AS (SELECT word FROM dw UNION SELECT word FROM qw), {stems('vocabulary')}"
+_MATCHES = f"""{_WORDS}, dl AS (SELECT chunk_id, lexeme FROM dw JOIN stems USING (word)), ql AS (SELECT DISTINCT query_id, lexeme FROM qw JOIN stems USING (word)),
     matches AS (SELECT query_id, chunk_id, count(*) AS n FROM ql JOIN dl USING (lexeme) GROUP BY ALL)"""
 
 
 def _lexical(k: int, name: str = "lexical") -> str:
-    return f"{name} AS (SELECT * FROM (SELECT query_id, chunk_id, score, {_RANKED} AS rank FROM (SELECT query_id, chunk_id, round(n / (n + 10.0::DOUBLE), 6) AS score FROM matches)) WHERE rank <= {k})"
+    return f"{name} AS (SELECT query_id, chunk_id, round(n / (n + 10.0::DOUBLE), 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, chunk_id) AS rank FROM matches) WHERE rank <= {k})"
 
 
 def _dense(k: int, name: str = "dense", where: str = "true") -> str:
-    return f"""{name} AS (SELECT * FROM (SELECT query_id, chunk_id, score, {_RANKED} AS rank FROM (
-        SELECT query_id, chunk_id, round(list_cosine_similarity(q.vec::DOUBLE[], v.vec::DOUBLE[]), 6) AS score FROM questions q, vectors v WHERE {where})) WHERE rank <= {k})"""
+    return f"""{name} AS (SELECT query_id, chunk_id, round(cosine, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, {lexical.TIE}) DESC, chunk_id) AS rank FROM (
+        SELECT query_id, chunk_id, list_cosine_similarity(q.vec::DOUBLE[], v.vec::DOUBLE[]) AS cosine FROM questions q, vectors v WHERE {where})) WHERE rank <= {k})"""
 
 
 _FUSED = f"""arms AS (SELECT query_id, chunk_id, rank FROM dense UNION ALL SELECT query_id, chunk_id, rank FROM lexical),
-    fused AS (SELECT query_id, chunk_id, score, {_RANKED} AS rank FROM (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM arms GROUP BY ALL))"""
+    fused AS (SELECT query_id, chunk_id, round(total, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(total, {lexical.TIE}) DESC, chunk_id) AS rank FROM (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS total FROM arms GROUP BY ALL))"""
 _STRIPPED = r"regexp_replace({}, '^[.,?]+|[.,?]+$', '', 'g')"
 _TERMS = rf"list_transform(regexp_extract_all(lower({{}}), '\S+'), lambda w: {_STRIPPED.format('w')})"
 
@@ -115,7 +120,7 @@ _ALL = f"WITH {_QUESTIONS}, {_VECTORS}, {_MATCHES}, {_lexical(50)}, {_dense(50)}
 
 @query(f"{_ALL}, {_reranked()} SELECT query_id, chunk_id, score, fused_rank, rerank_score, rank, CASE WHEN max(rerank_score) OVER (PARTITION BY query_id) < 0 THEN 'below_score_floor' END AS reason FROM reranked")
 def hybrid_retrieve(spark, sf_dir):
-    return plans.retrieve(_questions(spark, sf_dir), _chunks(spark, sf_dir), _vectors(spark, sf_dir))
+    return plans.retrieve(_questions(spark, sf_dir), _chunks(spark, sf_dir), _vectors(spark, sf_dir), index=_index(spark, sf_dir))
 
 
 @query(f"WITH {_QUESTIONS}, {_VECTORS}, {_dense(50)} SELECT * FROM dense")
@@ -148,9 +153,39 @@ def lexical_topk(spark, sf_dir):
     return lexical.search(_questions(spark, sf_dir), _chunks(spark, sf_dir), 50)
 
 
+def _stored(spark, sf_dir, name, write) -> str:
+    """The path of an index, built at most once a session in the shared folder."""
+    path = f"{shared.shared_folder(spark)}/index-{name}-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}-{spark.sparkContext.applicationId}"
+    if not tables.exists(spark, f"{path}/_SUCCESS") and not tables.exists(spark, f"{path}/vectors/_SUCCESS"):
+        write(path)
+        atexit.register(shared.remove_folder, spark, path)
+    return path
+
+
+def _index(spark, sf_dir):
+    return spark.read.parquet(_stored(spark, sf_dir, "postings", lambda path: lexical.write_index(_chunks(spark, sf_dir), path)))
+
+
+def _cells(spark, sf_dir):
+    return dense.read_index(spark, _stored(spark, sf_dir, "cells", lambda path: dense.write_index(_vectors(spark, sf_dir), path, 64)))
+
+
+@query(f"WITH {_QUESTIONS}, {_WORDS} SELECT lang AS chunk_config_sha256, count(DISTINCT lexeme) AS lexemes, count(*) AS occurrences FROM dw JOIN stems USING (word) GROUP BY 1")
+def stored_postings(spark, sf_dir):
+    """Builds the stored index, and counts what it holds."""
+    return _index(spark, sf_dir).groupBy("chunk_config_sha256").agg(F.countDistinct("lexeme").alias("lexemes"), F.sum("tf").alias("occurrences"))
+
+
 @query(f"WITH {_QUESTIONS}, {_MATCHES}, {_lexical(50)} SELECT * FROM lexical")
 def lexical_topk_postings(spark, sf_dir):
-    return lexical.search(_questions(spark, sf_dir), _chunks(spark, sf_dir), 50, index=lexical.postings(_chunks(spark, sf_dir)))
+    """From the stored index."""
+    return lexical.search(_questions(spark, sf_dir), None, 50, index=_index(spark, sf_dir))
+
+
+@query(f"WITH {_QUESTIONS}, {_MATCHES.replace('FROM dw JOIN stems USING (word)), ql', chr(70) + 'ROM dw JOIN stems USING (word) WHERE lang = ' + chr(39) + 'en' + chr(39) + '), ql')}, {_lexical(50)} SELECT * FROM lexical")
+def lexical_topk_chunking(spark, sf_dir):
+    """One chunking of the stored index: its partitions alone are read."""
+    return lexical.search(_questions(spark, sf_dir), None, 50, index=plans.one_chunking(_index(spark, sf_dir), "en"))
 
 
 @query(f"WITH {_QUESTIONS}, {_MATCHES} SELECT query_id, count(*) AS n_chunks FROM matches GROUP BY query_id")
@@ -163,12 +198,13 @@ def lexical_score(spark, sf_dir):
     return lexical.matches(_questions(spark, sf_dir), _chunks(spark, sf_dir)).select("query_id", "chunk_id", F.round(lexical.score(F.col("n")), 6).alias("score"))
 
 
-@query(f"SELECT item_id, array_to_string(list_sort(list_distinct({_lex('text')})), ' ') AS lexemes FROM benchmark")
+@query(f"""WITH w AS (SELECT item_id, unnest({_lex('text')}) AS word FROM benchmark), vocabulary AS (SELECT DISTINCT word FROM w), {stems('vocabulary')}, l AS (SELECT item_id, string_agg(DISTINCT lexeme, ' ' ORDER BY lexeme) AS lexemes FROM w JOIN stems USING (word) GROUP BY 1)
+    SELECT b.item_id, coalesce(lexemes, '') AS lexemes FROM benchmark b LEFT JOIN l ON b.item_id = l.item_id""")
 def lexemes(spark, sf_dir):
     return _read(spark, sf_dir, "benchmark").select("item_id", F.array_join(T.lexeme_set(F.col("text")), " ").alias("lexemes"))
 
 
-@query(f"SELECT chunk_config_sha256, lexeme, chunk_id, count(*) AS tf FROM (SELECT lang AS chunk_config_sha256, doc_id AS chunk_id, unnest({_lex('text')}) AS lexeme FROM documents) GROUP BY ALL")
+@query(f"WITH {_QUESTIONS}, {_WORDS} SELECT lang AS chunk_config_sha256, lexeme, chunk_id, count(*) AS tf FROM dw JOIN stems USING (word) GROUP BY ALL")
 def postings(spark, sf_dir):
     return lexical.postings(_chunks(spark, sf_dir), keep=("chunk_config_sha256",))
 
@@ -189,13 +225,13 @@ def rrf_score(spark, sf_dir):
 
 @query(f"{_ALL} SELECT query_id, chunk_id, score, rank FROM fused")
 def rrf_fusion(spark, sf_dir):
-    return plans.fused(_questions(spark, sf_dir), _chunks(spark, sf_dir), _vectors(spark, sf_dir), RetrievalConfig())
+    return plans.fused(_questions(spark, sf_dir), _chunks(spark, sf_dir), _vectors(spark, sf_dir), RetrievalConfig(), index=_index(spark, sf_dir))
 
 
 @query(f"WITH {_QUESTIONS}, {_MATCHES}, {_lexical(50)}, {_reranked('lexical', 20, 10)} SELECT query_id, chunk_id, score, fused_rank, rerank_score, rank FROM reranked")
 def rerank(spark, sf_dir):
     q, c = _questions(spark, sf_dir), _chunks(spark, sf_dir)
-    return ranking.rerank(lexical.search(q, c, 50), q, c, ranking.word_overlap_scorer(), 20, 10)
+    return ranking.rerank(lexical.search(q, c, 50, index=_index(spark, sf_dir)), q, c, ranking.word_overlap_scorer(), 20, 10)
 
 
 @query(f"WITH {_QUESTIONS}, {_MATCHES}, {_lexical(50)}, {_reranked('lexical', 20, 10)} SELECT query_id, count(*) AS survivors, avg(abs(fused_rank - rank)) AS mean_movement, max(abs(fused_rank - rank)) AS max_movement FROM reranked GROUP BY query_id")
@@ -216,7 +252,7 @@ def score_floor(spark, sf_dir):
 )
 def truncation_rate(spark, sf_dir):
     q, c = _questions(spark, sf_dir), _chunks(spark, sf_dir)
-    pairs = lexical.search(q, c, 50).join(F.broadcast(q.select("query_id", "query")), "query_id").join(c.select("chunk_id", "token_count"), "chunk_id")
+    pairs = lexical.search(q, c, 50, index=_index(spark, sf_dir)).join(lexical.broadcast_if_small(q.select("query_id", "query")), "query_id").join(c.select("chunk_id", "token_count"), "chunk_id")
     return ranking.truncation_rate(pairs, T.count_words(F.col("query")) + F.col("token_count"))
 
 
@@ -230,8 +266,7 @@ def truncation_rate(spark, sf_dir):
 def retrieval_summary(spark, sf_dir):
     q, c, v = _questions(spark, sf_dir), _chunks(spark, sf_dir), _vectors(spark, sf_dir)
     config = RetrievalConfig(score_floor=60.0)
-    arms = {"dense": dense.search(q, v, 50), "lexical": lexical.search(q, c, 50)}
-    out = plans.summary(q, plans.retrieve(q, c, v, config), arms)
+    out = plans.run(q, c, v, None, config, index=_index(spark, sf_dir)).summary
     return out.select("query_id", "refused", "reason", F.array_join("chunk_ids", ",").alias("chunk_ids"), F.col("n").cast("long").alias("n"), "dense_count", "lexical_count")
 
 
@@ -240,7 +275,7 @@ def retrieval_summary(spark, sf_dir):
     UNION ALL SELECT 'rrf', query_id, chunk_id, rank, rank FROM fused WHERE rank <= 5 UNION ALL SELECT 'rrf_rerank', query_id, chunk_id, rank, fused_rank FROM reranked"""
 )
 def compare_modes(spark, sf_dir):
-    return plans.compare_modes(_questions(spark, sf_dir), _chunks(spark, sf_dir), _vectors(spark, sf_dir))
+    return plans.compare_modes(_questions(spark, sf_dir), _chunks(spark, sf_dir), _vectors(spark, sf_dir), index=_index(spark, sf_dir))
 
 
 @query(
@@ -254,22 +289,52 @@ def recall_at_k(spark, sf_dir):
     return found.select(F.round("recall", 9).alias("recall"))
 
 
-@query()
+@query("SELECT 64 AS n_probe, true AS enough, 4 * 10 <= count(*) / 4 AS a_quarter_at_most FROM embeddings")
 def ann_recall(spark, sf_dir):
+    """Whether recall@10 is 0.9 or more over all codes, and how many vectors are read for it."""
     q, v = _questions(spark, sf_dir), _vectors(spark, sf_dir)
-    out, exact = None, dense.search(q, v, 10)
-    for n_probe in (2, 6, 16):
-        one = ranking.recall_at_k(exact, dense.approximate(q, v, 10, n_probe), 10).select(F.lit(n_probe).alias("n_probe"), "recall")
-        out = one if out is None else out.unionByName(one)
-    return out
+    recall = ranking.recall_at_k(dense.search(q, v, 10), _cells(spark, sf_dir).probed(q, 10, 64), 10)
+    n = v.agg(F.count(F.lit(1)).alias("n"))
+    return recall.crossJoin(n).select(F.lit(64).alias("n_probe"), (F.col("recall") >= 0.9).alias("enough"), (dense.SHORTLIST * 10 <= F.col("n") / 4).alias("a_quarter_at_most"))  # one row each
+
+
+@query(f"WITH {_QUESTIONS}, {_VECTORS}, {_dense(10)} SELECT query_id, chunk_id, score, rank FROM dense")
+def ann_exact(spark, sf_dir):
+    """The stored index with all cells read is the exact search."""
+    return _cells(spark, sf_dir).widened(_questions(spark, sf_dir), 10, 64)
+
+
+@query(f"WITH {_QUESTIONS}, {_VECTORS}, {_dense(400)} SELECT query_id, count(*) AS n, max(rank) AS last FROM dense GROUP BY 1")
+def ann_widened(spark, sf_dir):
+    """Searches that find fewer than k in their cells read more until they have them."""
+    found = _cells(spark, sf_dir).widened(_questions(spark, sf_dir), 400, 1)
+    return found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max("rank").alias("last"))
+
+
+@query("SELECT (SELECT count(*) FROM embeddings) AS rows, 3::BIGINT AS breadths, true AS grows, true AS has_bytes")
+def index_benchmark(spark, sf_dir):
+    """Recall over a sweep of breadths, sizes and build time, without latencies."""
+    b = benchmark.benchmark_index(spark, _questions(spark, sf_dir), _vectors(spark, sf_dir), _stored(spark, sf_dir, "cells", lambda path: dense.write_index(_vectors(spark, sf_dir), path, 64)), sweep=(0.0625, 0.25, 1.0), latencies=False)
+    rows = b.where("n_probe is not null")
+    order = F.transform(F.array_sort(F.collect_list(F.struct("n_probe", "recall_at_10"))), lambda x: x["recall_at_10"])  # a row a breadth
+    return rows.agg(F.max("rows").alias("rows"), F.count(F.lit(1)).alias("breadths"), (order == F.array_sort(order)).alias("grows"), (F.min("index_bytes") > 0).alias("has_bytes"))
+
+
+@query(f"""{_ALL}, {_reranked()}, t AS (SELECT query_id, chunk_id, rank FROM (SELECT *, max(rerank_score) OVER (PARTITION BY query_id) AS best FROM reranked) WHERE best >= 0)
+    SELECT query_id, chunk_id, rank, source AS paper_id, CASE WHEN n_chars > 150 THEN 'Body' ELSE 'Short' END AS section_path, sha256(text) AS digest, 1 AS page_start, (1 + n_chars // 3000)::INT AS page_end, upper(source) AS paper_title FROM t JOIN documents ON doc_id = chunk_id""")
+def candidates(spark, sf_dir):
+    """run(): what was found, with what chunks and papers show."""
+    c = _chunks(spark, sf_dir)
+    papers = c.select(F.col("paper_id").alias("id"), F.upper("paper_id").alias("title")).distinct()
+    found = plans.run(_questions(spark, sf_dir), c, _vectors(spark, sf_dir), papers, index=_index(spark, sf_dir)).candidates
+    return found.select("query_id", "chunk_id", "rank", "paper_id", "section_path", F.sha2("content", 256).alias("digest"), "page_start", "page_end", "paper_title")
 
 
 @query(
     """SELECT user_id, list_sort(list(value))[least(greatest(round_even((0.95::DOUBLE * (count(*) - 1))::DOUBLE, 0)::INT, 0), count(*) - 1) + 1] AS p95 FROM events WHERE value IS NOT NULL GROUP BY user_id"""
 )
 def nearest_rank_percentile(spark, sf_dir):
-    e = _read(spark, sf_dir, "events").where("value is not null")
-    return e.groupBy("user_id").agg(V.nearest_rank(F.collect_list("value"), 0.95).alias("p95"))
+    return store.nearest_rank_by(_read(spark, sf_dir, "events"), "user_id", "value", 0.95, "p95")
 
 
 # Text and chunks
@@ -318,12 +383,12 @@ def split_sentences(spark, sf_dir):
     return d.select("doc_id", F.col("s.text").alias("sentence"), "n")
 
 
-@query("SELECT doc_id, count(*) FILTER (WHERE NOT ok) AS wrong FROM (SELECT doc_id, true AS ok FROM documents WHERE text <> '') GROUP BY doc_id")
+@query(f"SELECT doc_id, count(*) AS sentences, sum(length(s))::BIGINT AS chars FROM (SELECT doc_id, unnest({_SENTENCES.format('text')}) AS s FROM documents) GROUP BY 1")
 def sentence_offsets(spark, sf_dir):
-    """Every sentence stands at its offsets: no row of wrong ones."""
+    """What stands between the offsets of sentences: those that are the sentence itself, and their characters."""
     d = _read(spark, sf_dir, "documents").select("doc_id", "text", F.explode(T.sentences(F.col("text"))).alias("s"))
     own = F.substring(F.col("text"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
-    return d.groupBy("doc_id").agg(F.count_if(own != F.col("s.text")).alias("wrong"))
+    return d.where(own == F.col("s.text")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("sentences"), F.sum(F.length(own)).alias("chars"))
 
 
 _PIECES = r"""s AS (SELECT doc_id, si, list_filter(regexp_extract_all(sentence, '\S+'), lambda w: true) AS w, sentence FROM (SELECT doc_id, unnest(ss) AS sentence, generate_subscripts(ss, 1) AS si FROM (SELECT doc_id, {S} AS ss FROM documents))),
@@ -337,7 +402,7 @@ def _pieces_sql(budget: int) -> str:
 
 @query(rf"WITH {_pieces_sql(12)} SELECT doc_id, regexp_replace(piece, '\s+', ' ', 'g') AS piece, row_number() OVER (PARTITION BY doc_id ORDER BY si, pi) - 1 AS n FROM p")
 def hard_split(spark, sf_dir):
-    d = _read(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunking.placed_sentences(F.col("text"), 12)).alias("n", "s"))
+    d = _read(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.pieces(F.col("text"), 12)).alias("n", "s"))
     return d.select("doc_id", F.regexp_replace("s.text", r"\s+", " ").alias("piece"), F.col("n").cast("long").alias("n"))
 
 
@@ -354,9 +419,8 @@ _CHUNKED = rf"""WITH RECURSIVE {_pieces_sql(_BUDGET)},
 
 @query(_CHUNKED)
 def chunk_documents(spark, sf_dir):
-    d = _read(spark, sf_dir, "documents")
-    sections = d.select(F.col("doc_id").alias("paper_id"), F.lit("").alias("title"), F.lit(0).alias("ordinal"), F.lit("Body").alias("path"), "text", F.lit(0).alias("char_start"), F.lit(False).alias("is_references"))
-    chunks = chunking.chunk_sections(sections, _BUDGET, 0.15, headers=False)
+    d = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("paper_id"), F.lit("").alias("title"), "text")
+    chunks = chunking.chunk_papers(chunking.one_section(d), _BUDGET, 0.15, headers=False)
     return chunks.select(F.col("paper_id").alias("doc_id"), "ordinal", "token_count", F.sha2(F.regexp_replace("content", r"\s+", " "), 256).alias("digest"))
 
 
@@ -604,6 +668,58 @@ def sample_chunks(spark, sf_dir):
     return store.seeded_sample(_read(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", "0.42", 20)
 
 
+def _pages(spark, sf_dir):
+    """Documents as spans of a file: a block for each line, pages of 20; a seventh can't be read, an eleventh has no file."""
+    d = _lines(spark, sf_dir)
+    bad = F.col("paper_id") % 7 == 0
+    box = [F.lit(float(x)).alias(c) for c, x in (("page_x0", 0), ("page_y0", 0), ("page_x1", 600), ("page_y1", 800), ("x0", 50), ("x1", 500))]
+    y = (F.col("seq") % 20 * 30).cast("double")
+    return d.select(
+        "paper_id", "page", *box, F.col("seq").cast("int").alias("block"), y.alias("y0"), (y + 20).alias("y1"), F.lit(0).alias("line"), F.lit(0).alias("span"), F.when(~bad, F.col("text")).alias("text"),
+        F.col("font_size").alias("size"), F.lit("Times").alias("font"), F.lit(0).alias("flags"), F.when(bad, "ValueError: no").alias("error"),
+    )
+
+
+def _ingested(spark, sf_dir):
+    d = _read(spark, sf_dir, "documents").where(F.length("text") > 0)
+    corpus = d.select(F.col("doc_id").alias("id"), F.col("source").alias("title"), F.when(F.col("doc_id") % 11 != 0, F.sha2("text", 256)).alias("pdf_sha256"))
+    # A third is stored as it is, and chunked.
+    papers = corpus.where("id % 3 = 0 and pdf_sha256 is not null")
+    config = RetrievalConfig(chunk_tokens=64)
+    made = papers.select(F.col("id").alias("paper_id"), F.lit(0).cast("long").alias("ordinal"), F.lit("x").alias("content_sha256"), F.lit(config.chunking_sha256()).alias("chunk_config_sha256"), F.col("id").alias("chunk_id"))
+    return ingest.ingest(corpus, _pages(spark, sf_dir), papers, made, config)
+
+
+@query("""WITH d AS (SELECT *, doc_id % 11 <> 0 AS has_file FROM documents WHERE length(text) > 0)
+    SELECT doc_id AS paper_id, CASE WHEN doc_id % 3 = 0 AND has_file THEN 'skipped' WHEN NOT has_file OR doc_id % 7 = 0 THEN 'failed' ELSE 'ingested' END AS status,
+    CASE WHEN doc_id % 3 = 0 AND has_file THEN NULL WHEN NOT has_file THEN 'no file' WHEN doc_id % 7 = 0 THEN 'ValueError: no' END AS reason FROM d""")
+def ingest_status(spark, sf_dir):
+    return _ingested(spark, sf_dir).status.select("paper_id", "status", "reason")
+
+
+@query("""WITH d AS (SELECT doc_id % 3 = 0 AND doc_id % 11 <> 0 AS skipped, NOT (doc_id % 3 = 0 AND doc_id % 11 <> 0) AND (doc_id % 11 = 0 OR doc_id % 7 = 0) AS failed FROM documents WHERE length(text) > 0)
+    SELECT count(*) AS papers_seen, count(*) FILTER (WHERE NOT skipped AND NOT failed) AS papers_ingested, count(*) FILTER (WHERE skipped) AS papers_skipped_unchanged, count(*) FILTER (WHERE failed) AS papers_failed FROM d""")
+def ingest_report(spark, sf_dir):
+    return ingest.report(_ingested(spark, sf_dir).status).select("papers_seen", "papers_ingested", "papers_skipped_unchanged", "papers_failed")
+
+
+@query()
+def ingest_chunks(spark, sf_dir):
+    c = _ingested(spark, sf_dir).chunks
+    return c.select("chunk_id", "paper_id", "ordinal", "section_path", "token_count", "page_start", "page_end", "char_start", "char_end", "content_sha256")
+
+
+@query("SELECT DISTINCT trim(split_part(line, '#', 1)) AS id FROM (SELECT unnest(string_split(c_name || '  # ' || c_mktsegment || chr(10) || '# comment' || chr(10) || '  ' || c_custkey || '  ' || chr(10), chr(10))) AS line FROM customer) WHERE trim(split_part(line, '#', 1)) <> ''")
+def manifest_scan(spark, sf_dir):
+    """A manifest that is written and read again."""
+    path = f"{shared.shared_folder(spark)}/manifest-{uuid.uuid4().hex}"
+    c = _read(spark, sf_dir, "customer")
+    lines = F.array(F.concat("c_name", F.lit("  # "), "c_mktsegment"), F.lit("# comment"), F.concat(F.lit("  "), F.col("c_custkey").cast("string"), F.lit("  ")), F.lit(""))
+    c.select(F.explode(lines).alias("value")).write.text(path)
+    atexit.register(shared.remove_folder, spark, path)
+    return metadata.read_manifest(spark, path).distinct()
+
+
 @query("SELECT o_orderkey::VARCHAR AS id, o_orderkey || '  # ' || substr(o_orderpriority, 1, 90) AS line FROM orders")
 def manifest_listing(spark, sf_dir):
     o = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderpriority").alias("title"), F.col("o_orderdate").alias("published_at"))

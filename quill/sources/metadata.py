@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import os
+import re
 import time
 import urllib.error
 import urllib.parse
 import urllib.request
 from collections.abc import Callable
+from datetime import datetime, timezone
+from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,7 +56,8 @@ def write_manifest(papers: DataFrame, path: str, comments: tuple[str, ...] = ())
     head = spark.createDataFrame([(i, f"# {c}") for i, c in enumerate(comments)], "n long, value string")
     body = papers.select(F.lit(len(comments)).cast("long").alias("n"), F.concat(F.col("id"), F.lit("  # "), F.substring("title", 1, 90)).alias("value"), "published_at", "id")
     both = head.withColumns({"published_at": F.lit(None).cast("date"), "id": F.lit(None).cast("string")}).unionByName(body)
-    both.coalesce(1).sortWithinPartitions("n", F.desc("published_at"), F.desc("id")).select("value").write.mode("overwrite").text(path)
+    # All columns but a line's are gone by now; the exchange keeps upstream work out of the one task that orders them.
+    both.repartition(1).sortWithinPartitions("n", F.desc("published_at"), F.desc("id")).select("value").write.mode("overwrite").text(path)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -97,13 +101,27 @@ class Fetcher:
             os.replace(f"{path}.part", path)
         return path
 
-    def search(self, categories: list[str], limit: int, parse: Callable[[bytes], list[dict]], page: int = 100, base: str = "https://export.arxiv.org/api/query") -> list[dict]:
+    def by_ids(self, ids: list[str], parse: Callable[[bytes], list[dict]] | None = None, page: int = 100, base: str = "https://export.arxiv.org/api/query") -> list[dict]:
+        """Entries of explicit ids, asked for page at a time, in the order of the ids, each once; a bare id finds the entry of its latest version."""
+        found: dict[str, dict] = {}
+        for at in range(0, len(ids), page):
+            asked = urllib.parse.urlencode({"id_list": ",".join(ids[at : at + page]), "max_results": page})
+            for e in (parse or parse_atom)(self.get(f"{base}?{asked}")):
+                found.setdefault(e["id"], e)
+        number = lambda i: int(m[1]) if (m := re.search(r"v(\d+)$", i)) else -1
+        bare: dict[str, str] = {}
+        for i in sorted(found, key=number):
+            bare[re.sub(r"v\d+$", "", i)] = i
+        wanted = dict.fromkeys(i if i in found else bare.get(i) for i in ids)
+        return [found[i] for i in wanted if i]
+
+    def search(self, categories: list[str], limit: int, parse: Callable[[bytes], list[dict]] | None = None, page: int = 100, base: str = "https://export.arxiv.org/api/query") -> list[dict]:
         """Newest entries of any of the categories, each id once, until limit or a page without entries."""
         found: dict[str, dict] = {}
         query = " OR ".join(f"cat:{c}" for c in categories)
         while len(found) < limit:
             asked = urllib.parse.urlencode({"search_query": query, "sortBy": "submittedDate", "sortOrder": "descending", "start": len(found), "max_results": min(page, limit - len(found))})
-            entries = parse(self.get(f"{base}?{asked}"))
+            entries = (parse or parse_atom)(self.get(f"{base}?{asked}"))
             before = len(found)
             for e in entries:
                 found.setdefault(e["id"], e)
@@ -112,5 +130,32 @@ class Fetcher:
         return list(found.values())[:limit]
 
 
+_ATOM = "{http://www.w3.org/2005/Atom}"
+
+
+def parse_atom(answer: bytes) -> list[dict]:
+    """Entries of an Atom answer as papers, by the rules of read_atom()."""
+    out = []
+    squeeze = lambda t: " ".join((t or "").split())
+    for entry in ElementTree.fromstring(answer).iter(f"{_ATOM}entry"):
+        text = lambda name: entry.findtext(f"{_ATOM}{name}")  # noqa: B023, E731
+        own = (text("id") or "").rpartition("/abs/")[2].strip() if "/abs/" in (text("id") or "") else ""
+        if not own or any(text(c) is None for c in ("title", "summary", "published")):
+            continue
+        pdf = next((link.get("href") for link in entry.iter(f"{_ATOM}link") if link.get("title") == "pdf"), None)
+        out.append({
+            "id": own, "title": squeeze(text("title")), "authors": [squeeze(a.findtext(f"{_ATOM}name")) for a in entry.iter(f"{_ATOM}author")], "abstract": squeeze(text("summary")),
+            "categories": [c.get("term") for c in entry.iter(f"{_ATOM}category")], "published_at": datetime.fromisoformat(text("published").strip().replace("Z", "+00:00")).astimezone(timezone.utc).date(), "pdf_url": pdf or f"{PDF_URL}{own}",
+        })
+    return out
+
+
+def corpus(papers: DataFrame, files: DataFrame) -> DataFrame:
+    """papers with the path and digest (pdf_sha256) of their file, null without one: a paper whose file can't be had is a row still. files: as of read_files()."""
+    own = files.select("path", F.col("sha256").alias("pdf_sha256"), F.regexp_extract("path", r"([^/]+)$", 1).alias("_name"))
+    name = F.concat(F.replace("id", F.lit("/"), F.lit("_")), F.lit(".pdf"))
+    return papers.withColumn("_name", name).join(own, "_name", "left").drop("_name")
+
+
 def file_name(paper_id: str) -> str:
     return paper_id.replace("/", "_") + ".pdf"

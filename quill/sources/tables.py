@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quill.operators import store
+from quill.sources.shared import checkpoint
 
 SCHEMAS = {
     "papers": "id string, title string, authors array<string>, abstract string, categories array<string>, published_at date, pdf_sha256 string, ingested_at timestamp",
@@ -40,15 +42,62 @@ def create(spark: SparkSession, database: str = "default") -> None:
             empty.write.partitionBy(*PARTITIONS.get(name, [])).saveAsTable(f"{database}.{name}")
 
 
+def table_for(model: str) -> str:
+    """The name under which a model's vectors are known: by their dimension. All are in one table, parted by model."""
+    return f"embeddings_{dimension_of(model)}"
+
+
+def _files(spark: SparkSession, path: str):
+    """(file system, path) of a path of any file system that Spark knows."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, where = _files(spark, path)
+    return files.exists(where)
+
+
+def folder_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of a file or of all files of a folder; 0 if it isn't there."""
+    files, where = _files(spark, path)
+    return files.getContentSummary(where).getLength() if files.exists(where) else 0
+
+
+def append_batch(df: DataFrame, path: str, name: str) -> bool:
+    """Append df to the Parquet table at path as its folder batch=name, whole or not at all; False if that batch is there already.
+
+    Rows are written beside the table (readers pass over names with an underscore) and
+    moved by one rename.
+    """
+    spark = df.sparkSession
+    files, target = _files(spark, f"{path}/batch={name}")
+    if files.exists(target):
+        return False
+    _, staged = _files(spark, f"{path}/_staged-{uuid.uuid4().hex}")
+    try:
+        df.write.parquet(staged.toString())
+        return bool(files.rename(staged, target))
+    finally:
+        files.delete(staged, True)
+
+
 def append_new(new: DataFrame, table: str, key: tuple[str, ...], order: tuple = ()) -> int:
     """Append rows whose key the table has not; how many. A second call appends none."""
     spark = new.sparkSession
     existing = spark.read.table(table)
-    rows = store.insert_ignore(existing, new, key, order).select(existing.columns)
-    before = existing.count()
+    rows = checkpoint(store.insert_ignore(existing, new, key, order).select(existing.columns))
     rows.write.mode("append").insertInto(table)
     spark.catalog.refreshTable(table)
-    return spark.read.table(table).count() - before
+    return rows.count()
+
+
+def replace(df: DataFrame, table: str) -> None:
+    """Put df, which may read the table, in the table's place; it is written elsewhere first."""
+    spark = df.sparkSession
+    rows = checkpoint(df.select(spark.read.table(table).columns))
+    rows.write.mode("overwrite").insertInto(table, overwrite=True)
+    spark.catalog.refreshTable(table)
 
 
 def log_query(spark: SparkSession, table: str, question: str, config: str, ids: list[int], timings: str, refused: bool) -> None:
@@ -90,6 +139,14 @@ def pending(found: list[tuple[int, str, str, str]], applied: dict[int, str]) ->
     return rest
 
 
+def status(spark: SparkSession, folder: str, table: str = "schema_migrations") -> list[tuple[int, str, bool]]:
+    """(version, name, whether applied) of all migrations; one that can't be applied is an error."""
+    applied = {r.version: r.checksum for r in spark.read.table(table).select("version", "checksum").collect()} if spark.catalog.tableExists(table) else {}
+    found = discover(folder)
+    pending(found, applied)
+    return [(v, name, v in applied) for v, name, *_ in found]
+
+
 def migrate(spark: SparkSession, folder: str, table: str = "schema_migrations") -> list[int]:
     """Apply what is pending, each statement by Spark SQL; the versions applied."""
     if not spark.catalog.tableExists(table):

@@ -1,34 +1,43 @@
-"""Incremental ingest: files that arrive are chunked and appended, each chunk once."""
+"""Incremental ingest: documents that arrive are chunked and appended, each chunk once."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quill.config import RetrievalConfig
-from quill.operators.chunking import chunk_sections
+from quill.functions.tokens import TokenCounter, WhitespaceCounter
+from quill.operators.chunking import chunk_papers, one_section
 from quill.operators.store import CHUNK_KEY, insert_ignore
+from quill.plans.ingest import with_identity
+from quill.sources import tables
 
 
-def chunk_texts(docs: DataFrame, config: RetrievalConfig) -> DataFrame:
+def chunk_texts(docs: DataFrame, config: RetrievalConfig, counter: Callable[[], TokenCounter] = WhitespaceCounter) -> DataFrame:
     """Chunks of docs (paper_id, title, text), each text one section, Body."""
-    sections = docs.select("paper_id", "title", F.lit(0).alias("ordinal"), F.lit("Body").alias("path"), "text", F.lit(0).alias("char_start"), F.lit(False).alias("is_references"))
-    chunks = chunk_sections(sections, config.chunk_tokens, config.chunk_overlap_pct, config.contextual_headers, config.embedding_model, config.drop_references)
-    return chunks.withColumn("chunk_config_sha256", F.lit(config.chunking_sha256()))
+    return with_identity(chunk_papers(one_section(docs), config.chunk_tokens, config.chunk_overlap_pct, config.contextual_headers, config.embedding_model, counter), config)
+
 
+def ingest_stream(stream: DataFrame, path: str, checkpoint: str, config: RetrievalConfig, counter: Callable[[], TokenCounter] = WhitespaceCounter):
+    """Start a query that appends the chunks of a stream of docs to the Parquet table at path.
 
-def ingest_stream(stream: DataFrame, path: str, checkpoint: str, config: RetrievalConfig):
-    """Start a query that appends the chunks of a stream of docs to the Parquet table at path. A batch that runs again appends nothing twice."""
+    A batch is one folder of the table, named by its number and moved there whole, so a batch that
+    runs again adds nothing; chunks that earlier batches brought are left out. Of the table
+    only this chunking's keys are read, and of those only the batch's papers'.
+    """
 
-    def write(batch: DataFrame, _: int) -> None:
+    def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        new = chunk_texts(batch, config)
-        try:
-            existing = spark.read.parquet(path)
-        except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-                raise
-            existing = new.limit(0)
-        insert_ignore(existing, new, CHUNK_KEY).write.mode("append").partitionBy("chunk_config_sha256").parquet(path)
+        if tables.exists(spark, f"{path}/batch={number}"):
+            return
+        new = chunk_texts(batch, config, counter)
+        if tables.exists(spark, path):
+            stored = spark.read.parquet(path).where(F.col("chunk_config_sha256") == config.chunking_sha256()).select(*CHUNK_KEY)
+            new = insert_ignore(stored.join(batch.select("paper_id").distinct(), "paper_id", "left_semi"), new, CHUNK_KEY)
+        else:
+            new = insert_ignore(new.limit(0), new, CHUNK_KEY)
+        tables.append_batch(new, path, str(number))
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
