@@ -58,11 +58,12 @@ def bucket(lexeme: str = "lexeme"):
     return F.pmod(F.xxhash64(lexeme), F.lit(BUCKETS)).cast("int")
 
 
-def write_index(chunks: DataFrame, path: str, stemmed: bool = True, key: str = "chunk_config_sha256", spread: int = 4) -> None:
+def write_index(chunks: DataFrame, path: str, stemmed: bool = True, key: str = "chunk_config_sha256", task_bytes: int = 16 << 30) -> None:
     """Store the postings of chunks, by chunking and bucket, ordered by lexeme: a query reads its lexemes' buckets, and in them the row groups that have them.
 
-    spread: over how many tasks a bucket is dealt, so that a lexeme of every chunk fills no single one.
+    A bucket is dealt over as many tasks as the chunks' texts have times task_bytes, so that a lexeme of every chunk fills no single one.
     """
+    spread = 1 + (chunks.agg(F.sum(F.octet_length("content"))).first()[0] or 0) // task_bytes
     rows = postings(chunks, stemmed, keep=(key,)).withColumn("bucket", bucket())
     dealt = rows.repartition(F.col(key), F.col("bucket"), F.pmod(F.xxhash64("chunk_id"), F.lit(spread)))
     dealt.sortWithinPartitions(key, "bucket", "lexeme", "chunk_id").write.mode("overwrite").partitionBy(key, "bucket").parquet(path)

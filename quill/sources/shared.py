@@ -85,22 +85,3 @@ def side(df: DataFrame) -> DataFrame:
     """A checkpointed side of a join by a key that may be hot: broadcast if its bytes are summed to be few, else left so that Spark can split both sides' skewed partitions."""
     df = checkpoint(df)
     return F.broadcast(df) if (df.agg(F.sum(row_bytes(df))).first()[0] or 0) <= BROADCAST_BYTES else df
-
-
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[dict] | None], schema: str) -> DataFrame:
-    """mapInArrow with fn from a batch to dicts of columns (numpy arrays, lists or Arrow arrays)."""
-    tune(df.sparkSession)
-    fields = df.sparkSession.createDataFrame([], schema).schema
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow = to_arrow_schema(fields)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                for columns in fn(batch) or ():
-                    yield pa.RecordBatch.from_arrays(
-                        [c.cast(f.type) if isinstance(c := columns[f.name], pa.Array) else pa.array(c, f.type) for f in arrow], schema=arrow
-                    )
-
-    return df.mapInArrow(run, fields)
