@@ -33,6 +33,14 @@ _OWN: dict[str, str] = {}
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in the shared folder."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
     """Cut lineage with a table written in the shared folder, which goes with the session.
 
     Read back, it has the sizes of its files and columns that can be pruned. DataFrame.checkpoint()
@@ -47,7 +55,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Folders of the tables that checkpoint() has written and that are there still.
+#: Folders of the tables that written() has made and that are there still.
 TABLES: list[str] = []
 
 
@@ -81,7 +89,7 @@ def row_bytes(df: DataFrame) -> Column:
     return total
 
 
-def side(df: DataFrame) -> DataFrame:
+def side(df: DataFrame, cut=checkpoint) -> DataFrame:
     """A checkpointed side of a join by a key that may be hot: broadcast if its bytes are summed to be few, else left so that Spark can split both sides' skewed partitions."""
-    df = checkpoint(df)
+    df = cut(df)
     return F.broadcast(df) if (df.agg(F.sum(row_bytes(df))).first()[0] or 0) <= BROADCAST_BYTES else df
