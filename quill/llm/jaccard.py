@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quill.llm.runtime import cells_of, checkpoint, map_arrow, row_hash, side, texts_of, tune
+from quill.llm.runtime import cells_of, checkpoint, map_arrow, row_hash, side, texts_of, tune, written
 
 BANDS, ROWS = 32, 5
 #: Sets and bytes of sets in a chunk of a key, at most (on average over a hot key's chunks).
@@ -189,10 +189,10 @@ def merged_classes(docs: DataFrame, prints: DataFrame, named: DataFrame, least:
     texts = docs.select(row_hash(docs).alias("row"), F.col(text_col).alias("text")).join(side(wanted), "row").select("m", "text")
     held = checkpoint(map_arrow(texts, sets, "m long, set binary, keys array<long>, marks binary").dropDuplicates(["m"]))
     relabel = lambda known, column, labels: known.join(labels, F.col(column) == F.col("node"), "left").withColumn(column, F.coalesce("least", column)).drop("node", "least")
-    labels = side(classes(_links(first.select("k", "m", "own", "a", "b", "side"), held, least)))
+    labels = side(classes(_links(first.select("k", "m", "own", "a", "b", "side"), held, least)), written)
     named = relabel(named, "class", labels)
     hot = first.where("chunks > 1").select("k", "m", "n", "own").distinct()
     if hot.isEmpty():
         return named
     crossed = _crossed_cells(checkpoint(relabel(hot, "own", labels)), cell, cell_bytes)
-    return relabel(named, "class", side(classes(_links(crossed, held, least))))
+    return relabel(named, "class", side(classes(_links(crossed, held, least)), written))

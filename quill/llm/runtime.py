@@ -9,12 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quill.sources.shared import TABLES, checkpoint, columns_of, remove_folder, remove_tables, shared_folder, side
+from quill.sources.shared import TABLES, checkpoint, columns_of, remove_folder, remove_tables, shared_folder, side, written
 
-__all__ = ["TABLES", "checkpoint", "columns_of", "remove_folder", "remove_tables", "shared_folder", "side"]
+__all__ = ["TABLES", "checkpoint", "columns_of", "remove_folder", "remove_tables", "shared_folder", "side", "written"]
 
 #: Rows and bytes in one Arrow batch sent to a Python worker, at most.
-BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def tune(spark: SparkSession) -> None:

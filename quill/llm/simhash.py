@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quill.llm import jaccard
-from quill.llm.runtime import cells_of, checkpoint, fresh, map_arrow, row_hash, side, texts_of
+from quill.llm.runtime import cells_of, checkpoint, fresh, map_arrow, row_hash, side, texts_of, written
 
 SHINGLE, RADIUS = 3, 3
 #: Fingerprints under one key that one task compares, at most.
@@ -209,17 +209,17 @@ def near_links(distinct: DataFrame, n: int, radius: int = RADIUS, cell: int = CE
 
 def classes(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Node and least node of its class, for every node of links (u < v; loops are ignored): large-star and small-star steps until stars remain."""
-    edges = checkpoint(links.select("u", "v").where("u <> v"))
+    edges = written(links.select("u", "v").where("u <> v"))
     before = None
     for _ in range(most_rounds):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         # Large star: larger neighbours go to the least of the neighbourhood.
-        edges = both.where("v > u").join(side(least), "u").select(F.col("m").alias("u"), "v").distinct()
+        edges = both.where("v > u").join(side(least, written), "u").select(F.col("m").alias("u"), "v").distinct()
         # Small star: smaller neighbours go to the least.
         least = edges.groupBy("v").agg(F.min("u").alias("m"))
-        edges = edges.join(side(least), "v").select(F.explode(F.array(F.struct(F.col("m").alias("u"), F.col("v").alias("v")), F.struct(F.col("m").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        edges = checkpoint(edges)
+        edges = edges.join(side(least, written), "v").select(F.explode(F.array(F.struct(F.col("m").alias("u"), F.col("v").alias("v")), F.struct(F.col("m").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        edges = written(edges)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == before:
             break

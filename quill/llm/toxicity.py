@@ -22,7 +22,7 @@ from quill.llm.words import Words, run_weights
 BITS = 18
 TRAIN_ROWS, TRAIN_BYTES = 16_000, 1 << 16
 #: Labelled ids drawn for each row of the sample, since some have no text or too long a one.
-DRAWN = 4
+DRAWN = 2
 THRESHOLD = 0.3
 
 
@@ -93,13 +93,13 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from, config: Ftrl = Ftrl(), t
     there = known.join(docs.where(learn_from).select(F.col(id_col).alias("_id")), "_id", "left_semi")
     few = there.orderBy(F.xxhash64("_id"), "_id").limit(DRAWN * train_rows)
     rows = docs.where(learn_from & F.col(text_col).isNotNull() & (F.octet_length(text_col) <= train_bytes))
-    rows = rows.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(few), "_id").withColumn("h", F.xxhash64("_id", "text"))
+    rows = rows.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(few), "_id").withColumns({"h": F.xxhash64("_id", "text"), "r": F.monotonically_increasing_id()})
     bits = config.bits
 
     def sets(batch):
         texts = texts_of(batch)
         for a, b in pieces(texts):
-            yield {"h": batch.column("h").slice(a, b - a), "y": batch.column("_y").slice(a, b - a), "at": [x.astype(np.int32) for x in feature_sets(Words(texts[a:b]), b - a, bits)]}
+            yield {"h": batch.column("h").slice(a, b - a), "r": batch.column("r").slice(a, b - a), "y": batch.column("_y").slice(a, b - a), "at": [x.astype(np.int32) for x in feature_sets(Words(texts[a:b]), b - a, bits)]}
 
     def learn(batches):
         held = [b for b in batches if b.num_rows]
@@ -115,9 +115,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from, config: Ftrl = Ftrl(), t
         yield pa.RecordBatch.from_pydict({"at": pa.array([at.tolist()], pa.list_(pa.int64())), "w": pa.array([w[at].tolist()], pa.list_(pa.float64())), "bias": [bias]})
 
     # The bounded sample meets in one task, which gives back the weights that are not zero.
-    hashed = checkpoint(map_arrow(rows, sets, "h long, y int, at array<int>"))
-    chosen = hashed.select("h", "y").distinct().orderBy("h", "y").limit(train_rows)
-    sample = hashed.join(F.broadcast(chosen), ["h", "y"]).dropDuplicates(["h", "y"])
+    hashed = checkpoint(map_arrow(rows, sets, "h long, r long, y int, at array<int>"))
+    chosen = hashed.groupBy("h", "y").agg(F.min("r").alias("r")).orderBy("h", "y").limit(train_rows).select("r")
+    sample = hashed.join(F.broadcast(chosen), "r")
     model = sample.coalesce(1).mapInArrow(learn, "at array<long>, w array<double>, bias double").collect()
     if not model:
         return np.zeros(0, dtype=np.int64), np.zeros(0), -2.0
