@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quill.llm import decontaminate, html_extract, language, licenses, line_dedup, packing, simhash, token_counts, topk, toxicity
+from quill.llm import asof, decontaminate, html_extract, language, licenses, line_dedup, packing, simhash, token_counts, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,8 +60,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op13_feature_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return asof.features(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_decontaminate, op3_packing, op4_language_id, op5_toxicity, op6_line_dedup, op7_html_extract, op8_simhash, op9_topk, op10_token_counts)
+    f.__name__: f for f in (op1_license_scan, op2_decontaminate, op3_packing, op4_language_id, op5_toxicity, op6_line_dedup, op7_html_extract, op8_simhash, op9_topk, op10_token_counts, op13_feature_join)
 }
 
 _ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -88,6 +92,16 @@ ORACLES: dict[str, str] = {
         s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score FROM v q, v c WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op13_feature_join": """
+        WITH n AS (SELECT doc_id, source, n_chars, lang, list_transform(range(4), lambda i: ('0x' || substr(sha256(doc_id::VARCHAR), 8 * i::INT + 1, 8))::BIGINT) AS h FROM documents),
+        v AS (SELECT *, h[1] % 200000 AS event, h[1] % 200000 - 60 + h[2] % 1200 AS arrival, h[1] % 200000 + h[3] % 900 AS expiry FROM n WHERE doc_id IS NOT NULL AND source IS NOT NULL),
+        o AS (SELECT doc_id, min(source) AS source FROM documents GROUP BY doc_id),
+        a AS (SELECT row_number() OVER () AS r, l.doc_id, ('0x' || substr(sha256(l.doc_id::VARCHAR), 25, 8))::BIGINT % 200000 AS t, o.source FROM labels l LEFT JOIN o ON l.doc_id = o.doc_id),
+        w AS (SELECT r, v.doc_id AS version_id, t - event AS age, v.n_chars, v.lang, row_number() OVER (PARTITION BY r ORDER BY event DESC, arrival DESC, v.doc_id DESC, v.n_chars DESC NULLS LAST, v.lang DESC NULLS LAST) AS place
+              FROM a JOIN v ON v.source = a.source AND event <= t AND arrival <= t AND t < expiry)
+        SELECT a.doc_id, t, version_id, age, CASE WHEN version_id IS NULL THEN 'none' WHEN age > 20 THEN 'stale' ELSE 'fresh' END AS status,
+               CASE WHEN age <= 20 THEN n_chars END AS n_chars, CASE WHEN age <= 20 THEN lang END AS lang
+        FROM a LEFT JOIN w ON a.r = w.r AND place = 1""",
     # A chunk begins after a line that ends one, and on either side of a long line.
     "op6_line_dedup": r"""
         WITH l AS (SELECT doc_id, text, i, ls[i] AS line, len(regexp_extract_all(ls[i], '[^ \t\n\r\f\v]+')) AS n
