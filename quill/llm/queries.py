@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quill.llm import asof, decontaminate, html_extract, language, licenses, line_dedup, packing, simhash, token_counts, topk, toxicity
+from quill.llm import asof, decontaminate, html_extract, language, licenses, line_dedup, packing, prefix_trie, simhash, token_counts, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,12 +60,16 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations")).drop("path")
+
+
 def op13_feature_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asof.features(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_decontaminate, op3_packing, op4_language_id, op5_toxicity, op6_line_dedup, op7_html_extract, op8_simhash, op9_topk, op10_token_counts, op13_feature_join)
+    f.__name__: f for f in (op1_license_scan, op2_decontaminate, op3_packing, op4_language_id, op5_toxicity, op6_line_dedup, op7_html_extract, op8_simhash, op9_topk, op10_token_counts, op12_prefix_trie, op13_feature_join)
 }
 
 _ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -92,6 +96,23 @@ ORACLES: dict[str, str] = {
         s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score FROM v q, v c WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    # crc32 bit by bit over the digits of an id; a prefix is named by the digest of its JSON.
+    "op12_prefix_trie": r"""
+        WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, turn FROM conversations WHERE conv_id IS NOT NULL),
+        l AS (SELECT c, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, sha256(length(role)::VARCHAR || ':' || role || text)) AS own FROM t GROUP BY c),
+        h AS (SELECT c, own, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, length(c::VARCHAR) + 1), lambda i: ord(substr(c::VARCHAR, i::INT, 1))::BIGINT)),
+                lambda x, y: list_reduce(list_prepend(xor(x, y), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda a, b: xor(a >> 1, 3988292384 * (a & 1))))) % 4 AS h FROM l),
+        p AS (SELECT h.c, list_concat(coalesce(list_slice(b.own, 1, h.h), []), list_slice(h.own, h.h + 1, len(h.own))) AS path FROM h LEFT JOIN l b ON b.c = h.c - h.c % 20),
+        d AS (SELECT c, path, len(path) AS len, unnest(range(0, len(path) + 1)) AS d FROM p),
+        k AS (SELECT c, d, len, sha256(to_json(list_slice(path, 1, d))::VARCHAR) AS key, CASE WHEN d > 0 THEN sha256(to_json(list_slice(path, 1, d - 1))::VARCHAR) END AS parent,
+                CASE WHEN d > 0 THEN len(regexp_extract_all(path[d].text, '[^\x20\x09-\x0D]+')) ELSE 0 END AS words FROM d),
+        n AS (SELECT key, any_value(parent) AS parent, any_value(d) AS depth, min(c) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+                sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE d = len), '')) AS ends_sha256 FROM k GROUP BY key),
+        m AS (SELECT n.*, (SELECT count(*) FROM n b WHERE b.parent = n.key) AS n_children FROM n),
+        s AS (SELECT DISTINCT a.key AS top, b.key AS sub FROM k a JOIN k b ON a.c = b.c AND a.d <= b.d),
+        u AS (SELECT top, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum((n_convs - 1) * words)::BIGINT AS saved_tokens FROM s JOIN m ON m.key = sub GROUP BY top)
+        SELECT m.conv_id, m.depth, a.conv_id AS parent_conv_id, m.n_convs, m.n_children, n_leaves, saved_tokens, m.ends_sha256
+        FROM m JOIN u ON top = m.key LEFT JOIN m a ON a.key = m.parent""",
     "op13_feature_join": """
         WITH n AS (SELECT doc_id, source, n_chars, lang, list_transform(range(4), lambda i: ('0x' || substr(sha256(doc_id::VARCHAR), 8 * i::INT + 1, 8))::BIGINT) AS h FROM documents),
         v AS (SELECT *, h[1] % 200000 AS event, h[1] % 200000 - 60 + h[2] % 1200 AS arrival, h[1] % 200000 + h[3] % 900 AS expiry FROM n WHERE doc_id IS NOT NULL AND source IS NOT NULL),
