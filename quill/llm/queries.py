@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quill.llm import asof, decontaminate, html_extract, language, licenses, line_dedup, packing, prefix_trie, simhash, token_counts, topk, toxicity
+from quill.llm import asof, decontaminate, html_extract, language, licenses, line_dedup, lm_score, packing, prefix_trie, simhash, token_counts, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.lm_score(_table(spark, sf_dir, "documents"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations")).drop("path")
 
@@ -69,7 +73,7 @@ def op13_feature_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_decontaminate, op3_packing, op4_language_id, op5_toxicity, op6_line_dedup, op7_html_extract, op8_simhash, op9_topk, op10_token_counts, op12_prefix_trie, op13_feature_join)
+    f.__name__: f for f in (op1_license_scan, op2_decontaminate, op3_packing, op4_language_id, op5_toxicity, op6_line_dedup, op7_html_extract, op8_simhash, op9_topk, op10_token_counts, op11_lm_scoring, op12_prefix_trie, op13_feature_join)
 }
 
 _ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
