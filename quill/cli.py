@@ -14,7 +14,7 @@ from quill.config import FUSIONS, RetrievalConfig
 from quill.operators import embedding, store
 from quill.plans import benchmark, ingest
 from quill.plans.retrieve import candidates, compare_modes, retrieve
-from quill.sources import metadata, pdf, tables
+from quill.sources import commits, metadata, pdf, tables
 
 
 def report(df: DataFrame, title: str) -> str:
@@ -55,9 +55,10 @@ def _parser() -> argparse.ArgumentParser:
     s.add_argument("--top-k", type=int, default=5)
     s.add_argument("--compare", action="store_true")
     s.add_argument("--encoder", default="digest")
+    s.add_argument("--scorer", default="word_overlap", help="a registered scorer")
     b = sub.add_parser("bench-index")
     b.add_argument("path")
-    b.add_argument("--cells", type=int, default=64)
+    b.add_argument("--cells", type=int, help="as the number of rows suggests, if not given")
     b.add_argument("--queries", type=int, default=benchmark.QUERIES)
     b.add_argument("--rebuild", action="store_true")
     b.add_argument("--encoder", default="digest")
@@ -68,18 +69,29 @@ def _parser() -> argparse.ArgumentParser:
 
 
 def _ingest(spark: SparkSession, args, config: RetrievalConfig) -> int:
-    """0 unless nothing was ingested and nothing skipped."""
+    """0 unless nothing was ingested and nothing skipped. Chunks are committed before papers, so that an ingest that ends in between is done again; if another one changes papers meanwhile, this one starts anew."""
     tables.create(spark)
+    for attempt in range(3):
+        try:
+            return _ingest_once(spark, args, config)
+        except commits.Conflict:
+            if attempt == 2:
+                raise
+    raise AssertionError
+
+
+def _ingest_once(spark: SparkSession, args, config: RetrievalConfig) -> int:
+    seen = tables.version(spark, "papers")
     papers = metadata.read_atom(spark, args.atom)
     if args.manifest:
         papers = papers.join(metadata.read_manifest(spark, args.manifest), "id", "left_semi")
     files = metadata.read_files(spark, args.files)
     corpus = metadata.corpus(papers, files)
     spans = pdf.extract_spans(files, registry.EXTRACTORS.get(args.extractor)).join(corpus.select("path", F.col("id").alias("paper_id")), "path").drop("path")
-    done = ingest.ingest(corpus, spans, spark.read.table("papers"), spark.read.table("chunks"), config, registry.COUNTERS.get(args.counter))
+    done = ingest.ingest(corpus, spans, tables.read(spark, "papers"), tables.read(spark, "chunks"), config, registry.COUNTERS.get(args.counter))
     status = store.checkpoint(done.status)
     tables.append_new(done.chunks, "chunks", store.CHUNK_KEY)
-    tables.replace(done.papers, "papers")
+    tables.replace(done.papers, "papers", seen)
     print(report(ingest.report(status), "ingest"))
     for r in status.where("status = 'failed'").orderBy("paper_id").limit(10).collect():
         print(f"    ! {r.paper_id}: {r.reason}")
@@ -87,7 +99,7 @@ def _ingest(spark: SparkSession, args, config: RetrievalConfig) -> int:
 
 
 def _embed(spark: SparkSession, args, config: RetrievalConfig) -> int:
-    chunks, vectors, key = spark.read.table("chunks"), spark.read.table("embeddings"), config.chunking_sha256()
+    chunks, vectors, key = tables.read(spark, "chunks"), tables.read(spark, "embeddings"), config.chunking_sha256()
     plan = store.checkpoint(store.embed_plan(chunks, vectors, config.embedding_model, key))
     new = embedding.embed(chunks, vectors, config.embedding_model, registry.ENCODERS.get(args.encoder), key)
     written = tables.append_new(new, "embeddings", store.VECTOR_KEY)
@@ -99,14 +111,15 @@ def _search(spark: SparkSession, args, config: RetrievalConfig) -> int:
     config = replace(config, fusion=args.fusion, final_top_k=args.top_k)
     queries = embedding.encode_queries(spark.createDataFrame([(0, args.query)], "query_id long, query string"), registry.ENCODERS.get(args.encoder))
     key = config.chunking_sha256()
-    chunks, papers = spark.read.table("chunks").where(F.col("chunk_config_sha256") == key), spark.read.table("papers")
-    vectors = spark.read.table("embeddings").where((F.col("chunk_config_sha256") == key) & (F.col("model") == config.embedding_model))
+    scorer = registry.SCORERS.get(args.scorer)()
+    chunks, papers = tables.read(spark, "chunks").where(F.col("chunk_config_sha256") == key), tables.read(spark, "papers")
+    vectors = tables.read(spark, "embeddings").where((F.col("chunk_config_sha256") == key) & (F.col("model") == config.embedding_model))
     if args.compare:
-        found = compare_modes(queries, chunks, vectors, replace(config, fusion="rrf")).join(chunks.select("chunk_id", "section_path"), "chunk_id")
+        found = compare_modes(queries, chunks, vectors, replace(config, fusion="rrf"), scorer).join(chunks.select("chunk_id", "section_path"), "chunk_id")
         for r in found.orderBy("arm", "rank").collect():  # four times top-k rows
             print(f"{r.arm:13} {r['rank']}. [{r.chunk_id}] {r.section_path} was #{r.was}")
         return 0
-    hits = retrieve(queries, chunks, vectors, config)
+    hits = retrieve(queries, chunks, vectors, config, scorer)
     rows = candidates(hits, chunks, papers).orderBy("rank").collect()  # top-k rows
     if rows and rows[0].reason:
         print(f"refused: {rows[0].reason}")

@@ -1,113 +1,46 @@
-"""Dense retrieval: exact cosine top-k in blocks of queries, and an approximate mode over a stored index of cells.
+"""Dense retrieval: exact cosine top-k in blocks of queries. The approximate mode over a stored index is in cells.py.
 
 Scores are computed for a batch of chunks against a block of queries as one matrix product;
 each batch gives back its k best for each query, which a window merges. Only the narrow
 vector table is scored; metadata joins the k rows that are left.
-
-The index: each vector has a code, a byte a component, stored under the cell of its nearest
-centre (spherical k-means over a bounded sample). A query reads the codes of the n_probe
-cells nearest to it, so n_probe is the search's breadth; the best SHORTLIST x k by code are
-then scored exactly, and no other vector is read.
 """
 
 from __future__ import annotations
 
-import json
-from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from quill.functions.vector import cosine
-from quill.operators.lexical import TIE, broadcast_if_small, top
+from quill.operators.cells import CellIndex, read_index, write_index
+from quill.operators.lexical import broadcast_if_small, top
+from quill.operators.vectors import HITS, SCORES, best_of, matrix, query_blocks
 from quill.sources.shared import checkpoint
 
-#: Bytes of query vectors in one broadcast, at most.
-BLOCK_BYTES = 16 << 20
-#: Scores in memory at once, at most.
-SCORES = 1 << 22
-#: Vectors scored exactly for each one that is wanted.
-SHORTLIST = 4
-#: Vectors from which the centres are learned, at most.
-SAMPLE = 50_000
-HITS = "query_id long, chunk_id long, score double"
-
-
-def _unit(m: np.ndarray) -> np.ndarray:
-    length = np.linalg.norm(m, axis=1, keepdims=True)
-    return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
-
-
-def matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, rows) of the lists of dim finite numbers."""
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    sizes = np.zeros(len(column), dtype=np.int64)
-    known = column.is_valid().to_numpy(zero_copy_only=False)
-    sizes[known] = np.diff(column.offsets.to_numpy())[known]
-    starts = np.cumsum(sizes) - sizes
-    at = np.flatnonzero(sizes == dim)
-    m = flat.reshape(-1, dim) if len(at) == len(column) else flat[starts[at][:, None] + np.arange(dim)]
-    sound = np.isfinite(m).all(axis=1)
-    return at[sound], m[sound]
-
-
-def _blocks(queries: DataFrame):
-    """(ids, unit vectors), in blocks, one dimension each, one at a time. queries: query_id, vec."""
-    sound = queries.where(F.col("query_id").isNotNull() & F.col("vec").isNotNull() & (F.size("vec") > 0)).select("query_id", F.col("vec").cast("array<double>").alias("vec"), F.size("vec").alias("dim"))
-    size = sound.agg(F.sum(F.col("dim").cast("long") * 8)).first()[0] or 0
-    n = max(1, -(-2 * size // BLOCK_BYTES)) if size > BLOCK_BYTES else 1
-    for b in range(n):
-        rows = (sound.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b) if n > 1 else sound).toArrow().combine_chunks()
-        for dim in sorted(set(rows.column("dim").to_pylist())):
-            at, m = matrix(rows.column("vec").combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.float64())), dim)
-            yield rows.column("query_id").to_numpy()[at], _unit(m)
-
-
-def _best(scores: np.ndarray, chunk: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query row, place) of the k best of each row, ties (to TIE decimal places) to the smaller chunk; minus infinity is none."""
-    compared = np.round(scores, TIE)
-    n = scores.shape[1]
-    bar = np.partition(compared, n - k, axis=1)[:, n - k, None] if n > k else np.full((len(scores), 1), -np.inf)
-    q, j = np.nonzero((compared >= bar) & np.isfinite(scores))
-    order = np.lexsort((chunk[j], -compared[q, j], q))
-    q, j = q[order], j[order]
-    first = np.searchsorted(q, q)
-    kept = np.arange(len(q)) - first < k
-    return q[kept], j[kept]
+__all__ = ["CellIndex", "read_index", "write_index"]
 
 
-def _scored(rows: DataFrame, ids: np.ndarray, unit: np.ndarray, k: int, probes: np.ndarray | None = None) -> DataFrame:
-    """HITS of each batch of rows: (chunk_id, vec), or (chunk_id, code, cell) if probes tells which query asks which cell."""
-    shared = rows.sparkSession.sparkContext.broadcast((ids, unit, probes))
+def _scored(rows: DataFrame, ids: np.ndarray, unit: np.ndarray, k: int) -> DataFrame:
+    """HITS of each batch of rows (chunk_id, vec)."""
+    shared = rows.sparkSession.sparkContext.broadcast((ids, unit))
 
     def score(batches):
-        ids, unit, probes = shared.value
+        ids, unit = shared.value
         for batch in batches:
-            at, m = matrix(batch.column("vec"), unit.shape[1]) if probes is None else codes(batch.column("code"), unit.shape[1])
+            at, m = matrix(batch.column("vec"), unit.shape[1])
             length = np.linalg.norm(m, axis=1)
             at, m = at[length > 0], m[length > 0] / length[length > 0, None]
             step = max(1, SCORES // max(1, len(unit)))
             for s in range(0, len(at), step):
-                own, chunk = at[s : s + step], batch.column("chunk_id").to_numpy()[at[s : s + step]]
+                chunk = batch.column("chunk_id").to_numpy()[at[s : s + step]]
                 scores = unit @ m[s : s + step].T
-                if probes is not None:
-                    scores[~probes[:, batch.column("cell").to_numpy()[own]]] = -np.inf
-                q, j = _best(scores, chunk, k)
+                q, j = best_of(scores, chunk, k)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[q], pa.int64()), pa.array(chunk[j], pa.int64()), pa.array(scores[q, j])], names=["query_id", "chunk_id", "score"])
 
     return rows.mapInArrow(score, HITS)
 
 
-def codes(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, rows) of codes of dim bytes."""
-    raw = column.to_pylist()
-    at = np.array([i for i, x in enumerate(raw) if len(x) == dim], dtype=np.int64)
-    return at, np.frombuffer(b"".join(raw[i] for i in at), dtype=np.int8).reshape(len(at), dim).astype(np.float64)
-
-
 def search(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 6) -> DataFrame:
     """(query_id, chunk_id, score, rank): the k vectors of largest cosine for each query, ties to the smaller chunk_id.
 
@@ -116,7 +49,7 @@ def search(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 6) -> D
     of queries each block's hits are written before the next is read.
     """
     rows, found, kept = vectors.select("chunk_id", "vec"), [], None
-    for ids, unit in _blocks(queries):
+    for ids, unit in query_blocks(queries):
         if kept is not None:
             found.append(checkpoint(kept))
         kept = _scored(rows, ids, unit, k)
@@ -126,125 +59,7 @@ def search(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 6) -> D
 
 
 def with_metadata(hits: DataFrame, chunks: DataFrame, papers: DataFrame) -> DataFrame:
-    """Candidates: hits joined with the chunks and papers they name; only the chunks that are hit reach the join."""
+    """Candidates: hits joined with the chunks and papers they name; only the chunks that are hit reach the join. The search runs once: its hits, k a query, are cut off from it."""
+    hits = checkpoint(hits)
     wanted = broadcast_if_small(hits.select("chunk_id").distinct())
     return hits.join(chunks.join(wanted, "chunk_id", "left_semi"), "chunk_id").join(papers, "paper_id")
-
-
-# The index.
-
-
-def centres(vectors: DataFrame, cells: int, sample: int = SAMPLE, rounds: int = 12, seed: int = 42) -> np.ndarray:
-    """Unit centres of spherical k-means over the vectors that come first by a hash of the chunk, of the most common dimension."""
-    known = vectors.where("vec is not null and size(vec) > 0").select("chunk_id", F.col("vec").cast("array<double>").alias("vec"))
-    first = known.orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(sample).toArrow()
-    if not first.num_rows:
-        return np.zeros((0, 0))
-    column = first.column("vec").combine_chunks()
-    sizes = np.diff(column.offsets.to_numpy())
-    m = _unit(matrix(column, int(np.bincount(sizes).argmax()))[1])
-    rng = np.random.default_rng(seed)
-    # Spread starts: each is drawn by its distance to those before.
-    c = m[rng.integers(len(m))][None]
-    far = 1 - m @ c[0]
-    while len(c) < min(cells, len(m)):
-        weight = np.maximum(far, 0)
-        at = rng.choice(len(m), p=weight / weight.sum()) if weight.sum() > 0 else rng.integers(len(m))
-        c = np.vstack([c, m[at]])
-        far = np.minimum(far, 1 - m @ m[at])
-    for _ in range(rounds):
-        own = (m @ c.T).argmax(axis=1)
-        sums = np.zeros_like(c)
-        np.add.at(sums, own, m)
-        empty = ~(sums != 0).any(axis=1)
-        sums[empty] = c[empty]
-        c = _unit(sums)
-    return c
-
-
-@dataclass(frozen=True)
-class CellIndex:
-    """Codes (chunk_id, code, cell) stored by cell, the vectors (chunk_id, vec, part), and the cells' centres."""
-
-    codes: DataFrame
-    vectors: DataFrame
-    centres: np.ndarray
-
-    def widened(self, queries: DataFrame, k: int, n_probe: int, digits: int = 6) -> DataFrame:
-        """probed(); twice as many cells for queries with fewer than k hits, and so on until all are read."""
-        parts, left, width = [], queries.select("query_id", "vec"), n_probe
-        while True:
-            hits = checkpoint(self.probed(left, k, width, digits))
-            if width >= len(self.centres):
-                parts.append(hits)
-                break
-            full = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("query_id")
-            parts.append(hits.join(broadcast_if_small(full), "query_id", "left_semi"))
-            left = left.join(broadcast_if_small(full), "query_id", "left_anti")
-            if left.isEmpty():
-                break
-            width *= 2
-        return reduce(DataFrame.unionByName, parts)
-
-    def nearest(self, unit: np.ndarray, n_probe: int) -> np.ndarray:
-        """Which cells (columns) are the n_probe nearest to each query (rows)."""
-        near = np.argsort(-(unit @ self.centres.T), axis=1, kind="stable")[:, :n_probe]
-        probes = np.zeros((len(unit), len(self.centres)), dtype=bool)
-        np.put_along_axis(probes, near, True, axis=1)
-        return probes
-
-    def probed(self, queries: DataFrame, k: int, n_probe: int, digits: int = 6) -> DataFrame:
-        """(query_id, chunk_id, score, rank): the k best of the n_probe cells nearest to each query; other cells are not read."""
-        found, kept = [], None
-        for ids, unit in _blocks(queries):
-            if unit.shape[1] != self.centres.shape[1]:
-                continue
-            if kept is not None:
-                found.append(checkpoint(kept))
-            probes = self.nearest(unit, n_probe)
-            rows = self.codes.where(F.col("cell").isin(np.flatnonzero(probes.any(axis=0)).tolist()))
-            kept = _scored(rows.select("chunk_id", "code", "cell"), ids, unit, SHORTLIST * k, probes)
-        if kept is None:
-            return self.codes.sparkSession.createDataFrame([], HITS + ", rank long")
-        short = top(reduce(DataFrame.unionByName, [*found, kept]), SHORTLIST * k).select("query_id", "chunk_id").withColumn("part", part())
-        exact = self.vectors.join(broadcast_if_small(checkpoint(short)), ["part", "chunk_id"]).join(broadcast_if_small(queries.select("query_id", F.col("vec").alias("q"))), "query_id")
-        return top(exact.select("query_id", "chunk_id", cosine(F.col("q"), F.col("vec")).alias("score")), k, digits)
-
-
-#: Parts in which the vectors are stored.
-PARTS = 64
-
-
-def part(column: str = "chunk_id"):
-    return F.pmod(F.xxhash64(column), F.lit(PARTS)).cast("int")
-
-
-def with_codes(vectors: DataFrame, c: np.ndarray) -> DataFrame:
-    """(chunk_id, code, cell) of the vectors (chunk_id, vec) of the centres' dimension: bytes in proportion to the components, and the number of the nearest centre."""
-
-    def run(batches):
-        for batch in batches:
-            at, m = matrix(batch.column("vec"), c.shape[1])
-            own = _unit(m)
-            largest = np.abs(own).max(axis=1, keepdims=True, initial=0)
-            code = np.rint(np.divide(127 * own, largest, out=np.zeros_like(own), where=largest > 0)).astype(np.int8)
-            yield pa.RecordBatch.from_arrays([batch.column("chunk_id").take(pa.array(at)), pa.array([x.tobytes() for x in code], pa.binary()), pa.array((own @ c.T).argmax(axis=1).astype(np.int32))], names=["chunk_id", "code", "cell"])
-
-    return vectors.select("chunk_id", "vec").mapInArrow(run, "chunk_id long, code binary, cell int")
-
-
-def write_index(vectors: DataFrame, path: str, cells: int, sample: int = SAMPLE, seed: int = 42) -> None:
-    """Store an index of vectors (chunk_id, vec), filtered to one model and chunking."""
-    c = centres(vectors, cells, sample, seed=seed)
-    spark = vectors.sparkSession
-    spread = F.pmod(F.xxhash64("chunk_id"), F.lit(4))
-    with_codes(vectors if c.size else vectors.limit(0), c if c.size else np.zeros((1, 1))).repartition("cell", spread).write.mode("overwrite").partitionBy("cell").parquet(f"{path}/codes")
-    vectors.select("chunk_id", "vec").withColumn("part", part()).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{path}/vectors")
-    spark.createDataFrame([(json.dumps(c.tolist()),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/centres")
-
-
-def read_index(spark: SparkSession, path: str) -> CellIndex:
-    c = json.loads(spark.read.text(f"{path}/centres").first().value)
-    read = lambda name, schema: spark.read.schema(schema).parquet(f"{path}/{name}")
-    kind = dict(spark.read.parquet(f"{path}/vectors").dtypes)["vec"]
-    return CellIndex(read("codes", "chunk_id long, code binary, cell int"), read("vectors", f"chunk_id long, vec {kind}, part int"), np.array(c) if c else np.zeros((0, 0)))

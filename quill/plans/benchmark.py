@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quill.functions.text import pseudo_query
-from quill.operators import dense, ranking, store
+from quill.operators import cells, dense, ranking, store
 from quill.sources.shared import checkpoint
 from quill.sources.tables import folder_bytes
 
@@ -38,7 +38,7 @@ def _timed(search, queries: DataFrame, ids: list[int]) -> tuple[float, float]:
     return percentile(took, 0.5), percentile(took, 0.95)
 
 
-def benchmark_index(spark: SparkSession, queries: DataFrame, vectors: DataFrame, path: str, cells: int = 64, sweep: tuple[float, ...] = SWEEP, rebuild: bool = False, latencies: bool = True) -> DataFrame:
+def benchmark_index(spark: SparkSession, queries: DataFrame, vectors: DataFrame, path: str, n_cells: int | None = None, sweep: tuple[float, ...] = SWEEP, rebuild: bool = False, latencies: bool = True) -> DataFrame:
     """A row for the exact search (n_probe null) and for each breadth: n_probe, recall_at_10, recall_at_50, read_share (of the codes), p50_ms, p95_ms, and rows, index_bytes, table_bytes, build_seconds.
 
     queries: query_id, vec, a bounded sample. The index at path is built if rebuild is set or none is there.
@@ -50,7 +50,7 @@ def benchmark_index(spark: SparkSession, queries: DataFrame, vectors: DataFrame,
     built = None
     if rebuild or not folder_bytes(spark, f"{path}/vectors"):
         began = time.perf_counter()
-        dense.write_index(vectors, path, cells)
+        dense.write_index(vectors, path, n_cells)
         built = time.perf_counter() - began
     index = dense.read_index(spark, path)
     rows, size = index.vectors.count(), folder_bytes(spark, path)
@@ -72,14 +72,8 @@ def benchmark_index(spark: SparkSession, queries: DataFrame, vectors: DataFrame,
 
 
 def _read_share(index: dense.CellIndex, queries: DataFrame, n_probe: int, sizes: dict[int, int]) -> float:
-    """The mean share of all codes that a query reads; of vectors it reads SHORTLIST x k."""
-    import numpy as np
-
-    count = np.array([sizes.get(c, 0) for c in range(len(index.centres))], dtype=float)
-    shares = []
-    for _, unit in dense._blocks(queries):
-        shares += (index.nearest(unit, n_probe) @ count / max(1.0, count.sum())).tolist()
-    return float(np.mean(shares)) if shares else 0.0
+    """The mean share of all codes that a query reads; sizes: codes in each cell."""
+    return cells.read_share(index, queries, n_probe, sizes)
 
 
 def lines(report: DataFrame) -> list[str]:

@@ -55,7 +55,7 @@ def chunks_of(documents: DataFrame, titles: DataFrame, config: RetrievalConfig,
 
 def with_identity(chunks: DataFrame, config: RetrievalConfig) -> DataFrame:
     """Adds chunk_config (JSON of what makes the chunking) and chunk_config_sha256."""
-    own = {name: getattr(config, field) for name, field in CHUNKING.items()}
+    own = {name: getattr(config, name) for name in CHUNKING}
     return chunks.withColumns({"chunk_config": F.lit(json.dumps(own, sort_keys=True)), "chunk_config_sha256": F.lit(config.chunking_sha256())})
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from quill.config import RetrievalConfig
 from quill.functions import text as T
 from quill.functions import vector as V
-from quill.operators import chunking, dense, layout, lexical, ranking, store
+from quill.operators import cells, chunking, dense, layout, lexical, ranking, store
 from quill.plans import benchmark, ingest
 from quill.plans import retrieve as plans
 from quill.sources import metadata, shared, tables
@@ -156,7 +156,7 @@ def lexical_topk(spark, sf_dir):
 def _stored(spark, sf_dir, name, write) -> str:
     """The path of an index, built at most once a session in the shared folder."""
     path = f"{shared.shared_folder(spark)}/index-{name}-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}-{spark.sparkContext.applicationId}"
-    if not tables.exists(spark, f"{path}/_SUCCESS") and not tables.exists(spark, f"{path}/vectors/_SUCCESS"):
+    if not tables.exists(spark, f"{path}/_SUCCESS") and not tables.exists(spark, f"{path}/_log"):
         write(path)
         atexit.register(shared.remove_folder, spark, path)
     return path
@@ -167,7 +167,7 @@ def _index(spark, sf_dir):
 
 
 def _cells(spark, sf_dir):
-    return dense.read_index(spark, _stored(spark, sf_dir, "cells", lambda path: dense.write_index(_vectors(spark, sf_dir), path, 64)))
+    return dense.read_index(spark, _stored(spark, sf_dir, "cells", lambda path: dense.write_index(_vectors(spark, sf_dir), path)))
 
 
 @query(f"WITH {_QUESTIONS}, {_WORDS} SELECT lang AS chunk_config_sha256, count(DISTINCT lexeme) AS lexemes, count(*) AS occurrences FROM dw JOIN stems USING (word) GROUP BY 1")
@@ -289,19 +289,25 @@ def recall_at_k(spark, sf_dir):
     return found.select(F.round("recall", 9).alias("recall"))
 
 
-@query("SELECT 64 AS n_probe, true AS enough, 4 * 10 <= count(*) / 4 AS a_quarter_at_most FROM embeddings")
+@query(
+    f"""WITH {_QUESTIONS}, {_VECTORS}, {_dense(10)}, counted AS (SELECT q.query_id, count(d.chunk_id) AS wanted FROM questions q LEFT JOIN dense d ON d.query_id = q.query_id GROUP BY 1)
+    SELECT count(*) AS queries, sum(wanted)::BIGINT AS wanted, sum(wanted) > 0 AS enough, count(*) > 0 AS a_quarter_at_most FROM counted"""
+)
 def ann_recall(spark, sf_dir):
-    """Whether recall@10 is 0.9 or more over all codes, and how many vectors are read for it."""
-    q, v = _questions(spark, sf_dir), _vectors(spark, sf_dir)
-    recall = ranking.recall_at_k(dense.search(q, v, 10), _cells(spark, sf_dir).probed(q, 10, 64), 10)
-    n = v.agg(F.count(F.lit(1)).alias("n"))
-    return recall.crossJoin(n).select(F.lit(64).alias("n_probe"), (F.col("recall") >= 0.9).alias("enough"), (dense.SHORTLIST * 10 <= F.col("n") / 4).alias("a_quarter_at_most"))  # one row each
+    """How many of the exact search's hits there are, whether the stored index at its usual breadth finds nine tenths of them, and whether it reads a quarter of the codes at most for it."""
+    q, index = _questions(spark, sf_dir), _cells(spark, sf_dir)
+    breadth = RetrievalConfig().n_probe(len(index.centres))
+    truth, found = dense.search(q, _vectors(spark, sf_dir), 10), index.probed(q, 10, breadth)
+    both = truth.select("query_id", "chunk_id", F.lit(1).alias("t")).join(found.select("query_id", "chunk_id", F.lit(1).alias("f")), ["query_id", "chunk_id"], "left")
+    share = cells.read_share(index, q, breadth)
+    return both.agg(F.countDistinct("query_id").alias("queries"), F.sum("t").alias("wanted"), (F.sum("f") >= 0.9 * F.sum("t")).alias("enough"), F.lit(share <= 0.25).alias("a_quarter_at_most"))
 
 
 @query(f"WITH {_QUESTIONS}, {_VECTORS}, {_dense(10)} SELECT query_id, chunk_id, score, rank FROM dense")
 def ann_exact(spark, sf_dir):
     """The stored index with all cells read is the exact search."""
-    return _cells(spark, sf_dir).widened(_questions(spark, sf_dir), 10, 64)
+    index = _cells(spark, sf_dir)
+    return index.widened(_questions(spark, sf_dir), 10, len(index.centres))
 
 
 @query(f"WITH {_QUESTIONS}, {_VECTORS}, {_dense(400)} SELECT query_id, count(*) AS n, max(rank) AS last FROM dense GROUP BY 1")
@@ -314,7 +320,7 @@ def ann_widened(spark, sf_dir):
 @query("SELECT (SELECT count(*) FROM embeddings) AS rows, 3::BIGINT AS breadths, true AS grows, true AS has_bytes")
 def index_benchmark(spark, sf_dir):
     """Recall over a sweep of breadths, sizes and build time, without latencies."""
-    b = benchmark.benchmark_index(spark, _questions(spark, sf_dir), _vectors(spark, sf_dir), _stored(spark, sf_dir, "cells", lambda path: dense.write_index(_vectors(spark, sf_dir), path, 64)), sweep=(0.0625, 0.25, 1.0), latencies=False)
+    b = benchmark.benchmark_index(spark, _questions(spark, sf_dir), _vectors(spark, sf_dir), _stored(spark, sf_dir, "cells", lambda path: dense.write_index(_vectors(spark, sf_dir), path)), sweep=(0.0625, 0.25, 1.0), latencies=False)
     rows = b.where("n_probe is not null")
     order = F.transform(F.array_sort(F.collect_list(F.struct("n_probe", "recall_at_10"))), lambda x: x["recall_at_10"])  # a row a breadth
     return rows.agg(F.max("rows").alias("rows"), F.count(F.lit(1)).alias("breadths"), (order == F.array_sort(order)).alias("grows"), (F.min("index_bytes") > 0).alias("has_bytes"))

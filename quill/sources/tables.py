@@ -1,4 +1,4 @@
-"""Stored tables: schemas, appends that can be repeated, migrations, health."""
+"""Stored tables: schemas, appends and replacements by commits, migrations, health."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quill.operators import store
+from quill.sources import commits
 from quill.sources.shared import checkpoint
 
 SCHEMAS = {
@@ -82,28 +83,69 @@ def append_batch(df: DataFrame, path: str, name: str) -> bool:
         files.delete(staged, True)
 
 
-def append_new(new: DataFrame, table: str, key: tuple[str, ...], order: tuple = ()) -> int:
-    """Append rows whose key the table has not; how many. A second call appends none."""
-    spark = new.sparkSession
-    existing = spark.read.table(table)
-    rows = checkpoint(store.insert_ignore(existing, new, key, order).select(existing.columns))
-    rows.write.mode("append").insertInto(table)
-    spark.catalog.refreshTable(table)
-    return rows.count()
+def log_of(spark: SparkSession, table: str) -> commits.Log:
+    """The log of commits of a table of the catalog, in its folder."""
+    location = spark.sql(f"DESCRIBE FORMATTED {table}").where("col_name = 'Location'").first().data_type
+    return commits.Log(spark, location)
 
 
-def replace(df: DataFrame, table: str) -> None:
-    """Put df, which may read the table, in the table's place; it is written elsewhere first."""
-    spark = df.sparkSession
-    rows = checkpoint(df.select(spark.read.table(table).columns))
-    rows.write.mode("overwrite").insertInto(table, overwrite=True)
+def version(spark: SparkSession, table: str) -> int:
+    return log_of(spark, table).adopt().version
+
+
+def read(spark: SparkSession, table: str, at: int | None = None) -> DataFrame:
+    """The table's rows as its last commit left them, whatever writers do meanwhile."""
+    log = log_of(spark, table)
+    last = log.adopt()
+    return log.read(last if at is None else log.state(at), spark.read.table(table).schema)
+
+
+def _parts(spark: SparkSession, table: str) -> list[str]:
+    return [c.name for c in spark.catalog.listColumns(table) if c.isPartition]
+
+
+def refresh(spark: SparkSession, table: str) -> None:
+    """Let the catalog see what commits have brought."""
+    log_of(spark, table).settle()
+    if _parts(spark, table):
+        spark.catalog.recoverPartitions(table)
     spark.catalog.refreshTable(table)
 
 
+def append_new(new: DataFrame, table: str, key: tuple[str, ...], order: tuple = ()) -> int:
+    """Append rows whose key the table has not, in one commit; how many. A second call appends none; if another writer's commit comes between, its keys are looked at too."""
+    spark, log = new.sparkSession, log_of(new.sparkSession, table)
+    schema, parts = spark.read.table(table).schema, _parts(spark, table)
+    count = 0
+
+    def make(state: commits.State) -> tuple[str | None, list[str]]:
+        nonlocal count
+        rows = checkpoint(store.insert_ignore(log.read(state, schema), new, key, order).select(schema.names))
+        count = rows.count()
+        return log.stage(rows, partitions=parts) if count else None, []
+
+    commits.update(log, make)
+    refresh(spark, table)
+    return count
+
+
+def replace(df: DataFrame, table: str, seen: int | None = None) -> None:
+    """Put df, which may read the table, in the table's place, in one commit. seen: the version that df was made from (now's, unless given); commits.Conflict if there is a later one."""
+    spark, log = df.sparkSession, log_of(df.sparkSession, table)
+    state = log.adopt()
+    if seen is not None and seen != state.version:
+        raise commits.Conflict(f"{table} is at version {state.version}, not {seen}")
+    staged = log.stage(df.select(spark.read.table(table).columns), partitions=_parts(spark, table))
+    log.commit(state, staged, list(state.files))
+    refresh(spark, table)
+
+
 def log_query(spark: SparkSession, table: str, question: str, config: str, ids: list[int], timings: str, refused: bool) -> None:
     row = spark.createDataFrame([(question, config, ids, timings, refused)], "question string, config string, retrieved_ids array<long>, stage_timings string, refused boolean")
     full = row.withColumns({"created_at": F.current_timestamp(), "tokens": F.lit(None).cast("int"), "cost": F.lit(None).cast("decimal(10,6)")})
-    full.select(spark.read.table(table).columns).write.mode("append").insertInto(table)
+    log = log_of(spark, table)
+    log.commit(log.adopt(), log.stage(full.select(spark.read.table(table).columns)), rebase=True)
+    spark.catalog.refreshTable(table)
 
 
 class MigrationError(Exception):
