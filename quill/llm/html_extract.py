@@ -76,43 +76,54 @@ LAYOUT = re.compile(r"(?:no|with|has|without|is|show|hide)[_-]", re.I)
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "option": {"option"}}
 SCOPE = {"ul", "ol", "dl", "table", "div", "section", "article", "main", "nav", "body", "td", "th"}
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"<]*"|'[^'<]*'|["'])*+)>""", re.S)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?>[^>"']+|"[^"<]*"|'[^'<]*'|["'])*+)>""", re.S)
+#: The same for what follows a tag that never ends: a tag has to end before the next begins.
+_SHORT = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?>[^<>"']+|"[^"<]*"|'[^'<]*'|["'])*+)>""", re.S)
+_BEGINS = re.compile(r"</?[a-zA-Z]")
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 
-#: What an element says of itself: no main text for sure (by tag, role, being hidden), by a STRONG word, by one of MENUS, by a vote; a slot is a vote inside an article.
-SURE, READER, MENU, VOTE, SLOT = 5, 4, 3, 2, 1
+#: Elements that may stand around a whole page, and what is left of a page's beginning where a menu's end tag is missing.
+WRAPPERS, LISTS = {"form", "fieldset"}, {"#", "ul", "ol", "menu", "dl"}
+#: Words of STRONG that an article's own parts may bear.
+ANSWERS = re.compile(r"(?:[a-z]+[_-])?(?:repl(?:y|ies)|respond)(?:[_-].*)?", re.I)
+
+#: What an element says of itself: no main text for sure (head, inline, hidden), by tag or role, by a STRONG word, by one of MENUS, by a vote; a slot is a vote inside an article.
+SURE, KIND, READER, MENU, VOTE, SLOT = 6, 5, 4, 3, 2, 1
 
 
 class Node:
     """A block, or a text (tag #). shape: a hash of the tags below, n: how many nodes they are; first, last: its texts among the page's."""
 
-    __slots__ = ("tag", "kids", "text", "mark", "slot", "shape", "n", "first", "last")
+    __slots__ = ("tag", "kids", "text", "mark", "slot", "shape", "n", "first", "last", "wraps")
 
     def __init__(self, tag: str, text: str = ""):
         self.tag, self.kids, self.text, self.mark, self.slot, self.shape, self.n, self.first, self.last = tag, [], text, 0, 0, 0, 1, 0, 0
+        self.wraps = tag in WRAPPERS  # may stand around what it doesn't name; so may whatever has no end tag
 
 
 def _says(tag: str, attributes: str, inside: bool) -> tuple[int, int]:
     """The mark of an element, and the code of its slot (negative) if it is a vote inside an article. A header inside an article is the article's."""
-    if tag in DROPPED or tag in DROPPED_INLINE or tag == "header" and not inside:
+    if tag == "head" or tag in DROPPED_INLINE:
         return SURE, 0
-    mark = slot = 0
+    mark, slot = KIND if tag in DROPPED or tag == "header" and not inside else 0, 0
     if attributes and tag not in ("html", "body"):
         for m in _ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-            if name == "role" and value.strip().lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
+            if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
                 return SURE, 0
+            if name == "role" and value.strip().lower() in ROLES:
+                mark = KIND
             if name not in ("class", "id") or tag in HEADINGS:
                 continue
             for word in value.lower().split():
                 if LAYOUT.match(word):
                     continue
-                if STRONG.fullmatch(word) or tag == "article" and NO_ARTICLE.fullmatch(word):
+                if STRONG.fullmatch(word) and not (inside and ANSWERS.fullmatch(word)) or tag == "article" and NO_ARTICLE.fullmatch(word):
                     mark = max(mark, READER)
                 elif tag in ("article", "main"):
                     continue
                 elif inside:
-                    if VOTES.fullmatch(word) and not mark:
+                    if VOTES.search(word) and (VOTES.fullmatch(word) or STRONG.fullmatch(word)) and not mark:
                         mark, slot = SLOT, -2 - (zlib.crc32(f"{tag} {word}".encode()) & 0x3FFFFFFF)
                 elif word in MENUS:
                     mark = max(mark, MENU)
@@ -136,21 +147,32 @@ def parse(page: str) -> Node:
             if text:
                 stack[-1].kids.append(Node("#", text))
 
-    def pop(to: int) -> None:
+    def pop(to: int, ended: bool = False) -> None:
         nonlocal inside
         flush()
         while len(stack) > to:
             gone = stack.pop()
+            gone.wraps |= not (ended and len(stack) == to)
             open_[gone.tag] -= 1
             inside -= gone.tag in ("article", "main")
 
+    token, last = _TOKEN, page.rfind(">")
     while at < n:
-        m = _TOKEN.search(page, at)
-        text = page[at : m.start()] if m else page[at:]
+        start = page.find("<", at)
+        if start > last and page.find("<!", start) < 0 and page.find("<?", start) < 0:
+            start = -1  # no tag can end any more
+        m = token.match(page, start) if start >= 0 else None
+        if start >= 0 and m is None and token is _TOKEN and _BEGINS.match(page, start):
+            token = _SHORT  # a tag that reaches the page's end: none is looked for so far again
+            m = token.match(page, start)
+        text = page[at:start] if m else page[at : start + 1] if start >= 0 else page[at:]
         if text and not inline_drop:
             parts.append(text)
         if not m:
-            break
+            if start < 0:
+                break
+            at = start + 1
+            continue
         at = m.end()
         if m[2] is None:
             continue
@@ -167,7 +189,7 @@ def parse(page: str) -> Node:
                     k = len(stack) - 1
                     while stack[k].tag != tag:
                         k -= 1
-                    pop(k)
+                    pop(k, ended=True)
                 else:
                     flush()
                 continue
@@ -182,6 +204,7 @@ def parse(page: str) -> Node:
                         break
             node = Node(tag)
             node.mark, node.slot = _says(tag, attributes, inside > 0)
+            node.wraps |= node.mark == KIND and tag not in DROPPED and "form" in attributes.lower()
             stack[-1].kids.append(node)
             if tag not in VOID:
                 stack.append(node)
@@ -212,6 +235,18 @@ class Page:
     slots: list[tuple[int, ...]]
 
 
+def _sizes(nodes: list[Node], parents: list[int], most: int = READER - 1) -> tuple[list[int], list[int]]:
+    """Characters below each node, and those in articles and mains, but for elements that are marked by more than most; with READER, for those that are READER or SURE."""
+    total, within = [0] * len(nodes), [0] * len(nodes)
+    for i in range(len(nodes) - 1, -1, -1):
+        node = nodes[i]
+        total[i] += len(node.text)
+        if i and (node.mark <= most or most == READER and node.mark == KIND) and not (most == READER and node.mark == READER):
+            total[parents[i]] += total[i]
+            within[parents[i]] += total[i] if node.tag in ("article", "main") and node.mark in (0, KIND) else within[i]
+    return total, within
+
+
 def read(html: str) -> Page:
     """Parse a page and judge its texts by what elements say of themselves."""
     root = parse(html)
@@ -226,16 +261,26 @@ def read(html: str) -> Page:
         if node.tag == "#":
             texts.append(node)
         todo.extend((k, at) for k in reversed(node.kids))
-    total, within = [0] * len(nodes), [0] * len(nodes)  # characters below, and those in articles and mains, as far as nothing sure is said of them
     for i in range(len(nodes) - 1, -1, -1):
         node = nodes[i]
         node.last = node.first + 1 if node.tag == "#" else max((k.last for k in node.kids), default=node.first)
         node.shape = xxhash.xxh64_intdigest(np.array([k.shape for k in node.kids], dtype=np.uint64).tobytes() + node.tag.encode())
         node.n = 1 + sum(k.n for k in node.kids)
-        total[i] += len(node.text)
-        if i and node.mark < READER:
-            total[parents[i]] += total[i]
-            within[parents[i]] += total[i] if node.tag in ("article", "main") and not node.mark else within[i]
+    total, within = _sizes(nodes, parents)
+    # What goes by tag or role stays if it holds the articles, and little stands outside unless it may wrap a page; or if it may, and holds most of the text.
+    if any(node.mark == KIND for node in nodes):
+        inner, articles = _sizes(nodes, parents, READER)[1], 0
+        for node, size, parent in zip(nodes, inner, parents, strict=True):
+            articles += size if parent == 0 else 0
+        outside = total[0]
+        for i, node in enumerate(nodes):
+            if node.mark == KIND and (2 * inner[i] >= articles > 0 and (node.wraps or inner[i] > 8 * outside) or node.wraps and total[i] > outside):
+                node.mark = 0
+                for kid in node.kids if node.tag not in WRAPPERS else ():
+                    if kid.tag not in LISTS:
+                        break
+                    kid.mark = SURE
+        total, within = _sizes(nodes, parents)
     # A page that is made of nothing but READER elements is judged as if those were votes.
     bare = not total[0]
     gone, slots = [False] * len(nodes), [()] * len(nodes)
@@ -246,7 +291,7 @@ def read(html: str) -> Page:
             gone[i], slots[i] = gone[parent], slots[parent]
         holds = 2 * within[i] >= within[0] > 0
         most = 2 * total[i] > total[0]
-        if node.mark == SURE or node.mark == READER and not bare or node.mark == MENU and not holds or node.mark == VOTE and not (holds or most):
+        if node.mark >= KIND or node.mark == READER and not bare or node.mark == MENU and not holds or node.mark == VOTE and not (holds or most):
             gone[i] = True
         elif node.mark == SLOT:
             slots[i] = (*slots[i], node.slot)
@@ -263,7 +308,8 @@ def read(html: str) -> Page:
             if size:
                 area[node.tag].append(node)
                 left[node.tag] += size
-    if left["article"] and 2 * left["article"] >= (left["main"] or left["#"]):
+    in_main = sum(len(texts[k].text) for a in area["article"] for k in range(a.first, a.last) if live[k] and any(m.first <= a.first and a.last <= m.last for m in area["main"]))
+    if left["article"] and 2 * left["article"] >= (left["main"] or left["#"]) and 2 * in_main < left["article"]:
         where = area["article"]
     else:
         where = area["main"] if left["main"] else [root]
@@ -420,9 +466,14 @@ def extract(pages: DataFrame, share: float = SHARE, min_pages: int = MIN_PAGES,
     """
     kind = dict(pages.dtypes)[id_col]
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).alias("html"), _host(url_col).alias("host")).withColumn("hx", F.xxhash64("html"))
-    whole = rows.where((F.col("host") != "") & (F.col("html") != "")).withColumn("large", F.octet_length("html") > PIVOT_BYTES)
-    # A host's pivots: the first pages by two hashes, of the small ones if there are any.
-    pivots = whole.groupBy("host").agg(F.min_by("html", F.struct("large", "hx")).alias("p0"), F.min_by("html", F.struct("large", F.bitwise_not("hx"))).alias("p1"))
+    whole = rows.where((F.col("host") != "") & (F.col("html") != ""))
+    # A host's pivots: the first pages by two hashes, of the small ones if there are any. Only hashes travel until hosts
+    # that are too small for a template are left out.
+    sizes = whole.select("host", "hx", (F.octet_length("html") > PIVOT_BYTES).alias("large")).distinct()
+    chosen = sizes.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.min_by("hx", F.struct("large", "hx")).alias("h0"), F.min_by("hx", F.struct("large", F.bitwise_not("hx"))).alias("h1")).where(F.col("n") >= min_pages)
+    wanted = chosen.select("host", F.explode(F.array_distinct(F.array("h0", "h1"))).alias("hx"))
+    pages_of = whole.select("host", "hx", "html").join(side(wanted), ["host", "hx"]).groupBy("host", "hx").agg(F.min("html").alias("html"))
+    pivots = chosen.join(pages_of, "host").groupBy("host").agg(F.min(F.when(F.col("hx") == F.col("h0"), F.col("html"))).alias("p0"), F.min(F.when(F.col("hx") == F.col("h1"), F.col("html"))).alias("p1"))
     known: dict = {}
     matcher = Matcher()
 

@@ -1,6 +1,7 @@
 """HTML extraction: simple tree matching against a plain recursion, templates, class words, and pages of any size."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -142,3 +143,32 @@ def test_long_lists_and_repeats_are_aligned():
     a, b = page(items), page(["new", *[items[i] for i in kept], "more"])
     found = html_extract.unchanged(Matcher(), a, b)
     assert len(found) >= 2 * 2600 and all(a.texts[i] == b.texts[j] for i, j in found)
+
+
+def test_wrappers_and_unclosed_menus_keep_what_they_hold():
+    assert bare('<body><form id="aspnetForm"><div><nav><a>Menu</a></nav><p>The whole page</p></div><footer>Foot</footer></form></body>') == "The whole page"
+    assert bare("<form><article><p>Main</article></form><div>More</div>") == bare("<div role='form'><article><p>Main</article></div>") == "Main"
+    assert bare("<body><nav><ul><li><a>Home</a></ul><article><p>Main</article><footer>Foot</footer>") == "Main"
+    assert bare("<body><nav><ul><li><a>Home</a></ul><div><p>A text</div><footer>Foot</footer></body>") == "A text"
+    assert bare("<body><nav><ul><li>A long menu of many words</ul></nav><p>Short</p><form><input> Find</form></body>") == "Short"
+    assert bare("<div><p>The text of the page</div><aside><article>A teaser that is longer than the text</article></aside>") == "The text of the page"
+    assert bare("<body><div hidden><article>Hidden</article></div><p>Seen</p></body>") == "Seen"
+
+
+def test_main_around_articles_and_parts_named_by_answers():
+    assert bare("<main><p>Intro</p><article><p>The body of it</article><p>Last</p></main><div>Other</div>") == "Intro\n\nThe body of it\n\nLast"
+    assert bare("<article><p>Text<section id='reply'><p>On replies</section><div class='comments'>Said</div></article>") == "Text\n\nOn replies"
+
+
+@pytest.mark.parametrize("html", ["<a " * 10**6, '<a ">" ' * 300_000, "<a<a" * 300_000, "<!--" * 300_000, "<a '" * 300_000 + ">", "< " * 500_000 + "<p>", '<a "' * 300_000 + "<?x"])
+def test_markup_that_never_ends_is_read_in_linear_time(html):
+    began = time.process_time()
+    bare(html)
+    assert time.process_time() - began < 4  # some tenths of a second; hours if it were quadratic
+
+
+def test_small_hosts_have_no_pivots(spark):
+    page = lambda i, words: f"<body><p>Same words</p><p>{words} {i}</p></body>"
+    pages = [(i, f"http://two.example/{i % 2}", page(i % 2, "a")) for i in range(6)] + [(10 + i, f"http://three.example/{i}", page(i, "b")) for i in range(3)]
+    got = {r.page_id: (r.text, r.n_template) for r in html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[0] == ("Same words\n\na 0", 0) and got[11] == ("b 1", 1)
