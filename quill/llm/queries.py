@@ -41,7 +41,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines_removed")
+    return line_dedup.line_dedup(_table(spark, sf_dir, "documents"), with_runs=True).select("doc_id", "text", "n_lines_removed")
 
 
 def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +127,7 @@ ORACLES: dict[str, str] = {
         SELECT a.doc_id, t, version_id, age, CASE WHEN version_id IS NULL THEN 'none' WHEN age > 20 THEN 'stale' ELSE 'fresh' END AS status,
                CASE WHEN age <= 20 THEN n_chars END AS n_chars, CASE WHEN age <= 20 THEN lang END AS lang
         FROM a LEFT JOIN w ON a.r = w.r AND place = 1""",
-    # A chunk begins after a line that ends one, and on either side of a long line.
+    # A chunk begins after a line that ends one, and on either side of a long line; beside chunks, the least runs of lines of 25 words from each line on and back from each.
     "op6_line_dedup": r"""
         WITH l AS (SELECT doc_id, text, i, ls[i] AS line, len(regexp_extract_all(ls[i], '[^ \t\n\r\f\v]+')) AS n
                    FROM (SELECT doc_id, text, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents WHERE text <> ''))),
@@ -135,10 +135,16 @@ ORACLES: dict[str, str] = {
         e AS (SELECT *, long OR (own + 31 * coalesce(lag(own) OVER w, 0)) % 2 = 0 AS ends FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
         s AS (SELECT *, (long OR coalesce(lag(ends) OVER w, true))::INT AS starts FROM e WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
         c AS (SELECT *, sum(starts) OVER (PARTITION BY doc_id ORDER BY i) AS chunk FROM s),
-        k AS (SELECT doc_id, chunk, count(*) AS lines, sum(n) AS words, string_agg(line, chr(10) ORDER BY i) AS body FROM c GROUP BY doc_id, chunk),
-        g AS (SELECT doc_id, chunk, row_number() OVER (PARTITION BY body ORDER BY doc_id, chunk) > 1 AS gone FROM k WHERE words >= 25 OR lines > 1 AND words >= 8),
-        r AS (SELECT c.doc_id, count(*) FILTER (WHERE gone) AS removed, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE gone IS NOT TRUE) AS body
-              FROM c LEFT JOIN g ON c.doc_id = g.doc_id AND c.chunk = g.chunk GROUP BY c.doc_id)
+        w AS (SELECT doc_id, i, n, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS cw FROM l),
+        up AS (SELECT doc_id, cw, min(i) AS i FROM w GROUP BY doc_id, cw),
+        down AS (SELECT doc_id, cw - n AS p, max(i) AS s FROM w GROUP BY doc_id, cw - n),
+        spans AS (SELECT doc_id, min(i) AS a, count(*) AS m FROM c GROUP BY doc_id, chunk HAVING sum(n) >= 25 OR count(*) > 1 AND sum(n) >= 8
+                  UNION SELECT f.doc_id, f.i, up.i - f.i + 1 FROM w f ASOF JOIN up ON f.doc_id = up.doc_id AND f.cw - f.n + 25 <= up.cw WHERE f.n > 0
+                  UNION SELECT f.doc_id, down.s, f.i - down.s + 1 FROM w f ASOF JOIN down ON f.doc_id = down.doc_id AND f.cw - 25 >= down.p WHERE f.n > 0),
+        b AS (SELECT spans.doc_id, a, m, sha256(array_to_string(list_slice(string_split(text, chr(10)), a::INT, (a + m - 1)::INT), chr(10))) AS body FROM spans JOIN documents d ON d.doc_id = spans.doc_id),
+        f AS (SELECT *, row_number() OVER p AS place, first_value(doc_id) OVER p AS first_doc, first_value(a) OVER p AS first_a FROM b WINDOW p AS (PARTITION BY body ORDER BY doc_id, a)),
+        gone AS (SELECT DISTINCT doc_id, unnest(CASE WHEN doc_id = first_doc AND a < first_a + m THEN range(first_a + m, a + m) ELSE range(a, a + m) END) AS i FROM f WHERE place > 1),
+        r AS (SELECT l.doc_id, count(gone.i) AS removed, string_agg(line, chr(10) ORDER BY l.i) FILTER (WHERE gone.i IS NULL) AS body FROM l LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.i = l.i GROUP BY l.doc_id)
         SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(r.body, '') END AS text, coalesce(r.removed, 0)::BIGINT AS n_lines_removed
         FROM documents d LEFT JOIN r ON d.doc_id = r.doc_id""",
 }
