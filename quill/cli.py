@@ -15,6 +15,7 @@ from quill.operators import embedding, store
 from quill.plans import benchmark, ingest
 from quill.plans.retrieve import candidates, compare_modes, retrieve
 from quill.sources import commits, metadata, pdf, tables
+from quill.sources.vector_cache import VectorCache
 
 
 def report(df: DataFrame, title: str) -> str:
@@ -49,6 +50,7 @@ def _parser() -> argparse.ArgumentParser:
     i.add_argument("--counter", default="whitespace")
     e = sub.add_parser("embed")
     e.add_argument("--encoder", default="digest")
+    e.add_argument("--cache", help="a bucketed table of vectors by digest, made if it isn't there")
     s = sub.add_parser("search")
     s.add_argument("query")
     s.add_argument("--fusion", default="rrf", choices=FUSIONS)
@@ -101,7 +103,7 @@ def _ingest_once(spark: SparkSession, args, config: RetrievalConfig) -> int:
 def _embed(spark: SparkSession, args, config: RetrievalConfig) -> int:
     chunks, vectors, key = tables.read(spark, "chunks"), tables.read(spark, "embeddings"), config.chunking_sha256()
     plan = store.checkpoint(store.embed_plan(chunks, vectors, config.embedding_model, key))
-    new = embedding.embed(chunks, vectors, config.embedding_model, registry.ENCODERS.get(args.encoder), key)
+    new = embedding.embed(chunks, vectors, config.embedding_model, registry.ENCODERS.get(args.encoder), key, VectorCache(spark, args.cache) if args.cache else None)
     written = tables.append_new(new, "embeddings", store.VECTOR_KEY)
     print(report(store.embed_report(plan).withColumns({"chunks_total": F.lit(plan.count()), "written": F.lit(written)}), "embed"))
     return 0

@@ -25,6 +25,7 @@ from quill.functions.vector import cosine
 from quill.operators.lexical import broadcast_if_small, top
 from quill.operators.vectors import HITS, SCORES, matrix, query_blocks, unit_rows
 from quill.sources import commits
+from quill.sources.segments import SEGMENTS, Segmented
 from quill.sources.shared import checkpoint
 
 #: Vectors scored exactly for each one that is wanted.
@@ -33,9 +34,9 @@ SHORTLIST = 6
 SAMPLE, MAX_CELLS = 50_000, 4096
 #: Cells in which a vector lies, components that share a byte of a code, and entries of a codebook.
 SPILL, PART_DIMS, ENTRIES = 2, 2, 256
-#: Folders over which cells are dealt, and segments beyond which merge() is due.
-SHELVES, SEGMENTS = 16, 8
-CODES, VECTORS, DEAD = "chunk_id long, cell int, home int, code binary, shelf int", "chunk_id long, home int, vec array<double>, shelf int", "chunk_id long"
+#: Folders over which cells are dealt.
+SHELVES = 16
+CODES, VECTORS = "chunk_id long, cell int, home int, code binary, shelf int", "chunk_id long, home int, vec array<double>, shelf int"
 
 
 def cells_for(rows: int) -> int:
@@ -117,47 +118,23 @@ def _closest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 @dataclass(frozen=True)
-class CellIndex:
-    """A version of a stored index: its log, the version's state, centres and codebooks."""
+class CellIndex(Segmented):
+    """A version of a stored index, with its centres and codebooks."""
 
-    log: commits.Log
-    state: commits.State
     centres: np.ndarray
     books: np.ndarray
 
-    @property
-    def spark(self) -> SparkSession:
-        return self.log.spark
-
     @property
     def segments(self) -> list[int]:
-        return sorted(set(self.state.below("codes").values()))
-
-    def _rows(self, folder: str, schema: str) -> DataFrame:
-        """All rows of a folder with the version since which they count."""
-        files = self.state.below(folder)
-        parts = [self.log.read(commits.State(files={f: v for f, v in files.items() if v == since}), schema, folder).withColumn("since", F.lit(since)) for since in sorted(set(files.values()))]
-        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], f"{schema}, since int")
-
-    @cached_property
-    def _dead(self) -> DataFrame | None:
-        if not self.state.below("dead"):
-            return None
-        return broadcast_if_small(checkpoint(self._rows("dead", DEAD).groupBy("chunk_id").agg(F.max("since").alias("died"))))
-
-    def _live(self, rows: DataFrame) -> DataFrame:
-        """Rows that no later list of dead ids names."""
-        if self._dead is not None:
-            rows = rows.join(self._dead, "chunk_id", "left").where(F.col("died").isNull() | (F.col("died") <= F.col("since"))).drop("died")
-        return rows.drop("since")
+        return self.segments_of("codes")
 
     @cached_property
     def codes(self) -> DataFrame:
-        return self._live(self._rows("codes", CODES))
+        return self.live(self.rows_since("codes", CODES))
 
     @cached_property
     def vectors(self) -> DataFrame:
-        return self._live(self._rows("vectors", VECTORS))
+        return self.live(self.rows_since("vectors", VECTORS))
 
     # Search.
 
@@ -179,7 +156,7 @@ class CellIndex:
             kept = self._shortlisted(ids, unit, n_probe, SHORTLIST * k)
         if kept is None:
             return self.spark.createDataFrame([], HITS + ", rank long")
-        short = reduce(DataFrame.unionByName, [*found, kept]).groupBy("query_id", "chunk_id", "home").agg(F.max("score").alias("score"))
+        short = checkpoint(reduce(DataFrame.unionByName, [*found, kept]).groupBy("query_id", "chunk_id", "home").agg(F.max("score").alias("score")))
         short = checkpoint(top(short, SHORTLIST * k).join(short.select("query_id", "chunk_id", "home"), ["query_id", "chunk_id"]).select("query_id", "chunk_id", "home"))
         homes = [r[0] for r in short.select("home").distinct().collect()]  # cells
         exact = _of_cells(self.vectors, "home", homes).select("chunk_id", "vec").join(broadcast_if_small(short.select("query_id", "chunk_id")), "chunk_id").join(broadcast_if_small(queries.select("query_id", F.col("vec").alias("q"))), "query_id")
@@ -239,36 +216,20 @@ class CellIndex:
         """Put vectors (chunk_id, vec) in; those of the same ids before them die. Null vectors, zero vectors and such of another dimension only die."""
         rows = checkpoint(vectors.select("chunk_id", F.col("vec").cast("array<double>").alias("vec")))
         staged = _stage(self.log, rows, self.centres, self.books)
-        staged = self.log.stage(rows.select("chunk_id").distinct().coalesce(1), "dead", staged=staged)
-        return self._at(self.log.commit(self.state, staged, rebase=True))
+        return self._at(self.log.commit(self.state, self.stage_dead(rows, staged), rebase=True))
 
     def delete(self, ids: DataFrame) -> CellIndex:
         """Take chunk_ids out."""
-        return self._at(self.log.commit(self.state, self.log.stage(ids.select(F.col("chunk_id").cast("long").alias("chunk_id")).distinct().coalesce(1), "dead"), rebase=True))
+        return self._at(self.log.commit(self.state, self.stage_dead(ids), rebase=True))
 
     def merge(self, all_segments: bool = False) -> CellIndex:
-        """Write the live rows of segments anew as one: of all, or of the newest ones that together are no larger than the next older.
-
-        Lists of dead ids go once no older segment is left. Commits that come meanwhile stay in force, since the
-        new segment counts from the version that it was read at.
-        """
-        if set(self.state.below("codes")) - set(self.log.state().files):
-            raise commits.Conflict("its segments are merged already")
-        size = {v: 0 for v in self.segments}
-        for name, since in self.state.below("codes").items():
-            size[since] += self.log.bytes_of(name)
-        chosen: list[int] = []
-        for since in reversed(self.segments):
-            if not all_segments and len(chosen) > 1 and size[since] > sum(size[c] for c in chosen):
-                break
-            chosen.append(since)
-        old = [f for folder in ("codes", "vectors") for f, v in self.state.below(folder).items() if v in chosen]
-        whole = len(chosen) == len(size)
-        own = CellIndex(self.log, commits.State(self.state.version, {f: v for f, v in self.state.files.items() if f in set(old) or f.startswith("dead/")}, self.state.properties), self.centres, self.books)
+        """Write the live rows of segments anew as one (see Segmented.to_merge)."""
+        chosen, whole = self.to_merge("codes", all_segments)
+        old = self.files_of(chosen, "codes", "vectors")
+        own = self._at(self.only(old))
         staged = self.log.stage(_laid(own.codes, "cell"), "codes", ["shelf"])
         staged = self.log.stage(_laid(own.vectors, "home"), "vectors", ["shelf"], staged)
-        gone = old + (list(self.state.below("dead")) if whole else [])
-        return self._at(self.log.commit(self.state, staged, gone, since=self.state.version, rebase=True))
+        return self._at(self.commit_merge(staged, old, whole))
 
     def maintained(self) -> CellIndex:
         """The index, merged if it has more than SEGMENTS segments."""

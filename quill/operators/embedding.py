@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quill.operators import store
+from quill.sources.shared import checkpoint
+from quill.sources.vector_cache import VectorCache
 
 #: Fixed value: what a query is prefixed with for the encoder's family; documents are not.
 QUERY_PREFIX = "Represent this sentence for searching relevant passages: "
@@ -54,14 +56,22 @@ def encode_queries(queries: DataFrame, encoder: Callable, prefix: str = QUERY_PR
     return encode(rows, encoder, "_input").drop("_input")
 
 
-def embed(chunks: DataFrame, vectors: DataFrame, model: str, encoder: Callable, chunking: str | None = None) -> DataFrame:
-    """New rows (chunk_id, model, dim, vec, chunk_config_sha256) for chunks without a vector: from the cache where the digest is known, else encoded once a digest."""
+def embed(chunks: DataFrame, vectors: DataFrame, model: str, encoder: Callable, chunking: str | None = None, cache: VectorCache | None = None) -> DataFrame:
+    """New rows (chunk_id, model, dim, vec, chunk_config_sha256) for chunks without a vector: from the cache where the digest is known, else encoded once a digest.
+
+    Known are the digests of stored chunks that have vectors, or with cache those that it holds; what is encoded is
+    put into it at once.
+    """
     todo = store.pending_chunks(chunks, vectors, model, chunking)
-    known = store.cached_vectors(vectors, chunks, todo.select(F.col("embed_input_sha256").alias("digest")), model).select("digest", F.col("vec").cast("array<float>").alias("vec"))
+    wanted = todo.select(F.col("embed_input_sha256").alias("digest"))
+    known = (store.cached_vectors(vectors, chunks, wanted, model) if cache is None else cache.lookup(wanted, model)).select("digest", F.col("vec").cast("array<float>").alias("vec"))
     keyed = todo.withColumn("digest", F.coalesce("embed_input_sha256", F.concat(F.lit("chunk:"), F.col("chunk_id").cast("string"))))
     hits = keyed.join(known, "digest")
     misses = keyed.join(known.select("digest"), "digest", "left_anti")
-    fresh = misses.groupBy("digest").agg(F.min_by("embed_input", "chunk_id").alias("embed_input"))
-    made = misses.join(encode(fresh, encoder).select("digest", "vec"), "digest")
+    fresh = encode(misses.groupBy("digest").agg(F.min_by("embed_input", "chunk_id").alias("embed_input")), encoder).select("digest", "vec")
+    if cache is not None:
+        hits, misses, fresh = checkpoint(hits), checkpoint(misses), checkpoint(fresh)
+        cache.put(fresh.where(~F.col("digest").startswith("chunk:")), model)
+    made = misses.join(fresh, "digest")
     both = hits.select("chunk_id", "vec", "chunk_config_sha256").unionByName(made.select("chunk_id", "vec", "chunk_config_sha256"))
     return both.select("chunk_id", F.lit(model).alias("model"), F.size("vec").alias("dim"), "vec", "chunk_config_sha256")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quill.functions import text as T
+from quill.operators.overlap import overlap_range
 
 FULL_WIDTH, FIGURE_CHARS = 0.65, 280
 HEADING_RATIO, HEADING_CHARS, HEADING_WORDS = 1.05, 100, 12
@@ -85,11 +86,13 @@ def body_font_size(spans: DataFrame) -> DataFrame:
 
 
 def page_range(intervals: DataFrame, spans: DataFrame) -> DataFrame:
-    """intervals (paper_id, char_start, char_end, …) with page_start, page_end of the spans they overlap; 1, 1 if none."""
-    s = spans.select("paper_id", F.col("char_start").alias("_s"), F.col("char_end").alias("_e"), F.col("page").alias("_page"))
-    keys = intervals.columns
-    met = intervals.join(s, (intervals["paper_id"] == s["paper_id"]) & (s["_s"] < intervals["char_end"]) & (s["_e"] > intervals["char_start"]), "left").drop(s["paper_id"])
-    return met.groupBy(*keys).agg(F.coalesce(F.min("_page"), F.lit(1)).alias("page_start"), F.coalesce(F.max("_page"), F.lit(1)).alias("page_end"))
+    """intervals (paper_id, char_start, char_end, …) with page_start, page_end of the spans they overlap; 1, 1 if none. Equal rows come once."""
+    found = overlap_range(intervals, spans, "paper_id", "char_start", "char_end", "page").select(
+        F.col("paper_id").alias("_p"), F.col("char_start").alias("_s"), F.col("char_end").alias("_e"), "low", "high"
+    )
+    met = intervals.distinct().join(found, (intervals["paper_id"] == F.col("_p")) & (intervals["char_start"] == F.col("_s")) & (intervals["char_end"] == F.col("_e")), "left")
+    kind = dict(spans.dtypes)["page"]
+    return met.select(*intervals.columns, F.coalesce(F.col("low").cast(kind), F.lit(1)).alias("page_start"), F.coalesce(F.col("high").cast(kind), F.lit(1)).alias("page_end"))
 
 
 def group_lines(spans: DataFrame) -> DataFrame:

@@ -86,6 +86,7 @@ SHOWN = ("paper_id", "section_path", "content", "page_start", "page_end", "char_
 def candidates(results: DataFrame, chunks: DataFrame, papers: DataFrame | None = None) -> DataFrame:
     """results with what chunks has of SHOWN, and paper_title of papers (id, title). Only the chunks that are named reach the join."""
     shown = [c for c in SHOWN if c in chunks.columns]
+    results = checkpoint(results)  # the search behind it runs once
     wanted = lexical.broadcast_if_small(results.select("chunk_id").distinct())
     out = results.join(chunks.select("chunk_id", *shown).join(wanted, "chunk_id", "left_semi"), "chunk_id", "left")
     if papers is not None:

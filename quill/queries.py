@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 from quill.config import RetrievalConfig
 from quill.functions import text as T
 from quill.functions import vector as V
-from quill.operators import cells, chunking, dense, layout, lexical, ranking, store
+from quill.operators import cells, chunking, dense, impacts, layout, lexical, ranking, store
 from quill.plans import benchmark, ingest
 from quill.plans import retrieve as plans
 from quill.sources import metadata, shared, tables
+from quill.sources.vector_cache import VectorCache
 from quill.stemsql import stems
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -176,6 +177,38 @@ def stored_postings(spark, sf_dir):
     return _index(spark, sf_dir).groupBy("chunk_config_sha256").agg(F.countDistinct("lexeme").alias("lexemes"), F.sum("tf").alias("occurrences"))
 
 
+def _blocks(spark, sf_dir):
+    return impacts.read_index(spark, _stored(spark, sf_dir, "blocks", lambda path: impacts.write_index(_chunks(spark, sf_dir), path)))
+
+
+@query(f"WITH {_QUESTIONS}, {_MATCHES}, {_lexical(10)} SELECT * FROM lexical")
+def lexical_topk_blocks(spark, sf_dir):
+    """From stored blocks with bounds: most postings are not opened."""
+    return _blocks(spark, sf_dir).search(_questions(spark, sf_dir), 10)
+
+
+@query(f"WITH {_QUESTIONS}, {_MATCHES} SELECT count(DISTINCT query_id) AS queries, count(*) > 0 AS fewer_read FROM matches")
+def lexical_blocks_read(spark, sf_dir):
+    """Of how many queries the blocks' bounds were read, and whether that left postings unopened."""
+    work = _blocks(spark, sf_dir).searched(_questions(spark, sf_dir), 10)[1]
+    return work.agg(F.count(F.lit(1)).alias("queries"), (F.sum("postings_read") < F.sum("postings")).alias("fewer_read"))
+
+
+@query(f"WITH {_QUESTIONS}, {_MATCHES}, {_lexical(10)} SELECT * FROM lexical")
+def lexical_topk_segments(spark, sf_dir):
+    """The same from an index that grew by batches, from which chunks were taken and put back."""
+
+    def write(path):
+        c = _chunks(spark, sf_dir)
+        part = F.pmod(F.xxhash64("chunk_id"), F.lit(3))
+        impacts.write_index(c.where(part == 0), path)
+        index = impacts.read_index(spark, path).append(c.where(part == 1)).append(c.where(part == 2))
+        again = c.where(F.col("chunk_id") % 5 == 0)
+        index.delete(again).append(again).append(c.where(F.col("chunk_id") % 7 == 0), replace=True)
+
+    return impacts.read_index(spark, _stored(spark, sf_dir, "segments", write)).search(_questions(spark, sf_dir), 10)
+
+
 @query(f"WITH {_QUESTIONS}, {_MATCHES}, {_lexical(50)} SELECT * FROM lexical")
 def lexical_topk_postings(spark, sf_dir):
     """From the stored index."""
@@ -585,6 +618,18 @@ def cached_vectors(spark, sf_dir):
     return store.cached_vectors(v, c, store.pending_chunks(c, v, "m").select(F.col("embed_input_sha256").alias("digest")), "m").select("digest", "chunk_id")
 
 
+@query(f"WITH {_CACHED} SELECT digest, round(embedding[1]::DOUBLE, 6) AS first FROM cached JOIN embeddings ON vec_id = chunk_id WHERE digest IN (SELECT sha256(text) FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings))")
+def vector_cache(spark, sf_dir):
+    """Digests of texts without a vector, looked up in a cache that holds those of all others."""
+    c, v = _chunks(spark, sf_dir), _vectors(spark, sf_dir)
+    table = "quill_cache_" + hashlib.sha256(f"{sf_dir} {spark.sparkContext.applicationId}".encode()).hexdigest()[:16]
+    cache = VectorCache(spark, table)
+    known = store.cached_vectors(v, c, c.select(F.col("embed_input_sha256").alias("digest")), "m")
+    cache.put(known, "m")
+    found = cache.lookup(store.pending_chunks(c, v, "m").select(F.col("embed_input_sha256").alias("digest")), "m")
+    return found.select("digest", F.round(F.col("vec")[0].cast("double"), 6).alias("first"))
+
+
 _PLAN = f"""{_CACHED}, r AS (SELECT doc_id AS chunk_id, sha256(text) AS digest, vec_id IS NOT NULL AS has FROM documents LEFT JOIN embeddings ON doc_id = vec_id),
     plan AS (SELECT r.chunk_id, r.digest, CASE WHEN has THEN 'already' WHEN c.digest IS NOT NULL THEN 'cached' WHEN row_number() OVER (PARTITION BY r.digest, has ORDER BY r.chunk_id) = 1 THEN 'encoded' ELSE 'duplicate' END AS status
              FROM r LEFT JOIN cached c ON r.digest = c.digest)"""

@@ -33,13 +33,19 @@ _OWN: dict[str, str] = {}
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder."""
+    """Cut lineage with a reliable checkpoint in the shared folder; the session's go when it ends."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_folder(df.sparkSession))
+    if (folder := sc._jsc.sc().getCheckpointDir().get()) not in _CHECKPOINTS:  # of this application alone
+        _CHECKPOINTS.add(folder)
+        atexit.register(remove_folder, df.sparkSession, folder)
     return df.checkpoint()
 
 
+_CHECKPOINTS: set[str] = set()
+
+
 def written(df: DataFrame) -> DataFrame:
     """Cut lineage with a table written in the shared folder, which goes with the session.
 
