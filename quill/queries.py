@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from quill.config import RetrievalConfig
 from quill.functions import text as T
 from quill.functions import vector as V
-from quill.operators import cells, chunking, dense, impacts, layout, lexical, ranking, store
+from quill.operators import cells, chunking, dense, impacts, layout, lexical, positions, ranking, store
 from quill.plans import benchmark, ingest
 from quill.plans import retrieve as plans
 from quill.sources import metadata, shared, tables
@@ -242,6 +242,35 @@ def postings(spark, sf_dir):
     return lexical.postings(_chunks(spark, sf_dir), keep=("chunk_config_sha256",))
 
 
+_TOKENS = r"""t AS (SELECT doc_id AS chunk_id, unnest(ts) AS token, unnest(range(len(ts))) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+(?:-[\p{L}\p{N}]+)*') AS ts FROM documents)),
+    w AS (SELECT *, 1 + coalesce(sum(CASE WHEN contains(token, '-') THEN 2 + length(token) - length(replace(token, '-', '')) ELSE 1 END) OVER (PARTITION BY chunk_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM t),
+    p AS (SELECT chunk_id, token AS word, pos FROM w UNION ALL SELECT chunk_id, unnest(parts), pos + unnest(range(1, len(parts) + 1)) FROM (SELECT chunk_id, pos, string_split(token, '-') AS parts FROM w WHERE contains(token, '-')))"""
+
+
+@query(
+    f"""WITH {_TOKENS}, kept AS (SELECT chunk_id, word, least(pos, 16383) AS pos FROM p WHERE word NOT IN ({_STOP})), vocabulary AS (SELECT DISTINCT word FROM kept), {stems('vocabulary')},
+    n AS (SELECT chunk_id, lexeme, pos, row_number() OVER (PARTITION BY chunk_id, lexeme ORDER BY pos) AS nth FROM (SELECT DISTINCT chunk_id, lexeme, pos FROM kept JOIN stems USING (word)))
+    SELECT lexeme, chunk_id, count(*) AS n, min(pos)::INT AS first, max(pos)::INT AS last, sum(pos)::BIGINT AS total FROM n WHERE nth <= 256 GROUP BY ALL"""
+)
+def positional_postings(spark, sf_dir):
+    p = F.col("positions")
+    found = positions.positional_postings(_chunks(spark, sf_dir))
+    total = F.aggregate(p, F.lit(0).cast("long"), lambda a, x: a + x)
+    return found.select("lexeme", "chunk_id", F.size(p).cast("long").alias("n"), F.array_min(p).alias("first"), F.array_max(p).alias("last"), total.alias("total"))
+
+
+@query(
+    f"""WITH {_QUESTIONS}, dw AS (SELECT 0 AS chunk_id, '' AS word WHERE false), qw AS (SELECT DISTINCT query_id, unnest({_lex('query')}) AS word FROM questions), {_TOKENS},
+    kept AS (SELECT chunk_id, word, least(pos, 16383) AS pos FROM p WHERE word NOT IN ({_STOP})), vocabulary AS (SELECT word FROM kept UNION SELECT word FROM qw), {stems('vocabulary')},
+    n AS (SELECT chunk_id, lexeme, pos, row_number() OVER (PARTITION BY chunk_id, lexeme ORDER BY pos) AS nth FROM (SELECT DISTINCT chunk_id, lexeme, pos FROM kept JOIN stems USING (word))),
+    ql AS (SELECT DISTINCT query_id, lexeme FROM qw JOIN stems USING (word)), matches AS (SELECT query_id, chunk_id, count(*) AS n FROM ql JOIN n USING (lexeme) WHERE nth <= 256 GROUP BY ALL), {_lexical(20)}
+    SELECT * FROM lexical"""
+)
+def lexical_topk_bounded(spark, sf_dir):
+    """Under the bounds of stored positions."""
+    return positions.search(_questions(spark, sf_dir), positions.positional_postings(_chunks(spark, sf_dir)), 20)
+
+
 @query(
     f"WITH questions AS (SELECT * FROM (VALUES (1, ''), (2, 'the of and'), (3, '???'), (4, 'en that')) t(query_id, query)), {_MATCHES} SELECT query_id::BIGINT AS query_id, count(*) AS n_chunks FROM matches GROUP BY query_id"
 )
