@@ -25,7 +25,7 @@ from quill.sources.segments import SEGMENTS, Segmented
 from quill.sources.shared import checkpoint
 
 #: Chunks of a block, about; classes of length for each doubling, and classes of a band.
-BLOCK, STEPS, BAND = 64, 4, 8
+BLOCK, STEPS, BAND = 16, 8, 16
 #: Blocks that are scored first for each query, besides those that k chunks need.
 FIRST = 4
 #: Bytes of texts whose postings one task writes, about.
