@@ -1,4 +1,4 @@
-"""python -m quill.cli: ingest, embed, search, bench-index, stats, manifest, migrate, health over a warehouse's tables."""
+"""python -m quill.cli: ingest, embed, index, search, bench-index, stats, manifest, migrate, health over a warehouse's tables."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quill import registry
 from quill.config import FUSIONS, RetrievalConfig
-from quill.operators import embedding, store
+from quill.operators import cells, embedding, impacts, store
 from quill.plans import benchmark, ingest
 from quill.plans.retrieve import candidates, compare_modes, retrieve
 from quill.sources import commits, metadata, pdf, tables
@@ -58,6 +58,9 @@ def _parser() -> argparse.ArgumentParser:
     s.add_argument("--compare", action="store_true")
     s.add_argument("--encoder", default="digest")
     s.add_argument("--scorer", default="word_overlap", help="a registered scorer")
+    s.add_argument("--index", help="search the stored index in this folder; its dense arm reads the nearest cells alone")
+    x = sub.add_parser("index", help="bring the stored index in a folder up to date with the tables, or make one")
+    x.add_argument("path")
     b = sub.add_parser("bench-index")
     b.add_argument("path")
     b.add_argument("--cells", type=int, help="as the number of rows suggests, if not given")
@@ -109,6 +112,19 @@ def _embed(spark: SparkSession, args, config: RetrievalConfig) -> int:
     return 0
 
 
+def _index(spark: SparkSession, args, config: RetrievalConfig) -> int:
+    key = config.chunking_sha256()
+    chunks = tables.read(spark, "chunks").where(F.col("chunk_config_sha256") == key)
+    vectors = tables.read(spark, "embeddings").where((F.col("chunk_config_sha256") == key) & (F.col("model") == config.embedding_model))
+    for name, module, rows in (("blocks", impacts, chunks), ("cells", cells, vectors)):
+        path = f"{args.path}/{name}"
+        if not tables.exists(spark, f"{path}/_log"):
+            module.write_index(rows, path)
+        index = module.read_index(spark, path).updated(rows)
+        print(f"{name}: version {index.state.version}, {len(index.segments)} segments")
+    return 0
+
+
 def _search(spark: SparkSession, args, config: RetrievalConfig) -> int:
     config = replace(config, fusion=args.fusion, final_top_k=args.top_k)
     queries = embedding.encode_queries(spark.createDataFrame([(0, args.query)], "query_id long, query string"), registry.ENCODERS.get(args.encoder))
@@ -121,7 +137,8 @@ def _search(spark: SparkSession, args, config: RetrievalConfig) -> int:
         for r in found.orderBy("arm", "rank").collect():  # four times top-k rows
             print(f"{r.arm:13} {r['rank']}. [{r.chunk_id}] {r.section_path} was #{r.was}")
         return 0
-    hits = retrieve(queries, chunks, vectors, config, scorer)
+    stored = {"index": impacts.read_index(spark, f"{args.index}/blocks"), "cells": cells.read_index(spark, f"{args.index}/cells"), "chunking": key} if args.index else {}
+    hits = retrieve(queries, chunks, None if stored else vectors, config, scorer, **stored)
     rows = candidates(hits, chunks, papers).orderBy("rank").collect()  # top-k rows
     if rows and rows[0].reason:
         print(f"refused: {rows[0].reason}")
@@ -160,7 +177,7 @@ def main(argv: list[str] | None = None) -> int:
         queries = embedding.encode_queries(benchmark.sample_queries(chunks, args.queries), registry.ENCODERS.get(args.encoder))
         print("\n".join(benchmark.lines(benchmark.benchmark_index(spark, queries, vectors, args.path, args.cells, rebuild=args.rebuild))))
         return 0
-    return {"ingest": _ingest, "embed": _embed, "search": _search}[args.command](spark, args, config)
+    return {"ingest": _ingest, "embed": _embed, "index": _index, "search": _search}[args.command](spark, args, config)
 
 
 if __name__ == "__main__":

@@ -231,6 +231,17 @@ class CellIndex(Segmented):
         staged = self.log.stage(_laid(own.vectors, "home"), "vectors", ["shelf"], staged)
         return self._at(self.commit_merge(staged, old, whole))
 
+    def updated(self, vectors: DataFrame) -> CellIndex:
+        """The index of just these vectors (chunk_id, vec): new ones are added as a segment, those that are no longer there die, then maintained(). Vectors never change under their id."""
+        index, ids = self, self.vectors.select("chunk_id")
+        new = checkpoint(vectors.select("chunk_id", "vec").where("vec is not null").join(ids, "chunk_id", "left_anti"))
+        gone = checkpoint(ids.join(vectors.select("chunk_id"), "chunk_id", "left_anti"))
+        if not gone.isEmpty():
+            index = index.delete(gone)
+        if not new.isEmpty():
+            index = index.upsert(new)
+        return index.maintained()
+
     def maintained(self) -> CellIndex:
         """The index, merged if it has more than SEGMENTS segments."""
         return self.merge() if len(self.segments) > SEGMENTS else self

@@ -30,6 +30,7 @@ BLOCK, STEPS, BAND = 16, 8, 16
 FIRST = 4
 #: Bytes of texts whose postings one task writes, about.
 TASK_BYTES = 256 << 20
+IDS = "chunk_id long"
 BLOCKS = "chunking string, lexeme string, block long, most long, entries array<struct<chunk_id:long,tf:long>>, band int"
 
 
@@ -60,6 +61,11 @@ class PostingsIndex(Segmented):
         rows = self.blocks.select("chunking", "lexeme", _class_of("block").alias("class"), "since", F.explode("entries").alias("e"))
         return self.live(rows.select("e.chunk_id", "since", "chunking", "lexeme", "e.tf", "class"))
 
+    @cached_property
+    def ids(self) -> DataFrame:
+        """(chunk_id) of the live chunks, of those without lexemes too."""
+        return self.live(self.rows_since("ids", IDS))
+
     def search(self, queries: DataFrame, k: int, chunking: str | None = None) -> DataFrame:
         """(query_id, chunk_id, score, rank): the k best chunks of each query; as lexical.search() over the same chunks."""
         return self.searched(queries, k, chunking)[0]
@@ -96,7 +102,7 @@ class PostingsIndex(Segmented):
 
     def append(self, chunks: DataFrame, key: str = "chunk_config_sha256", replace: bool = False) -> PostingsIndex:
         """Add a batch of chunks (chunk_id, content, key). replace: chunks of the same ids before them die."""
-        staged = _stage(self.log, _posted(chunks, key, self.stemmed))
+        staged = _stage(self.log, _posted(chunks, key, self.stemmed), chunks)
         if replace:
             staged = self.stage_dead(chunks, staged)
         return PostingsIndex(self.log, self.log.commit(self.state, staged, rebase=True))
@@ -108,9 +114,20 @@ class PostingsIndex(Segmented):
     def merge(self, all_segments: bool = False) -> PostingsIndex:
         """Write the live postings of segments anew as one, in whole blocks (see Segmented.to_merge)."""
         chosen, whole = self.to_merge("blocks", all_segments)
-        old = self.files_of(chosen, "blocks")
+        old = self.files_of(chosen, "blocks", "ids")
         own = PostingsIndex(self.log, self.only(old))
-        return PostingsIndex(self.log, self.commit_merge(_stage(self.log, own.postings), old, whole))
+        return PostingsIndex(self.log, self.commit_merge(_stage(self.log, own.postings, own.ids), old, whole))
+
+    def updated(self, chunks: DataFrame, key: str = "chunk_config_sha256") -> PostingsIndex:
+        """The index of just these chunks: new ones are added as a segment, those that are no longer there die, then maintained(). Chunks never change under their id."""
+        index = self
+        new = checkpoint(chunks.select("chunk_id", "content", key).join(self.ids, "chunk_id", "left_anti"))
+        gone = checkpoint(self.ids.join(chunks.select("chunk_id"), "chunk_id", "left_anti"))
+        if not gone.isEmpty():
+            index = index.delete(gone)
+        if not new.isEmpty():
+            index = index.append(new, key)
+        return index.maintained()
 
     def maintained(self) -> PostingsIndex:
         """The index, merged if it has more than SEGMENTS segments."""
@@ -127,8 +144,8 @@ def _posted(chunks: DataFrame, key: str, stemmed: bool) -> DataFrame:
     return postings(rows, stemmed, keep=("chunking", "class")).select("chunking", "lexeme", "chunk_id", "tf", "class")
 
 
-def _stage(log: commits.Log, rows: DataFrame) -> str:
-    """Deal chunks to blocks, and write a row for each block and lexeme."""
+def _stage(log: commits.Log, rows: DataFrame, ids: DataFrame) -> str:
+    """Deal chunks to blocks, and write a row for each block and lexeme, and all chunks' ids."""
     rows = checkpoint(rows)
     counts = rows.groupBy("chunking", "class").agg(F.countDistinct("chunk_id").alias("n"), F.sum(F.octet_length("lexeme") + 16).alias("bytes"))
     counts = checkpoint(counts.withColumn("slots", F.ceil(F.col("n") / BLOCK)))  # some hundreds for each chunking
@@ -141,14 +158,15 @@ def _stage(log: commits.Log, rows: DataFrame) -> str:
     dealt = dealt.repartition("chunking", "band", "part")
     one = dealt.groupBy("chunking", "band", "part", "lexeme", "block").agg(F.max("tf").alias("most"), F.array_sort(F.collect_list(F.struct("chunk_id", "tf"))).alias("entries"))  # a block's chunks
     out = one.select("chunking", "lexeme", "block", "most", "entries", "band").sortWithinPartitions("chunking", "band", "lexeme", "block")
-    return log.stage(out, "blocks", ["band"])
+    staged = log.stage(out, "blocks", ["band"])
+    return log.stage(ids.select(F.col("chunk_id").cast("long").alias("chunk_id")), "ids", staged=staged)
 
 
 def write_index(chunks: DataFrame, path: str, stemmed: bool = True, key: str = "chunk_config_sha256") -> None:
     """Store the postings of chunks (chunk_id, content, key), in the place of an index that is there."""
     log = commits.Log(chunks.sparkSession, path)
     state = log.adopt()
-    log.commit(state, _stage(log, _posted(chunks, key, stemmed)), list(state.files), {"stemmed": str(stemmed).lower()})
+    log.commit(state, _stage(log, _posted(chunks, key, stemmed), chunks), list(state.files), {"stemmed": str(stemmed).lower()})
 
 
 def read_index(spark: SparkSession, path: str, version: int | None = None) -> PostingsIndex:

@@ -10,21 +10,23 @@ from pyspark.sql import functions as F
 
 from quill.config import RetrievalConfig
 from quill.functions.text import count_words
-from quill.operators import dense, lexical, ranking
+from quill.operators import dense, impacts, lexical, ranking
 from quill.sources.shared import checkpoint
 from quill.telemetry import StageTimer
 
 HITS = "query_id long, chunk_id long, score double, rank long"
 
 
-def _arms(queries: DataFrame, chunks: DataFrame, vectors: DataFrame | None, config: RetrievalConfig, stemmed: bool = True, index: DataFrame | None = None, cells: dense.CellIndex | None = None) -> dict[str, DataFrame]:
+def _arms(queries: DataFrame, chunks: DataFrame, vectors: DataFrame | None, config: RetrievalConfig, stemmed: bool = True, index: DataFrame | impacts.PostingsIndex | None = None, cells: dense.CellIndex | None = None, chunking: str | None = None) -> dict[str, DataFrame]:
     """The arms that the configuration wants; others are never planned."""
     arms = {}
     if config.wants_dense and cells is not None:
         arms["dense"] = cells.widened(queries.select("query_id", "vec"), config.dense_top_k, config.n_probe(len(cells.centres)))
     elif config.wants_dense and vectors is not None:
         arms["dense"] = dense.search(queries.select("query_id", "vec"), vectors, config.dense_top_k)
-    if config.wants_lexical:
+    if config.wants_lexical and isinstance(index, impacts.PostingsIndex):
+        arms["lexical"] = index.search(queries, config.lexical_top_k, chunking)
+    elif config.wants_lexical:
         arms["lexical"] = lexical.search(queries, chunks, config.lexical_top_k, stemmed, index)
     return arms
 
@@ -40,9 +42,9 @@ def _joined(queries: DataFrame, arms: dict[str, DataFrame], config: RetrievalCon
     return ranking.reciprocal_rank_fusion(list(arms.values()), config.rrf_k) if config.fusion == "rrf" else next(iter(arms.values()))
 
 
-def fused(queries: DataFrame, chunks: DataFrame, vectors: DataFrame | None, config: RetrievalConfig, stemmed: bool = True, index: DataFrame | None = None, cells: dense.CellIndex | None = None) -> DataFrame:
+def fused(queries: DataFrame, chunks: DataFrame, vectors: DataFrame | None, config: RetrievalConfig, stemmed: bool = True, index: DataFrame | impacts.PostingsIndex | None = None, cells: dense.CellIndex | None = None, chunking: str | None = None) -> DataFrame:
     """(query_id, chunk_id, score, rank) before reranking."""
-    return _joined(queries, _arms(queries, chunks, vectors, config, stemmed, index, cells), config)
+    return _joined(queries, _arms(queries, chunks, vectors, config, stemmed, index, cells, chunking), config)
 
 
 def retrieve(
@@ -52,7 +54,7 @@ def retrieve(
     config: RetrievalConfig = RetrievalConfig(),
     scorer=None,
     stemmed: bool = True,
-    index: DataFrame | None = None,
+    index: DataFrame | impacts.PostingsIndex | None = None,
     chunking: str | None = None,
     model: str | None = None,
     cells: dense.CellIndex | None = None,
@@ -61,16 +63,16 @@ def retrieve(
 
     queries: query_id, query, and vec if there is a dense arm. chunks: chunk_id, content.
     vectors: chunk_id, vec. With chunking (and model) both tables are filtered by their key
-    first, and so is index, stored postings that take the place of chunks in the lexical arm; cells,
+    first, and so is index, stored postings (plain or in blocks) that take the place of chunks in the lexical arm; cells,
     a stored index of one chunking's vectors, takes the place of vectors. Queries without
     candidates give no row; refused ones (best rerank_score under the floor) have a reason.
     """
     chunks = one_chunking(chunks, chunking)
-    index = index if index is None else one_chunking(index, chunking)
+    index = index if index is None or isinstance(index, impacts.PostingsIndex) else one_chunking(index, chunking)
     if vectors is not None:
         vectors = one_chunking(vectors, chunking)
         vectors = vectors if model is None else vectors.where(F.col("model") == model)
-    hits = fused(queries, chunks, vectors, config, stemmed, index, cells)
+    hits = fused(queries, chunks, vectors, config, stemmed, index, cells, chunking)
     return _finished(hits, queries, chunks, config, scorer)
 
 

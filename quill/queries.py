@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quill.config import RetrievalConfig
+from quill.config import WIDEST, RetrievalConfig
 from quill.functions import text as T
 from quill.functions import vector as V
 from quill.operators import cells, chunking, dense, impacts, layout, lexical, positions, ranking, store
@@ -124,6 +124,13 @@ def hybrid_retrieve(spark, sf_dir):
     return plans.retrieve(_questions(spark, sf_dir), _chunks(spark, sf_dir), _vectors(spark, sf_dir), index=_index(spark, sf_dir))
 
 
+@query(f"{_ALL}, {_reranked()} SELECT query_id, chunk_id, score, fused_rank, rerank_score, rank, CASE WHEN max(rerank_score) OVER (PARTITION BY query_id) < 0 THEN 'below_score_floor' END AS reason FROM reranked")
+def hybrid_retrieve_stored(spark, sf_dir):
+    """From both stored indexes, all cells read."""
+    index, config = _cells(spark, sf_dir), RetrievalConfig(hnsw_ef_search=WIDEST)
+    return plans.retrieve(_questions(spark, sf_dir), _chunks(spark, sf_dir), config=config, index=_blocks(spark, sf_dir), cells=index)
+
+
 @query(f"WITH {_QUESTIONS}, {_VECTORS}, {_dense(50)} SELECT * FROM dense")
 def dense_topk(spark, sf_dir):
     return dense.search(_questions(spark, sf_dir), _vectors(spark, sf_dir), 50)
@@ -379,13 +386,16 @@ def ann_widened(spark, sf_dir):
     return found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max("rank").alias("last"))
 
 
-@query("SELECT (SELECT count(*) FROM embeddings) AS rows, 3::BIGINT AS breadths, true AS grows, true AS has_bytes")
+@query(
+    f"""WITH {_QUESTIONS}, {_VECTORS}, {_dense(10)}, t AS (SELECT a.query_id, count(b.chunk_id) / count(*) AS found FROM dense a LEFT JOIN dense b ON a.query_id = b.query_id AND a.chunk_id = b.chunk_id GROUP BY 1)
+    SELECT (SELECT count(*) FROM vectors) AS rows, (SELECT count(*) FROM (VALUES (0.0625), (0.25), (1.0)) b(share)) AS breadths, (SELECT round(avg(found), 6) FROM t) AS widest_recall, true AS grows, (SELECT count(*) > 0 FROM vectors) AS has_bytes"""
+)
 def index_benchmark(spark, sf_dir):
     """Recall over a sweep of breadths, sizes and build time, without latencies."""
     b = benchmark.benchmark_index(spark, _questions(spark, sf_dir), _vectors(spark, sf_dir), _stored(spark, sf_dir, "cells", lambda path: dense.write_index(_vectors(spark, sf_dir), path)), sweep=(0.0625, 0.25, 1.0), latencies=False)
     rows = b.where("n_probe is not null")
     order = F.transform(F.array_sort(F.collect_list(F.struct("n_probe", "recall_at_10"))), lambda x: x["recall_at_10"])  # a row a breadth
-    return rows.agg(F.max("rows").alias("rows"), F.count(F.lit(1)).alias("breadths"), (order == F.array_sort(order)).alias("grows"), (F.min("index_bytes") > 0).alias("has_bytes"))
+    return rows.agg(F.max("rows").alias("rows"), F.count(F.lit(1)).alias("breadths"), F.round(F.max_by("recall_at_10", "n_probe"), 6).alias("widest_recall"), (order == F.array_sort(order)).alias("grows"), (F.min("index_bytes") > 0).alias("has_bytes"))
 
 
 @query(f"""{_ALL}, {_reranked()}, t AS (SELECT query_id, chunk_id, rank FROM (SELECT *, max(rerank_score) OVER (PARTITION BY query_id) AS best FROM reranked) WHERE best >= 0)

@@ -2,8 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from quill.operators import cells, dense
+from quill.operators import cells, dense, store
 from quill.sources import commits
 
 
@@ -99,3 +100,40 @@ def test_odd_vectors(spark, tmp_path):
     assert [r[2] for r in hits(index.probed(asked(spark, [(0, [1.0, 0.1, 0.0])]), 5, 2))] == [6]
     dense.write_index(vectors.limit(0), str(tmp_path / "empty"))
     assert dense.read_index(spark, str(tmp_path / "empty")).widened(asked(spark, [(0, [1.0])]), 5, 1).count() == 0
+
+
+def test_command_line_index_follows_the_tables(spark, tmp_path, capsys):
+    from quill import cli
+    from quill.config import RetrievalConfig
+    from quill.operators import embedding, impacts
+    from quill.sources import tables
+
+    for t in tables.SCHEMAS:
+        spark.sql(f"DROP TABLE IF EXISTS {t}")
+    tables.create(spark)
+    key, model = RetrievalConfig().chunking_sha256(), RetrievalConfig().embedding_model
+    encoder = embedding.DigestEncoder()
+
+    def add(ids):
+        rows = [(i, f"p{i}", 0, f"chunk number w{i} about learning", key) for i in ids]
+        chunks = spark.createDataFrame(rows, "chunk_id long, paper_id string, ordinal long, content string, chunk_config_sha256 string")
+        known = dict(spark.read.table("chunks").dtypes)
+        full = chunks.select(*[(chunks[c] if c in chunks.columns else F.lit(None)).cast(k).alias(c) for c, k in known.items()])
+        tables.append_new(full.withColumn("content_sha256", F.sha2("content", 256)), "chunks", store.CHUNK_KEY)
+        vectors = [(i, model, 3, encoder.encode_documents([f"t{i}"])[0], key) for i in ids]
+        tables.append_new(spark.createDataFrame(vectors, tables.SCHEMAS["embeddings"]), "embeddings", store.VECTOR_KEY)
+
+    path = str(tmp_path / "index")
+    add(range(6))
+    assert cli.main(["index", path]) == 0 and "cells: version 2, 1 segments" in capsys.readouterr().out
+    add(range(6, 9))
+    assert cli.main(["index", path]) == cli.main(["index", path]) == 0
+    assert capsys.readouterr().out.count("version 3, 2 segments") == 4  # the second run finds nothing new
+    assert sorted(r.chunk_id for r in impacts.read_index(spark, f"{path}/blocks").ids.collect()) == list(range(9))
+    assert sorted(r.chunk_id for r in cells.read_index(spark, f"{path}/cells").vectors.collect()) == list(range(9))
+    tables.replace(tables.read(spark, "chunks").where("chunk_id <> 8"), "chunks")
+    assert cli.main(["index", path]) == 0
+    assert cli.main(["search", "w7 learning", "--index", path, "--fusion", "lexical_only", "--top-k", "1"]) == 0
+    assert "[7]" in capsys.readouterr().out
+    for t in tables.SCHEMAS:
+        spark.sql(f"DROP TABLE IF EXISTS {t}")
