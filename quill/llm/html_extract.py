@@ -156,10 +156,10 @@ def parse(page: str) -> Node:
             open_[gone.tag] -= 1
             inside -= gone.tag in ("article", "main")
 
-    token, last = _TOKEN, page.rfind(">")
+    token, last = _TOKEN, max(map(page.rfind, (">", "<!", "<?")))
     while at < n:
         start = page.find("<", at)
-        if start > last and page.find("<!", start) < 0 and page.find("<?", start) < 0:
+        if start > last:
             start = -1  # no tag can end any more
         m = token.match(page, start) if start >= 0 else None
         if start >= 0 and m is None and token is _TOKEN and _BEGINS.match(page, start):
