@@ -6,24 +6,12 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quill.sources.shared import TABLES, checkpoint, columns_of, remove_folder, remove_tables, shared_folder, side, written
+from quill.sources.shared import TABLES, checkpoint, columns_of, remove_folder, remove_tables, shared_folder, side, tune, written
 
-__all__ = ["TABLES", "checkpoint", "columns_of", "remove_folder", "remove_tables", "shared_folder", "side", "written"]
-
-#: Rows and bytes in one Arrow batch sent to a Python worker, at most.
-BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
-
-
-def tune(spark: SparkSession) -> None:
-    """Hold Arrow batches to BATCH_ROWS rows and BATCH_BYTES bytes, so that long texts don't fill a worker."""
-    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
-        name = f"spark.sql.execution.arrow.{key}"
-        now = spark.conf.get(name, "1000000000").rstrip("bB")
-        if not now.isdigit() or not 0 < int(now) <= most:
-            spark.conf.set(name, str(most))
+__all__ = ["TABLES", "checkpoint", "columns_of", "remove_folder", "remove_tables", "shared_folder", "side", "tune", "written"]
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[dict] | None], schema: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quill.functions.stem import stem
 from quill.functions.text import lexeme_set, lexemes
-from quill.sources.shared import BROADCAST_BYTES, row_bytes
+from quill.sources.shared import BROADCAST_BYTES, row_bytes, tune
 
 #: Parts of a stored index that a lexeme's hash picks.
 BUCKETS = 64
@@ -34,6 +34,7 @@ def query_lexemes(queries: DataFrame, stemmed: bool = True, id_col: str = "query
 
 def postings(chunks: DataFrame, stemmed: bool = True, id_col: str = "chunk_id", text_col: str = "content", keep: tuple[str, ...] = ()) -> DataFrame:
     """(keep…, lexeme, chunk_id, tf): the inverted index. A chunk is a row, so it is counted where it is read, without a shuffle."""
+    tune(chunks.sparkSession)
     words = chunks.select(*keep, F.col(id_col).alias("chunk_id"), lexemes(F.col(text_col), stemmed=False).alias("words"))
     kinds = dict(words.dtypes)
 
