@@ -5,7 +5,8 @@
 * A code is the product-quantised rest of the vector beside its cell's centre: a byte for each PART_DIMS
   components, by codebooks learned from the same sample. The score of a code is the centre's score and a sum of
   table lookups, one table a query.
-* The best SHORTLIST x k by code are scored exactly; of the vectors only cells that hold one of those are read.
+* The best SHORTLIST x k by code are scored exactly; of the vectors only cells that hold one of those are read. A search of
+  all cells takes no codes, which might leave a hit out of the shortlist, but scores every vector exactly.
 * An insert is a segment of its own, coded by the same centres, and a delete is a list of ids; both are
   commits. A row counts unless a list of a later version names it. merge() writes live rows of small segments anew, as one.
 """
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from quill.functions.vector import cosine
 from quill.operators.lexical import broadcast_if_small, top
-from quill.operators.vectors import HITS, SCORES, matrix, query_blocks, unit_rows
+from quill.operators.vectors import HITS, SCORES, matrix, query_blocks, scored, unit_rows
 from quill.sources import commits
 from quill.sources.segments import SEGMENTS, Segmented
 from quill.sources.shared import checkpoint
@@ -146,16 +147,18 @@ class CellIndex(Segmented):
         return probes
 
     def probed(self, queries: DataFrame, k: int, n_probe: int, digits: int = 6) -> DataFrame:
-        """(query_id, chunk_id, score, rank): the k best of the n_probe cells nearest to each query; other cells are not read."""
-        found, kept = [], None
+        """(query_id, chunk_id, score, rank): the k best of the n_probe cells nearest to each query; other cells are not read. Of all cells it is the exact search."""
+        found, kept, whole = [], None, n_probe >= len(self.centres)
         for ids, unit in query_blocks(queries):
             if unit.shape[1] != self.centres.shape[1] or not len(self.centres):
                 continue
             if kept is not None:
                 found.append(checkpoint(kept))
-            kept = self._shortlisted(ids, unit, n_probe, SHORTLIST * k)
+            kept = scored(self.vectors.select("chunk_id", "vec"), ids, unit, k) if whole else self._shortlisted(ids, unit, n_probe, SHORTLIST * k)
         if kept is None:
             return self.spark.createDataFrame([], HITS + ", rank long")
+        if whole:
+            return top(reduce(DataFrame.unionByName, [*found, kept]), k, digits)
         short = checkpoint(reduce(DataFrame.unionByName, [*found, kept]).groupBy("query_id", "chunk_id", "home").agg(F.max("score").alias("score")))
         short = checkpoint(top(short, SHORTLIST * k).join(short.select("query_id", "chunk_id", "home"), ["query_id", "chunk_id"]).select("query_id", "chunk_id", "home"))
         homes = [r[0] for r in short.select("home").distinct().collect()]  # cells

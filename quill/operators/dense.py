@@ -9,38 +9,16 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quill.operators.cells import CellIndex, read_index, write_index
 from quill.operators.lexical import broadcast_if_small, top
-from quill.operators.vectors import HITS, SCORES, best_of, matrix, query_blocks
+from quill.operators.vectors import HITS, query_blocks, scored
 from quill.sources.shared import checkpoint
 
 __all__ = ["CellIndex", "read_index", "write_index"]
 
 
-def _scored(rows: DataFrame, ids: np.ndarray, unit: np.ndarray, k: int) -> DataFrame:
-    """HITS of each batch of rows (chunk_id, vec)."""
-    shared = rows.sparkSession.sparkContext.broadcast((ids, unit))
-
-    def score(batches):
-        ids, unit = shared.value
-        for batch in batches:
-            at, m = matrix(batch.column("vec"), unit.shape[1])
-            length = np.linalg.norm(m, axis=1)
-            at, m = at[length > 0], m[length > 0] / length[length > 0, None]
-            step = max(1, SCORES // max(1, len(unit)))
-            for s in range(0, len(at), step):
-                chunk = batch.column("chunk_id").to_numpy()[at[s : s + step]]
-                scores = unit @ m[s : s + step].T
-                q, j = best_of(scores, chunk, k)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[q], pa.int64()), pa.array(chunk[j], pa.int64()), pa.array(scores[q, j])], names=["query_id", "chunk_id", "score"])
-
-    return rows.mapInArrow(score, HITS)
-
-
 def search(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 6) -> DataFrame:
     """(query_id, chunk_id, score, rank): the k vectors of largest cosine for each query, ties to the smaller chunk_id.
 
@@ -52,7 +30,7 @@ def search(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 6) -> D
     for ids, unit in query_blocks(queries):
         if kept is not None:
             found.append(checkpoint(kept))
-        kept = _scored(rows, ids, unit, k)
+        kept = scored(rows, ids, unit, k)
     if kept is None:
         return vectors.sparkSession.createDataFrame([], HITS + ", rank long")
     return top(reduce(DataFrame.unionByName, [*found, kept]), k, digits)

@@ -57,3 +57,23 @@ def best_of(scores: np.ndarray, chunk: np.ndarray, k: int) -> tuple[np.ndarray,
     first = np.searchsorted(q, q)
     kept = np.arange(len(q)) - first < k
     return q[kept], j[kept]
+
+
+def scored(rows: DataFrame, ids: np.ndarray, unit: np.ndarray, k: int) -> DataFrame:
+    """HITS of each batch of rows (chunk_id, vec)."""
+    shared = rows.sparkSession.sparkContext.broadcast((ids, unit))
+
+    def score(batches):
+        ids, unit = shared.value
+        for batch in batches:
+            at, m = matrix(batch.column("vec"), unit.shape[1])
+            length = np.linalg.norm(m, axis=1)
+            at, m = at[length > 0], m[length > 0] / length[length > 0, None]
+            step = max(1, SCORES // max(1, len(unit)))
+            for s in range(0, len(at), step):
+                chunk = batch.column("chunk_id").to_numpy()[at[s : s + step]]
+                scores = unit @ m[s : s + step].T
+                q, j = best_of(scores, chunk, k)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q], pa.int64()), pa.array(chunk[j], pa.int64()), pa.array(scores[q, j])], names=["query_id", "chunk_id", "score"])
+
+    return rows.mapInArrow(score, HITS)

@@ -137,3 +137,15 @@ def test_command_line_index_follows_the_tables(spark, tmp_path, capsys):
     assert "[7]" in capsys.readouterr().out
     for t in tables.SCHEMAS:
         spark.sql(f"DROP TABLE IF EXISTS {t}")
+
+
+def test_a_search_of_all_cells_is_exact_among_vectors_too_close_for_their_codes(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=24)
+    near = [centre + 1e-3 * rng.normal(size=24) for _ in range(800)]
+    vectors = table(spark, enumerate([*near, *rng.normal(size=(400, 24))]))
+    queries = asked(spark, enumerate(centre + 1e-3 * rng.normal(size=(8, 24))))
+    dense.write_index(vectors, str(tmp_path / "i"), cells=12)
+    index = dense.read_index(spark, str(tmp_path / "i"))
+    assert hits(index.widened(queries, 10, len(index.centres))) == hits(dense.search(queries, vectors, 10))
+    assert hits(index.delete(vectors.where("chunk_id < 400")).widened(queries, 10, 99)) == hits(dense.search(queries, vectors.where("chunk_id >= 400"), 10))
