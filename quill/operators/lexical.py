@@ -14,10 +14,14 @@ from pyspark.sql import functions as F
 
 from quill.functions.stem import stem
 from quill.functions.text import lexeme_set, lexemes
-from quill.sources.shared import BROADCAST_BYTES, row_bytes, tune
+from quill.sources.shared import BROADCAST_BYTES, checkpoint, row_bytes, tune
 
 #: Parts of a stored index that a lexeme's hash picks.
 BUCKETS = 64
+#: Bytes of texts whose postings one task sorts and writes, about: some ten times as many in memory.
+TASK_BYTES = 16 << 20
+#: Postings times queries of one task of a search in a stored index, at most; chunks hold some hundreds of postings.
+PAIRS, MOST_TASKS = 400_000_000, 10_000
 #: Decimal places to which scores are compared: sums of floats that should be equal are ties.
 TIE = 12
 
@@ -59,14 +63,15 @@ def bucket(lexeme: str = "lexeme"):
     return F.pmod(F.xxhash64(lexeme), F.lit(BUCKETS)).cast("int")
 
 
-def write_index(chunks: DataFrame, path: str, stemmed: bool = True, key: str = "chunk_config_sha256", task_bytes: int = 16 << 30) -> None:
+def write_index(chunks: DataFrame, path: str, stemmed: bool = True, key: str = "chunk_config_sha256", task_bytes: int = TASK_BYTES) -> None:
     """Store the postings of chunks, by chunking and bucket, ordered by lexeme: a query reads its lexemes' buckets, and in them the row groups that have them.
 
-    A bucket is dealt over as many tasks as the chunks' texts have times task_bytes, so that a lexeme of every chunk fills no single one.
+    There is a task for each task_bytes of the chunks' texts. A bucket is dealt over some of them by chunk, so that a lexeme of
+    every chunk fills no single one, and whatever the table's size a task sorts about as much.
     """
-    spread = 1 + (chunks.agg(F.sum(F.octet_length("content"))).first()[0] or 0) // task_bytes
+    tasks = max(chunks.sparkSession.sparkContext.defaultParallelism, 1 + (chunks.agg(F.sum(F.octet_length("content"))).first()[0] or 0) // task_bytes)
     rows = postings(chunks, stemmed, keep=(key,)).withColumn("bucket", bucket())
-    dealt = rows.repartition(F.col(key), F.col("bucket"), F.pmod(F.xxhash64("chunk_id"), F.lit(spread)))
+    dealt = rows.repartition(tasks, F.col(key), F.col("bucket"), F.pmod(F.xxhash64("chunk_id"), F.lit(1 + tasks // 32)))
     dealt.sortWithinPartitions(key, "bucket", "lexeme", "chunk_id").write.mode("overwrite").partitionBy(key, "bucket").parquet(path)
 
 
@@ -80,11 +85,16 @@ def matches(queries: DataFrame, chunks: DataFrame, stemmed: bool = True) -> Data
 
 
 def matches_by_postings(queries: DataFrame, index: DataFrame, stemmed: bool = True) -> DataFrame:
-    """The same from postings; of a stored index only the wanted buckets are read."""
-    wanted, on = query_lexemes(queries, stemmed), ["lexeme"]
+    """The same from postings; of a stored index only the wanted buckets are read, and its postings meet by chunk before queries multiply them."""
+    wanted = query_lexemes(queries, stemmed)
     if "bucket" in index.columns:
-        wanted, on = wanted.withColumn("bucket", bucket()), ["bucket", "lexeme"]
-    return index.join(broadcast_if_small(wanted), on).groupBy("query_id", "chunk_id").agg(F.sum("tf").alias("n"))
+        wanted = checkpoint(wanted.withColumn("bucket", bucket()))
+        asked = wanted.agg(F.countDistinct("query_id")).first()[0]
+        tasks = min(MOST_TASKS, 1 + index.count() * asked // PAIRS)  # the rows are counted in files' footers
+        kinds = broadcast_if_small(wanted.select("bucket", "lexeme").distinct())
+        index = index.join(kinds, ["bucket", "lexeme"], "left_semi").select("lexeme", "chunk_id", "tf").repartition(max(tasks, index.sparkSession.sparkContext.defaultParallelism), "chunk_id")
+        wanted = wanted.select("query_id", "lexeme")
+    return index.join(broadcast_if_small(wanted), "lexeme").groupBy("query_id", "chunk_id").agg(F.sum("tf").alias("n"))
 
 
 def top(scored: DataFrame, k: int, digits: int = 6) -> DataFrame:

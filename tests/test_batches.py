@@ -1,10 +1,12 @@
 """Python workers get texts in batches that are bounded whatever the table's size, and results are the same."""
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quill.functions import sentences, text
-from quill.operators import lexical, positions
+from quill.operators import impacts, lexical, positions
 from quill.sources import shared
 
 ROWS = [(i, "Some words here. Other-words there, and " + f"w{i % 7} " * 40) for i in range(3000)]
@@ -55,3 +57,31 @@ def test_bounded_search_explodes_no_positions(spark):
     found = positions.search(q, positions.positional_postings(chunks), 3)
     assert "explode(positions" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r.query_id, r.chunk_id, r["rank"]) for r in found.collect()) == [(0, 1, 1), (0, 2, 2), (1, 3, 1)]
+
+
+def test_tasks_grow_with_the_texts_and_a_stored_index_meets_by_chunk(spark, tmp_path, monkeypatch):
+    chunks = spark.createDataFrame([(i, f"w{i % 50} w{i % 3} a{i} " * 5, "ab"[i % 2]) for i in range(600)], "chunk_id long, content string, chunk_config_sha256 string")
+    lexical.write_index(chunks, str(tmp_path / "i"), task_bytes=2000)
+    tasks = {int(re.search(r"part-(\d+)", f.name)[1]) for f in (tmp_path / "i").rglob("part-*.parquet")}
+    assert max(tasks) > 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    monkeypatch.setattr(lexical, "PAIRS", 100)
+    q = spark.createDataFrame([(1, "w1 w7"), (2, "a5"), (3, ""), (4, "w2 w40 a9 none")], "query_id long, query string")
+    index = spark.read.parquet(str(tmp_path / "i"))
+    found = lexical.matches_by_postings(q, index)
+    assert found.rdd.getNumPartitions() > 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, lexical.matches(q, chunks).collect()))
+    assert sorted(map(tuple, lexical.search(q, None, 7, index=index).collect())) == sorted(map(tuple, lexical.search(q, chunks, 7).collect()))
+
+
+def test_blocks_are_put_together_across_batches(monkeypatch):
+    monkeypatch.setattr(impacts, "AT_ONCE", 3)
+    rows = [(b, c, x, k, i, i % 5 + 1) for b in (0, 1) for c in (None, "a") for x in ("p", "q") for k in (7, 8) for i in range(4)]
+    names = ["band", "chunking", "lexeme", "block", "chunk_id", "tf"]
+    kinds = [pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+    columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+    whole = pa.RecordBatch.from_arrays(columns, names=names)
+    for size in (1, 3, 4, 7, 64):
+        got = [r for b in impacts._together(whole.slice(at, size) for at in range(0, len(rows), size)) for r in b.to_pylist()]
+        assert len(got) == 16 and [(r["band"], r["chunking"], r["lexeme"], r["block"]) for r in got] == list(dict.fromkeys(r[:4] for r in rows))
+        assert all(r["most"] == 4 and r["entries"] == [{"chunk_id": i, "tf": i + 1} for i in range(4)] for r in got)
+    assert list(impacts._together(iter([]))) == []
