@@ -13,9 +13,12 @@ length, so that bands without a block that is wanted are not read at all.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,8 +31,8 @@ from quill.sources.shared import checkpoint
 BLOCK, STEPS, BAND = 16, 8, 16
 #: Blocks that are scored first for each query, besides those that k chunks need.
 FIRST = 4
-#: Bytes of texts whose postings one task writes, about.
-TASK_BYTES = 256 << 20
+#: Bytes of postings that one task writes, about, and postings that it puts together at once, at least.
+TASK_BYTES, AT_ONCE = 32 << 20, 1 << 16
 IDS = "chunk_id long"
 BLOCKS = "chunking string, lexeme string, block long, most long, entries array<struct<chunk_id:long,tf:long>>, band int"
 
@@ -144,6 +147,39 @@ def _posted(chunks: DataFrame, key: str, stemmed: bool) -> DataFrame:
     return postings(rows, stemmed, keep=("chunking", "class")).select("chunking", "lexeme", "chunk_id", "tf", "class")
 
 
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each block and lexeme of postings (band, chunking, lexeme, block, chunk_id, tf) in order; none is cut by a batch's end."""
+    held: list[pa.RecordBatch] = []
+
+    def starts(table: pa.Table) -> np.ndarray:
+        new = np.zeros(table.num_rows, dtype=bool)
+        new[:1] = True
+        for c in ("band", "chunking", "lexeme", "block"):
+            code = table.column(c).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
+            new[1:] |= code[1:] != code[:-1]
+        return np.flatnonzero(new)
+
+    def made(table: pa.Table, start: np.ndarray) -> pa.RecordBatch:
+        ids, tf = (table.column(c).combine_chunks() for c in ("chunk_id", "tf"))
+        entries = pa.ListArray.from_arrays(pa.array(np.append(start, table.num_rows).astype(np.int32)), pa.StructArray.from_arrays([ids, tf], names=["chunk_id", "tf"]))
+        first = {c: table.column(c).combine_chunks().take(pa.array(start)) for c in ("chunking", "lexeme", "block", "band")}
+        columns = first | {"most": pa.array(np.maximum.reduceat(tf.to_numpy(), start)), "entries": entries}
+        names = ["chunking", "lexeme", "block", "most", "entries", "band"]
+        return pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
+
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= AT_ONCE:
+            table = pa.Table.from_batches(held).combine_chunks()
+            start = starts(table)
+            if len(start) > 1:
+                yield made(table.slice(0, start[-1]), start[:-1])
+            held = table.slice(start[-1]).to_batches()
+    if sum(b.num_rows for b in held):
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield made(table, starts(table))
+
+
 def _stage(log: commits.Log, rows: DataFrame, ids: DataFrame) -> str:
     """Deal chunks to blocks, and write a row for each block and lexeme, and all chunks' ids."""
     rows = checkpoint(rows)
@@ -155,9 +191,10 @@ def _stage(log: commits.Log, rows: DataFrame, ids: DataFrame) -> str:
     slot = F.pmod(F.xxhash64("chunk_id"), F.col("slots"))
     block = F.lit(segment << 33).bitwiseOR(F.col("class").cast("long") * (1 << 24)).bitwiseOR(F.pmod(slot, F.lit(1 << 24)))
     dealt = dealt.withColumns({"block": block, "band": F.floor(F.col("class") / BAND).cast("int"), "part": F.pmod(F.xxhash64("lexeme", slot), F.lit(tasks))})
-    dealt = dealt.repartition("chunking", "band", "part")
-    one = dealt.groupBy("chunking", "band", "part", "lexeme", "block").agg(F.max("tf").alias("most"), F.array_sort(F.collect_list(F.struct("chunk_id", "tf"))).alias("entries"))  # a block's chunks
-    out = one.select("chunking", "lexeme", "block", "most", "entries", "band").sortWithinPartitions("chunking", "band", "lexeme", "block")
+    order = ["band", "chunking", "lexeme", "block"]
+    tasks = max(tasks, log.spark.sparkContext.defaultParallelism)
+    own = dealt.repartition(tasks, "chunking", "band", "part").select(*order, "chunk_id", "tf").sortWithinPartitions(*order, "chunk_id", "tf")
+    out = own.mapInArrow(_together, BLOCKS).sortWithinPartitions(*order)  # in order already; the writer asks for it
     staged = log.stage(out, "blocks", ["band"])
     return log.stage(ids.select(F.col("chunk_id").cast("long").alias("chunk_id")), "ids", staged=staged)
 
