@@ -1,11 +1,13 @@
 """Python workers get texts in batches that are bounded whatever the table's size, and results are the same."""
 
 import re
+import tracemalloc
 
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quill.functions import sentences, text
+from quill.functions.stem import stem
 from quill.operators import impacts, lexical, positions
 from quill.sources import shared
 
@@ -85,3 +87,13 @@ def test_blocks_are_put_together_across_batches(monkeypatch):
         assert len(got) == 16 and [(r["band"], r["chunking"], r["lexeme"], r["block"]) for r in got] == list(dict.fromkeys(r[:4] for r in rows))
         assert all(r["most"] == 4 and r["entries"] == [{"chunk_id": i, "tf": i + 1} for i in range(4)] for r in got)
     assert list(impacts._together(iter([]))) == []
+
+
+def test_long_junk_words_stay_in_no_worker():
+    tracemalloc.start()
+    try:
+        before = tracemalloc.get_traced_memory()[0]
+        assert all(stem(f"{i:05d}" * 20_000 + "hoping") == f"{i:05d}" * 20_000 + "hope" for i in range(50))
+        assert tracemalloc.get_traced_memory()[0] - before < 1_000_000
+    finally:
+        tracemalloc.stop()
